@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlink.llm import licenses, sharding
+from cairnlink.llm import licenses, mixing, sharding
 from cairnlink.llm.shared import table
 
 
+def word_count(text: str = "text"):
+    """Number of runs of other characters than space and the controls 9 to 13; 0 for null."""
+    return F.coalesce(F.size(F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")), F.lit(0)).cast("long")
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size"))
+    mixed = mixing.mix(docs, content=("size",))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     slim = table(spark, sf_dir, "documents").select(
@@ -25,6 +36,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op6_sharding": op6_sharding,
     "op10_license_scan": op10_license_scan,
 }
