@@ -13,6 +13,7 @@ from cairnlink.llm.shared import cut, number_rows
 
 BLOCK_ROWS = 1024
 LANDING_ROWS = 10
+HELD_ROWS = 12
 _CLOSE = 1e-9
 
 
@@ -41,32 +42,38 @@ def source_targets(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most
 def flight(share: np.ndarray, size: np.ndarray, order: np.ndarray, draws: np.ndarray) -> np.ndarray:
     """Move inclusion probabilities until two at most lie strictly between 0 and 1.
 
-    Each move is along a vector in the null space of the two balancing constraints (number of rows, total size) on the
-    rows at hand, up to the first 0 or 1; which way is drawn so that every expected value stays. Both totals are kept.
+    A dozen rows are in the air at a time. Each move is along the vector of the null space of both balancing
+    constraints (number of rows, total size) that lies nearest to the first row's own axis, up to the first 0 or 1;
+    a row that comes first is drawn to rise with its own probability, and so goes until it is settled. Both totals are
+    kept. It is settled with the help of rows about as long, so if long rows come first, short ones are left over.
     """
-    share, held = share.astype(float).copy(), []
-    for draw, i in zip(draws, order):
-        if not _CLOSE < share[i] < 1 - _CLOSE:
-            continue
-        held.append(int(i))
-        while True:
-            pair = next(((x, y) for n, x in enumerate(held) for y in held[n + 1 :] if size[x] == size[y]), None)
-            if pair:
-                moved, along = list(pair), (1.0, -1.0)
-            elif len(held) == 3:
-                a, b, c = (float(size[x]) for x in held)
-                moved, along = list(held), (c - b, a - c, b - a)
-            else:
-                break
-            up = min((1 - share[x]) / u if u > 0 else share[x] / -u for x, u in zip(moved, along))
-            down = min(share[x] / u if u > 0 else (1 - share[x]) / -u for x, u in zip(moved, along))
-            step = up if draw < down / (up + down) else -down
-            draw = draw * 7919.0 % 1.0
-            for x, u in zip(moved, along):
-                share[x] += step * u
-                if share[x] <= _CLOSE or share[x] >= 1 - _CLOSE:
-                    share[x] = round(share[x])
-                    held.remove(x)
+    share = share.astype(float).copy()
+    coming = [int(i) for i in order if _CLOSE < share[i] < 1 - _CLOSE][::-1]
+    held: list[int] = []
+    first, rises = -1, False
+    for draw in draws:
+        while coming and len(held) < HELD_ROWS:
+            held.append(coming.pop())
+        if len(held) < 2:
+            break
+        sizes, now = size[held].astype(float), share[held]
+        apart = sizes - sizes.mean()
+        spread = float(apart @ apart)
+        along = -1.0 / len(held) - (apart * apart[0] / spread if spread else 0.0)
+        along = np.full(len(held), along) if np.isscalar(along) else along
+        along[0] += 1.0
+        along[np.abs(along) < _CLOSE] = 0.0
+        if not along.any():  # two rows of different size: nothing can move
+            break
+        with np.errstate(divide="ignore"):
+            to_one, to_zero = (1 - now) / np.abs(along), now / np.abs(along)
+        up, down = np.where(along > 0, to_one, to_zero).min(), np.where(along > 0, to_zero, to_one).min()
+        if held[0] != first:
+            first, rises = held[0], draw < now[0]
+        now = now + (up if rises else -down) * along
+        ends = (now <= _CLOSE) | (now >= 1 - _CLOSE)
+        share[held] = np.where(ends, np.round(now), now)
+        held = [x for x, ended in zip(held, ends) if not ended]
     return share
 
 
