@@ -59,19 +59,20 @@ def flight(share: np.ndarray, size: np.ndarray, order: np.ndarray, draws: np.nda
         sizes, now = size[held].astype(float), share[held]
         apart = sizes - sizes.mean()
         spread = float(apart @ apart)
-        along = -1.0 / len(held) - (apart * apart[0] / spread if spread else 0.0)
-        along = np.full(len(held), along) if np.isscalar(along) else along
-        along[0] += 1.0
-        along[np.abs(along) < _CLOSE] = 0.0
-        if not along.any():  # two rows of different size: nothing can move
+        free = 1.0 - 1.0 / len(held) - (apart * apart / spread if spread else 0.0 * apart)
+        lead = int(np.argmax(free > 1e-6))
+        if free[lead] <= 1e-6:  # two rows of different size: nothing can move
             break
+        along = -1.0 / len(held) - (apart * apart[lead] / spread if spread else 0.0 * apart)
+        along[lead] += 1.0
+        along[np.abs(along) < _CLOSE] = 0.0
         with np.errstate(divide="ignore"):
             to_one, to_zero = (1 - now) / np.abs(along), now / np.abs(along)
         up, down = np.where(along > 0, to_one, to_zero).min(), np.where(along > 0, to_zero, to_one).min()
-        if held[0] != first:
-            first, rises = held[0], draw < now[0]
+        if held[lead] != first:
+            first, rises = held[lead], draw < now[lead]
         now = now + (up if rises else -down) * along
-        ends = (now <= _CLOSE) | (now >= 1 - _CLOSE)
+        ends = (now <= 1e-7) | (now >= 1 - 1e-7)
         share[held] = np.where(ends, np.round(now), now)
         held = [x for x, ended in zip(held, ends) if not ended]
     return share
