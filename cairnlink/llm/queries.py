@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlink.llm import licenses, mixing, sharding, substrings
+from cairnlink.llm import decontam, licenses, mixing, sharding, substrings
 from cairnlink.llm.shared import table
 
 
@@ -20,6 +20,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontam.mark_overlaps(docs, table(spark, sf_dir, "benchmark")).where(~decontam.is_clean())
+    return marked.select("doc_id", F.explode("overlaps").alias("x")).select("doc_id", "x.item_id", F.col("x.first").alias("first_word"), F.col("x.end").alias("end_word"), F.col("x.matched").alias("n_matched"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -42,6 +48,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_decontamination": op2_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_sharding": op6_sharding,
     "op10_license_scan": op10_license_scan,
