@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlink.llm import decontam, licenses, mixing, sharding, substrings
+from cairnlink.llm import decontam, licenses, mixing, sharding, substrings, topk
 from cairnlink.llm.shared import table
 
 
@@ -40,6 +40,27 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    fit = table(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull() & whole)
+    scaled = fit.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("v"))
+    return topk.top_k(scaled, F.col("vec_id") % 50 == 0, 5)
+
+
+OP7_SQL = """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+    select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+    from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+), ranked as (
+    select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
@@ -51,7 +72,10 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_sharding": op6_sharding,
+    "op7_top_k": op7_top_k,
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_top_k": OP7_SQL,
+}
