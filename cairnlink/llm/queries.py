@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlink.llm import decontam, licenses, mixing, sharding, substrings, topk
+from cairnlink.llm import decontam, jaccard, licenses, mixing, sharding, substrings, topk
 from cairnlink.llm.shared import table
 
 
@@ -26,6 +26,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", F.explode("overlaps").alias("x")).select("doc_id", "x.item_id", F.col("x.first").alias("first_word"), F.col("x.end").alias("end_word"), F.col("x.matched").alias("n_matched"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -70,6 +74,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_sharding": op6_sharding,
     "op7_top_k": op7_top_k,
