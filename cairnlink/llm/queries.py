@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlink.llm import decontam, jaccard, licenses, mixing, sharding, substrings, topk
+from cairnlink.llm import decontam, jaccard, licenses, mixing, sharding, substrings, topk, toxicity
 from cairnlink.llm.shared import table
 
 
@@ -65,6 +65,13 @@ select query_id, rank, vec_id, score from ranked where rank <= 5
 """
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tagger = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
+    scored = toxicity.score_texts(docs, tagger)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), F.col("toxic_spans").alias("spans"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
@@ -78,6 +85,7 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_sharding": op6_sharding,
     "op7_top_k": op7_top_k,
+    "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
 }
 
