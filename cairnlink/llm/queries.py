@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlink.llm import decontam, jaccard, licenses, mixing, sharding, substrings, topk, toxicity
+from cairnlink.llm import decontam, jaccard, licenses, mixing, sharding, substrings, topk, toxicity, unigram
 from cairnlink.llm.shared import table
 
+#: Folder of the public tokenizers' vocabulary files; only the driver reads it.
+TOKENIZERS = "/opt/tokenizers"
+
 
 def word_count(text: str = "text"):
     """Number of runs of other characters than space and the controls 9 to 13; 0 for null."""
@@ -65,6 +68,11 @@ select query_id, rank, vec_id, score from ranked where rank <= 5
 """
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return unigram.count_tokens(docs, f"{tokenizers}/piece_bpe_32k.model").select("doc_id", "n_tokens")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     tagger = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
@@ -85,6 +93,7 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_sharding": op6_sharding,
     "op7_top_k": op7_top_k,
+    "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
 }
