@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlink.llm import decontam, jaccard, licenses, mixing, sharding, substrings, topk, toxicity, unigram
-from cairnlink.llm.shared import table
+from cairnlink.llm import decontam, jaccard, licenses, mixing, sharding, substrings, token_shards, topk, toxicity, unigram
+from cairnlink.llm.shared import new_folder, table
 
 #: Folder of the public tokenizers' vocabulary files; only the driver reads it.
 TOKENIZERS = "/opt/tokenizers"
@@ -29,6 +29,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", F.explode("overlaps").alias("x")).select("doc_id", "x.item_id", F.col("x.first").alias("first_word"), F.col("x.end").alias("end_word"), F.col("x.matched").alias("n_matched"))
 
 
+def op3_token_shards(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return token_shards.write_shards(table(spark, sf_dir, "documents"), new_folder(spark, "shards"), f"{tokenizers}/byte_bpe_50k.tiktoken")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -89,6 +93,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
+    "op3_token_shards": op3_token_shards,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_sharding": op6_sharding,
