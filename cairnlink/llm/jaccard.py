@@ -8,7 +8,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlink.llm.shared import cut, new_folder
@@ -191,7 +191,7 @@ def _verify(k: int, threshold: Fraction):
 
 
 def link_texts(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.999, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: id, class_id, links, text_links and copies.
+    """One row for each row of ``docs``: id, class_id, links, text_links, copies; and text_key and class_key, 64-bit names.
 
     Two texts are linked if the sets of their ``k``-word shingles (words are lower-cased runs of letters, digits and
     non-ASCII characters; a text of fewer words is one shingle) have a Jaccard index of ``threshold`` or more.
@@ -205,7 +205,7 @@ def link_texts(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: floa
     comparisons, as its links may be that many, but each task holds two blocks. Copies of a text are one text, known by
     a 64-bit hash.
 
-    Texts without words (null, empty, punctuation) are linked to nothing and are classes of their own; a null id gives a
+    Texts without words (null, empty, punctuation) are linked to nothing and are classes of their own (class_key null); a null id gives a
     row like any other, and class_id is null only if all ids of a class are. Repeated rows are copies.
     """
     spark = docs.sparkSession
@@ -257,10 +257,10 @@ def link_texts(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: floa
     links = checked.groupBy("key").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"))
     linked = links.join(roots, links["key"] == roots["node"]).drop("node").join(counted.select("key", "copies", "least"), "key")
     firsts = linked.groupBy("root").agg(F.min("least").alias("class_id"))
-    linked = linked.join(firsts, "root").select(F.col("key").alias("_key"), "links", "text_links", "class_id")
+    linked = linked.join(firsts, "root").select(F.col("key").alias("_key"), "links", "text_links", "class_id", F.col("root").alias("_root"))
     worded = F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
     rows = ready.select("id", "key", F.coalesce(worded, F.lit(False)).alias("worded"))
-    known = counted.join(linked, F.col("key") == F.col("_key"), "left").select(F.col("key").alias("_k"), "copies", "least", "links", "text_links", "class_id")
+    known = counted.join(linked, F.col("key") == F.col("_key"), "left").select(F.col("key").alias("_k"), "copies", "least", "links", "text_links", "class_id", "_root")
     out = rows.join(known, F.col("key") == F.col("_k"))
     return out.select(
         F.col("id").alias(id_column),
@@ -268,4 +268,24 @@ def link_texts(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: floa
         F.when(F.col("worded"), F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0).alias("links"),
         F.coalesce("text_links", F.lit(0)).alias("text_links"),
         "copies",
+        F.col("key").alias("text_key"),
+        F.when(F.col("worded"), F.coalesce("_root", "key")).alias("class_key"),
     )
+
+
+def one_of_each(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.999, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each class of ``link_texts`` the row of the least id stays.
+
+    Of several such rows the one of the least text hash stays, and of rows equal in both one. A null id comes last. Texts
+    without words all stay.
+    """
+    linked = stored(link_texts(docs.select(id_column, text_column), threshold, k, recall, id_column, text_column), "classes")
+    first = F.min(F.struct(F.col(id_column).isNull().alias("no"), F.col(id_column).alias("id"), "text_key")).alias("best")
+    best = linked.where("class_key is not null").groupBy("class_key").agg(first)
+    keep = linked.where("class_key is null").select(F.col(id_column).alias("_id"), F.col("text_key").alias("_key"), F.lit(False).alias("_single"))
+    keep = keep.unionByName(best.select(F.col("best.id").alias("_id"), F.col("best.text_key").alias("_key"), F.lit(True).alias("_single"))).distinct()
+    kept = docs.withColumn("_text", F.xxhash64(text_column)).join(keep, F.col(id_column).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")))
+    if not linked.where("class_key is not null").groupBy(id_column, "text_key").count().where("count > 1").isEmpty():
+        order = Window.partitionBy("_id", "_text").orderBy("_key")
+        kept = kept.withColumn("_n", F.row_number().over(order)).where(~F.col("_single") | (F.col("_n") == 1))
+    return kept.select(*docs.columns)

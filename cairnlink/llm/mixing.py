@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlink.llm.shared import cut, number_rows
@@ -149,6 +149,19 @@ def _by_size(targets: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(targets) if targets.limit(rows + 1).count() <= rows else targets
 
 
+def remix(docs: DataFrame, size: Column, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> DataFrame:
+    """``docs`` as mixed: each row as often as ``mix`` says. Only ids, sources and sizes are sorted; texts are joined once."""
+    hash_ = F.xxhash64(F.col(text_column), F.col(source_column), F.col(id_column))
+    slim = docs.select(F.col(id_column), F.col(source_column), size.alias("size"), hash_.alias("_hash"))
+    mixed = mix(slim, weights, most, id_column=id_column, source_column=source_column, content=("_hash",))
+    copies = mixed.groupBy(F.col("_hash").alias("_row")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    joined = docs.withColumn("_hash", hash_).join(copies, F.col("_hash") == F.col("_row"))
+    if not copies.where("_rows > 1").isEmpty():  # equal rows share their copies: the first takes what does not divide
+        joined = joined.withColumn("_n", F.row_number().over(Window.partitionBy("_hash").orderBy("_row")))
+        joined = joined.withColumn("_copies", F.expr("_copies div _rows + cast(_n <= _copies % _rows as long)"))
+    return take(joined.select(*docs.columns, F.col("_copies").alias("copies")))
+
+
 def take(docs: DataFrame, copies: str = "copies") -> DataFrame:
     """Each row as often as ``copies`` says; the column goes."""
     return docs.where(F.col(copies) > 0).withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).drop(copies)

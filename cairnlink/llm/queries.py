@@ -34,7 +34,8 @@ def op3_token_shards(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZ
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    linked = jaccard.link_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linked.select("doc_id", "class_id", "links", "text_links", "copies")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
