@@ -22,7 +22,7 @@ from cairnlink.llm.tokens import column_bytes, hash_ranges, sliced
 #: Fixed value: how the public byte-level tokenizers cut a text into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END_OF_TEXT = 50256
-_KNOWN = 200_000
+_KNOWN = 400_000
 _PLAIN = np.array([0x20 < i < 0x7F or i >= 0x80 for i in range(256)])
 
 
@@ -31,9 +31,8 @@ def load_ranks(ranks_file: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
 
 
-def _wide_space(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Do the bytes a, b, c begin with a white-space character outside ASCII?"""
-    return ((a == 0xC2) & ((b == 0x85) | (b == 0xA0))) | (((a == 0xE2) | (a == 0xE3)) & ((b == 0x80) | (b == 0x81))) | ((a == 0xE1) & (b == 0x9A) & (c == 0x80))
+#: White space outside ASCII, as UTF-8; texts that hold any are cut with more care.
+_WIDE = tuple(c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 class Encoder:
@@ -43,17 +42,39 @@ class Encoder:
         import tiktoken
 
         self.encode = tiktoken.Encoding("shards", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.width = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.width[list(ranks.values())] = [len(x) for x in ranks]
 
     def _cuts(self, data: np.ndarray, base: np.ndarray) -> np.ndarray:
         """Places where a piece begins for certain: a lone space between two characters that are no white space; text starts."""
-        at = np.flatnonzero(data[:-8] == 0x20)
-        at = at[at > 0]
-        at = at[_PLAIN[data[at - 1]] & _PLAIN[data[at + 1]]]
-        pad = np.concatenate([np.zeros(3, np.uint8), data])  # pad[i + 3] is data[i]
-        before = _wide_space(pad[at + 1], pad[at + 2], pad[at + 2]) | _wide_space(pad[at], pad[at + 1], pad[at + 2])
-        after = _wide_space(data[at + 1], data[at + 2], data[at + 3])
-        return np.union1d(at[~before & ~after], base[:-1][np.diff(base) > 0])
+        body = data[:-8]
+        plain = _PLAIN[data[:-7]]
+        cut = body == 0x20
+        cut[1:] &= plain[:-2]
+        cut &= plain[1:]
+        lead = np.flatnonzero((body == 0xC2) | ((body >= 0xE1) & (body <= 0xE3)))
+        for at in lead.tolist():
+            if any(data[at : at + len(w)].tobytes() == w for w in _WIDE):  # no cut right before or after
+                cut[max(0, at - 1) : at + 4] = False
+        cut[base[:-1][np.diff(base) > 0]] = True
+        return np.flatnonzero(cut)
+
+    def _encode_new(self, parts: list[bytes]) -> None:
+        """Encode parts not yet known: those that begin with a space and end without, all in one call, split at their ends."""
+        joint = [p for p in parts if p[0] == 0x20 and (0x20 < p[-1] < 0x7F or p[-1] > 0x7F and not p.endswith(_WIDE))]
+        ids = np.array(self.encode(b"".join(joint).decode()), np.int64)
+        ends, wanted = np.cumsum(self.width[ids]), np.cumsum(np.fromiter(map(len, joint), np.int64, len(joint)))
+        at = np.searchsorted(ends, wanted) + 1
+        if len(joint) and (ends[at - 1] != wanted).any():
+            joint, at = [], at[:0]
+        raw, low = ids.astype("<u2").tobytes(), 0
+        for part, high in zip(joint, (2 * at).tolist()):
+            self.known[part] = raw[low:high]
+            low = high
+        for part in parts:
+            if part not in self.known:
+                self.known[part] = np.array(self.encode(part.decode()), "<u2").tobytes()
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
@@ -61,20 +82,15 @@ class Encoder:
         start = self._cuts(data, base)
         end = np.append(start[1:], len(data) - 8)
         first = np.searchsorted(start, base)
-        keys, at, back = np.unique(hash_ranges(data, start, end), return_index=True, return_inverse=True)
-        raw, pieces = memoryview(data), []
-        for low, high in zip(start[at].tolist(), end[at].tolist()):
-            part = bytes(raw[low:high])
-            ids = self.known.get(part)
-            if ids is None:
-                ids = np.array(self.encode(part.decode()), np.uint16)
-                if len(self.known) >= _KNOWN:
-                    self.known.clear()
-                if high - low < 64:
-                    self.known[part] = ids
-            pieces.append(ids)
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        bank = np.concatenate(pieces) if pieces else np.zeros(0, np.uint16)
+        _, at, back = np.unique(hash_ranges(data, start, end), return_index=True, return_inverse=True)
+        raw = memoryview(data)
+        parts = [bytes(raw[low:high]) for low, high in zip(start[at].tolist(), end[at].tolist())]
+        if len(self.known) > _KNOWN:
+            self.known.clear()
+        self._encode_new([p for p in parts if p not in self.known])
+        found = [self.known[p] for p in parts]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        bank = np.frombuffer(b"".join(found), "<u2")
         place = (np.cumsum(size) - size)[back]
         size = size[back]
         total = np.append(0, np.cumsum(size))
