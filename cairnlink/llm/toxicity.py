@@ -15,7 +15,7 @@ from cairnlink.llm.tokens import ALNUM, Words, find_words, hash_ranges, sliced
 BITS = 18
 GRAMS, PREFIXES = (4, 5), (6, 7, 8)
 #: Bounds of the sample that the model is fitted on: labelled rows of each class, and the longest text among them.
-SAMPLE = {1: 1000, 0: 2000}
+SAMPLE = {1: 700, 0: 1400}
 SAMPLE_CHARS = 12_000
 #: One odd multiplier for each kind of feature: 0 whole words, n byte n-grams, -n the first n bytes of words.
 _MULTIPLY = {kind: np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3)) % (1 << 64) | 1) for i, kind in enumerate((0, 4, 5, -6, -7, -8))}
@@ -129,6 +129,11 @@ def document_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([np.log1p(expected), expected / np.maximum(1, n), top, any_], 1)
 
 
+def _stretches(n: int, size: int = 100_000) -> list[np.ndarray]:
+    """Token numbers in stretches, so that working memory stays small. A text cut in two counts twice for what it has on both sides."""
+    return [np.arange(a, min(n, a + size)) for a in range(0, n, size)]
+
+
 def indicative_words(found: Words, toxic: np.ndarray, purity: float = 0.6) -> np.ndarray:
     """Tokens of toxic texts with a feature (word, byte n-gram, first bytes) that toxic texts have more than chance allows.
 
@@ -139,18 +144,25 @@ def indicative_words(found: Words, toxic: np.ndarray, purity: float = 0.6) -> np
     doc = found.doc
     marked = np.zeros(len(doc), bool)
     for kind in _MULTIPLY:
-        token, value = _features(found, kind)
-        owner = doc[token]
-        order = np.lexsort((owner, value))
-        fresh = np.append(True, (value[order][1:] != value[order][:-1]) | (owner[order][1:] != owner[order][:-1])) if len(order) else np.zeros(0, bool)
-        distinct, number = np.unique(value[order[fresh]], return_inverse=True)
-        bad = np.bincount(number, toxic[owner[order[fresh]]], len(distinct))
-        all_ = np.bincount(number, minlength=len(distinct))
+        values, bads = [], []
+        for stretch in _stretches(len(doc)):
+            token, value = _features(found, kind, stretch)
+            owner = doc[stretch][token]
+            order = np.lexsort((owner, value))
+            value, owner = value[order], owner[order]
+            fresh = np.append(True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])) if len(order) else np.zeros(0, bool)
+            values.append(value[fresh])
+            bads.append(toxic[owner[fresh]].astype(np.float32))
+        distinct, number = np.unique(np.concatenate(values), return_inverse=True)
+        bad, all_ = np.bincount(number, np.concatenate(bads), len(distinct)), np.bincount(number, minlength=len(distinct))
+        del number, values, bads
         pure = bad / all_
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = bad * np.log(pure / rate) + np.where(all_ > bad, (all_ - bad) * np.log((1 - pure) / (1 - rate)), 0.0)
         signal = distinct[(pure >= purity) & (ratio >= np.log(len(distinct) + 1.0))]
-        marked[token[np.isin(value, signal)]] = True
+        for stretch in _stretches(len(doc)):
+            token, value = _features(found, kind, stretch)
+            marked[stretch[token[np.isin(value, signal)]]] = True
     return marked & (toxic[doc] > 0)
 
 
@@ -179,8 +191,11 @@ def fit(texts: list[str], toxic: np.ndarray, odds: float, rounds: int = 40) -> T
     used = np.flatnonzero((explained | (toxic == 0))[doc])
     slots, tokens = {}, {}
     for kind in _MULTIPLY:
-        token, value = _features(found, kind, used)
-        slots[kind], tokens[kind] = _slot(value, kind).astype(np.int32), token.astype(np.int32)
+        parts = []
+        for stretch in _stretches(len(used)):
+            token, value = _features(found, kind, used[stretch])
+            parts.append((_slot(value, kind).astype(np.int32), (token + stretch[0]).astype(np.int32)))
+        slots[kind], tokens[kind] = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32),) * 2
     keep = doc[used]
     first = np.append(0, np.flatnonzero(np.diff(keep)) + 1) if len(keep) else np.zeros(0, np.int64)
     first = np.append(first, len(keep))
