@@ -193,7 +193,7 @@ def idf_table(spark, sf):
 def _terms(spark, sf, terms, length, channel):
     ones, candidates = prepared(spark, sf)
     found = blocking.term_hits(ones, candidates, terms, length, channel, 50)
-    return found.select("s1", "cand", F.round("score", 4).alias("score"))
+    return found.select("s1", "cand", F.round(F.col("score") + 1e-9, 4).alias("score"))
 
 
 @query
