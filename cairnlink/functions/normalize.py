@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairnlink.functions import fixed_values as V
 
@@ -14,7 +15,7 @@ from cairnlink.functions import fixed_values as V
 WORD, WORD_WITH_MARKS = r"\p{L}\p{N}_", r"\p{L}\p{M}\p{N}_"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
