@@ -135,8 +135,9 @@ def _scatter(k: int, minimiser: int, frequent: np.ndarray, buckets: int):
                 known[key] = (mine, bytes(body))
             if not send.all():
                 gone = np.flatnonzero(~send)
-                for row in [_removed(ids[doc[gone]], texts[doc[gone]], at[gone], at[gone] + after[gone] - first[gone] + k - 1)]:
-                    key = -1 - (mix(row.column("text_hash").to_numpy().astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                row = _removed(ids[doc[gone]], texts[doc[gone]], at[gone], at[gone] + after[gone] - first[gone] + k - 1)
+                if row.num_rows:  # copies have one text hash: the id spreads them
+                    key = -1 - (mix(row.column("text_hash").to_numpy().view(np.uint64) ^ mix(row.column("doc").to_numpy().astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
                     blank = pa.array([None] * row.num_rows, pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(key), row.column("doc"), row.column("text_hash"), row.column("ranges"), blank], names=["bucket", "doc", "text_hash", "ranges", "packed"])
             bucket = (mix(least + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
@@ -177,7 +178,7 @@ def _later(found: Words, first_window: np.ndarray, k: int) -> np.ndarray:
             whole = {}
             for i in np.flatnonzero(np.isin(keys, keys[hit[a:b]])):
                 w = first_window[i]
-                whole.setdefault(bytes(raw[found.start[w] : found.end[w + k - 1]].tobytes().replace(b"\n", b" ")).split().__repr__(), []).append(i)
+                whole.setdefault(tuple(bytes(raw[found.start[w] : found.end[w + k - 1]]).split()), []).append(i)
             for same in whole.values():
                 later[same[0]], later[same[1:]] = False, True
     return later
