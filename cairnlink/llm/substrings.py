@@ -201,6 +201,7 @@ def _gather(k: int):
         size = head[:, 3]
         begin = np.cumsum(size) - size
         order = np.lexsort((head[:, 2], head[:, 1], head[:, 0]))
+        order = order[np.append(True, (head[order[1:], :3] != head[order[:-1], :3]).any(1))]  # repeated rows are one document
         windows = size[order] - k + 1
         owner = np.repeat(order, windows)
         offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
