@@ -226,7 +226,8 @@ def generate(records: DataFrame, config: Blocking = Blocking(), dense: DataFrame
     """Candidates of every S1 record among the S2 and S3 records, in three waves with a gate before each costly one.
 
     ``dense`` adds hits (s1, cand, score, rank) of a dense index under the bit of the n-gram channel. With ``checkpoint``
-    the hits of a wave are cut from their lineage before the next reads them more than once.
+    the hits of a wave are cut from their lineage before the next reads them more than once; the records should then be
+    a stored table. Without it the whole generation is one plan, whose equal exchanges Spark reuses.
     """
     prepared = prepare(records, config)
     fix = (lambda df: df.checkpoint()) if checkpoint else (lambda df: df)
