@@ -16,7 +16,7 @@ from cairnlink.sources.tables import as_feed
 @dataclass(frozen=True)
 class Linkage:
     """Settings of a run. With a ``folder`` every stage is stored there and ``skip`` names those to read instead; without one
-    stages are persisted for the session.
+    the run is one plan, which suits small feeds.
     """
 
     blocking: Blocking = field(default_factory=Blocking)
@@ -39,7 +39,7 @@ def run(feed: DataFrame, truth: DataFrame | None = None, settings: Linkage = Lin
 
     def stage(name: str, make) -> DataFrame:
         if settings.folder is None:
-            return make().persist()
+            return make()
         path = f"{settings.folder}/{name}"
         if name not in settings.skip:
             make().write.mode("overwrite").parquet(path)
