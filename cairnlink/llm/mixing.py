@@ -117,7 +117,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     doubt beside the ``LANDING_ROWS`` shortest, held back; those of many blocks fly again together, by up to
     ``BLOCK_ROWS`` at a time, until a source fits one block. There the last dozen rows land: every choice among them is
     tried and the one nearest to both totals taken. So no group is ever larger than a block, and a source's taken
-    size is off by a few words unless all its rows are long.
+    size is off by a few words, or by up to its longest row where a few long rows make up much of it.
 
     Rows are numbered by source, then a hash of (seed, id, ``content``): reruns agree. A null size counts as 0;
     null sources form one source; repeated rows are rows of their own; an empty table gives an empty result.
