@@ -174,6 +174,9 @@ ORACLES = {
         case when norm_name <> '' and norm_address <> '' then norm_name || ' | ' || norm_address when norm_name <> '' and gone then norm_name || ' | [NO_ADDRESS]' when norm_name <> '' then norm_name when norm_address <> '' then norm_address else '[NO_ADDRESS]' end as encoder_text,
         gone::int as is_address_missing, len({_words('norm_name')})::int as name_token_count, len({_words('norm_address')})::int as address_token_count from rec""",
     "missing_address": f"with {FEED} select entity_id, {_missing('business_address')} as missing from feed",
+    "postal_code": r"""with x as (select o_orderkey, (o_orderkey * 37 % 90000 + 10000) || ' Main St, Town ' || (o_custkey * 9973 % 990000 + 10000) as a from orders), z as (select *, regexp_extract_all(a, '\b(\d{5})(?:-\d{4})?\b', 1) as zips from x)
+        select o_orderkey, case when len(zips) > 1 then list_last(zips) end as us, list_last(regexp_extract_all(a, '\b([1-9][0-9]{5})\b', 1)) as india, list_last(zips) as france,
+            regexp_extract(list_last(regexp_extract_all(a, '\b(?:[1-9]\d{5}|\d{5}(?:-\d{4})?)\b')), '^(\d+)', 1) as any from z""",
     "structural_fields": r"""with x as (select o_orderkey, o_custkey || ' Lake Town, Block ' || o_orderkey || ', ' || o_orderpriority as a from orders)
         select o_orderkey, coalesce(array_to_string(regexp_extract_all(a, '\b\d{4,10}(?:-\d{3,4})?\b'), '|'), '') as runs, trim(regexp_extract(a, ',\s*([^,]+)$', 1)) as trailing, regexp_extract(a, '^\s*(\d{1,6})\b', 1) as street from x""",
     "name_keys": f"""with x as (select p_partkey, {_words('p_name')} as t from part), y as (select *, case when len(list_filter(t, lambda w: w not in ({_list(V.NAME_STOPWORDS)}))) > 0 then list_filter(t, lambda w: w not in ({_list(V.NAME_STOPWORDS)})) else t end as c from x)
