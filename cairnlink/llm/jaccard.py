@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -15,6 +16,7 @@ from cairnlink.llm.shared import cut, new_folder
 from cairnlink.llm.tokens import ALNUM, Words, find_words, mix, sliced, window_hashes
 
 TREES, MAX_DEPTH = 24, 8
+_SIZED = 100
 BLOCK = 256
 _SEEN = 50_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -56,23 +58,82 @@ def shingles(found: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(owner, np.arange(len(n) + 1))
 
 
-def forest_labels(value: np.ndarray, first: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """For each text that has shingles and each tree a hash of the tree and the first ``depth`` values of its signature there."""
+def least_index(n: int, threshold: Fraction) -> Fraction:
+    """The least Jaccard index of ``threshold`` or more that a set of ``n`` can have with any other set."""
+    found = Fraction(1)
+    for m in range(math.ceil(n * threshold), math.floor(n / threshold) + 1):
+        common = math.ceil(threshold * (n + m) / (1 + threshold))
+        if common <= min(n, m):
+            found = min(found, Fraction(common, n + m - common))
+    return found
+
+
+def own_depths(sizes: np.ndarray, threshold: Fraction, recall: float) -> np.ndarray:
+    """The prefix that each text is matched by: shortened from ``MAX_DEPTH`` on until its own target is met.
+
+    The target is to meet a partner with probability ``recall`` even if it is the least alike that a text of so many
+    shingles can have. Texts of more than ``_SIZED`` shingles are taken to have one at the threshold.
+    """
+    known = np.array([depth_for(float(least_index(n, threshold)), recall) for n in range(1, _SIZED + 1)] + [depth_for(float(threshold), recall)])
+    return known[np.minimum(sizes, _SIZED + 1) - 1]
+
+
+def signatures(value: np.ndarray, first: np.ndarray, depths: np.ndarray, top: int, trees: int = TREES) -> tuple[np.ndarray, np.ndarray]:
+    """For each text that has shingles and each tree the head and the tail of its signature of ``depths`` values.
+
+    The head is a hash of the tree and the first ``top`` values, which nobody's prefix is shorter than. The tail holds the
+    next ones, as many low bits of each as fit, the first in the highest bits; those beyond a text's depth are 0.
+    """
     rng = np.random.default_rng(20_240_229)
-    odd = rng.integers(1, 1 << 63, (trees, depth), np.uint64) | np.uint64(1)
-    plus = rng.integers(0, 1 << 63, (trees, depth), np.uint64)
+    odd = rng.integers(1, 1 << 63, (trees, MAX_DEPTH), np.uint64) | np.uint64(1)
+    plus = rng.integers(0, 1 << 63, (trees, MAX_DEPTH), np.uint64)
     has = np.flatnonzero(np.diff(first) > 0)
-    starts = first[has]
-    labels = np.empty((len(has), trees), np.uint64)
-    for tree in range(trees):
+    starts, sizes = first[has], np.diff(first)[has]
+    head, tail = np.empty((len(has), trees), np.uint64), np.zeros((len(has), trees), np.uint64)
+
+    def least(value: np.ndarray, starts: np.ndarray, tree: int, at: int) -> np.ndarray:
+        hashed = value * odd[tree, at]
+        hashed += plus[tree, at]
+        hashed >>= np.uint64(24)  # the low bits of a product are weak
+        return np.minimum.reduceat(hashed, starts)
+
+    for tree in range(trees if len(has) else 0):
         label = np.full(len(has), tree + 1, np.uint64) * _GOLD
-        for at in range(depth):
-            hashed = value * odd[tree, at]
-            hashed += plus[tree, at]
-            hashed >>= np.uint64(24)  # the low bits of a product are weak
-            label = mix(label ^ np.minimum.reduceat(hashed, starts))
-        labels[:, tree] = label
-    return labels
+        for at in range(top):
+            label = mix(label ^ least(value, starts, tree, at))
+        head[:, tree] = label
+    bits = tail_bits(top)
+    for at in range(top, MAX_DEPTH):
+        deep = np.flatnonzero(depths > at)
+        if len(deep):
+            size = sizes[deep]
+            begin = np.cumsum(size) - size
+            part = value[np.arange(size.sum()) - np.repeat(begin - starts[deep], size)]
+            for tree in range(trees):
+                tail[deep, tree] |= (least(part, begin, tree, at) & np.uint64((1 << bits) - 1)) << np.uint64(bits * (MAX_DEPTH - 1 - at))
+    return head, tail
+
+
+def tail_bits(top: int) -> int:
+    return min(16, 62 // max(1, MAX_DEPTH - top))
+
+
+def meetings(forest: DataFrame, top: int) -> DataFrame:
+    """Edges (a, b) that connect the texts of each tree's branches; ``forest`` has head, tail, depth and key.
+
+    Texts are sorted by signature below each head. Step by step the prefix is shortened from ``MAX_DEPTH`` to ``top``
+    values: texts whose depth is reached take in all that share the prefix and are as deep or deeper.
+    """
+    bits, rows = tail_bits(top), forest.repartition("head")
+    for depth in range(MAX_DEPTH, top, -1):
+        rows = rows.withColumn(f"p{depth}", F.shiftright("tail", bits * (MAX_DEPTH - depth)))
+    signature = [f"p{depth}" for depth in range(top + 1, MAX_DEPTH + 1)]
+    rows = rows.sortWithinPartitions("head", *signature)
+    for depth in range(MAX_DEPTH, top - 1, -1):
+        branch = Window.partitionBy("head", *signature[: depth - top])
+        rows = rows.withColumn(f"lead{depth}", F.min(F.when(F.col("depth") == depth, F.col("key"))).over(branch))
+    leads = F.array(*[F.when(F.col("depth") >= depth, F.col(f"lead{depth}")) for depth in range(top, MAX_DEPTH + 1)])
+    return rows.select(F.col("key").alias("a"), F.explode(leads).alias("b")).where("a <> b").distinct()
 
 
 def stored(df: DataFrame, stem: str) -> DataFrame:
@@ -198,9 +259,9 @@ def link_texts(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: floa
     ``links`` counts the other rows linked to a row, ``text_links`` the other texts, ``copies`` the rows with the same
     text. class_id is the least id of the rows that are connected by links.
 
-    Candidates: each tree of a MinHash LSH forest sorts texts by a signature; texts meet if they share a prefix. The
-    prefix is shortened from ``MAX_DEPTH`` on until texts at the threshold meet in one tree at least with probability
-    ``recall``. Meeting texts form groups, within which all pairs are verified exactly, in blocks of ``BLOCK`` by
+    Candidates: each tree of a MinHash LSH forest sorts texts by a signature; a text meets those that share a prefix of
+    it. Each text's prefix is shortened from ``MAX_DEPTH`` on until it meets the least alike partner that its number of
+    shingles allows, in one tree at least, with probability ``recall`` (``own_depths``). Meeting texts form groups, within which all pairs are verified exactly, in blocks of ``BLOCK`` by
     ``BLOCK`` texts; what is passed on is counts and a spanning forest, never pairs. A group of n texts costs n*n/2
     comparisons, as its links may be that many, but each task holds two blocks. Copies of a text are one text, known by
     a 64-bit hash.
@@ -210,20 +271,25 @@ def link_texts(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: floa
     """
     spark = docs.sparkSession
     bound = Fraction(threshold).limit_denominator(1000)
-    depth = depth_for(threshold, recall)
+    top = depth_for(threshold, recall)
     ready = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("key"), F.col(text_column).cast("string").alias("text"))
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in sliced(batches):
             value, first = shingles(find_words(batch.column("text"), ALNUM, lower=True), k)
-            keys = batch.column("key").to_numpy()[np.diff(first) > 0]
+            sizes = np.diff(first)
+            has = sizes > 0
+            keys, depths = batch.column("key").to_numpy()[has], own_depths(sizes[has], bound, recall)
             _, once = np.unique(keys, return_index=True)
-            labels = forest_labels(value, first, TREES, depth)[once].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(labels.ravel()), pa.array(np.repeat(keys[once], TREES))], names=["label", "key"])
+            once = once[[x not in seen for x in keys[once].tolist()]] if len(once) else once
+            if len(seen) > _SEEN:
+                seen.clear()
+            seen.update(keys[once].tolist())
+            head, tail = (x[once].astype(np.int64).ravel() for x in signatures(value, first, depths, top))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (head, tail, np.repeat(depths[once], TREES).astype(np.int32), np.repeat(keys[once], TREES))], names=["head", "tail", "depth", "key"])
 
-    labels = stored(ready.select("key", "text").mapInArrow(label, "label long, key long"), "forest")
-    buckets = labels.groupBy("label").agg(F.min("key").alias("lead"), F.max("key").alias("most")).where("lead <> most").drop("most")
-    edges = labels.join(buckets, "label").where("key <> lead").select(F.col("key").alias("a"), F.col("lead").alias("b")).distinct()
+    edges = meetings(ready.select("key", "text").mapInArrow(sign, "head long, tail long, depth int, key long"), top)
     groups = cut(components(cut(edges)))
     counted = ready.select("id", "key").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))
     counted = stored(counted, "copies")

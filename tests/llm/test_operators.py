@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
@@ -215,6 +216,33 @@ def test_depth_shortens():
     assert [jaccard.depth_for(0.8, r) for r in (0.5, 0.99, 0.9999)] == sorted((jaccard.depth_for(0.8, r) for r in (0.5, 0.99, 0.9999)), reverse=True)
 
 
+def test_depths_are_each_texts_own():
+    """A text of n shingles is matched by the shortest prefix that its least alike partner needs, and by none shorter."""
+    bound = Fraction(4, 5)
+    for n in (*range(1, 30), 400):
+        least = min(Fraction(c, n + m - c) for m in range(1, 2 * n + 2) for c in range(1, min(n, m) + 1) if Fraction(c, n + m - c) >= bound)
+        depth = jaccard.own_depths(np.array([n]), bound, 0.999)[0]
+        missed = [(1 - float(least) ** d) ** jaccard.TREES for d in (depth, depth + 1)]
+        assert missed[0] <= 0.001 and (depth == jaccard.MAX_DEPTH or missed[1] > 0.001)
+    assert set(jaccard.own_depths(np.arange(1, 30), bound, 0.999)) == {6, 7, 8}
+
+
+def test_forest_meets_by_prefix(spark):
+    """Texts are connected just as a walk over all pairs connects them that share the shorter of their two prefixes."""
+    draw, bits = random.Random(8), jaccard.tail_bits(6)
+    rows = [(key, draw.randrange(12), *(draw.randrange(3) for _ in range(2)), draw.choice((6, 7, 7, 8, 8, 8))) for key in range(90)]
+    forest = [(head, (x * (depth > 6) << bits) | y * (depth > 7), depth, key) for key, head, x, y, depth in rows]
+    root = list(range(90))
+    for _ in rows:
+        for a, *one, da in rows:
+            for b, *two, db in rows:
+                if one[: min(da, db) - 5] == two[: min(da, db) - 5]:
+                    root[a] = root[b] = min(root[a], root[b])
+    edges = jaccard.meetings(spark.createDataFrame(forest, "head long, tail long, depth int, key long"), 6)
+    found = {r.node: r.root for r in jaccard.components(edges).collect()}
+    assert [found.get(x, x) for x in range(90)] == root and len(set(root)) > 12
+
+
 def test_components(spark):
     draw = random.Random(5)
     edges = [(draw.randrange(80), draw.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 140)]
