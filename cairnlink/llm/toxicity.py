@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ from cairnlink.llm.tokens import ALNUM, Words, find_words, hash_ranges, sliced
 BITS = 18
 GRAMS, PREFIXES = (4, 5), (6, 7, 8)
 #: Bounds of the sample that the model is fitted on: labelled rows of each class, and the longest text among them.
-SAMPLE = {1: 700, 0: 1400}
+SAMPLE = {1: 1000, 0: 2000}
 SAMPLE_CHARS = 12_000
 #: One odd multiplier for each kind of feature: 0 whole words, n byte n-grams, -n the first n bytes of words.
 _MULTIPLY = {kind: np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3)) % (1 << 64) | 1) for i, kind in enumerate((0, 4, 5, -6, -7, -8))}
@@ -237,21 +238,32 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "
     """Fit a tagger on a bounded sample of the labelled rows that are ``usable``; with one class alone, its constant score.
 
     The sample takes ``SAMPLE`` rows of each class, in the order of a hash of the id, whose text has ``SAMPLE_CHARS``
-    characters at most; only these reach the driver. Labels of null id or value, and repeated ones, are left out.
+    characters at most. One task fits the model; the driver gets it and the hashes of the texts, never these. Labels of
+    null id or value, and repeated ones, are left out.
     """
     clean = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isin(0, 1)).where(usable).groupBy(F.col(id_column).alias("_id")).agg(F.max(label_column).cast("int").alias("_toxic"))
-    short = docs.where(F.length(text_column) <= SAMPLE_CHARS).select(F.col(id_column).alias("_doc"))
-    clean = clean.join(short.distinct(), F.col("_id") == F.col("_doc"), "left_semi").cache()
-    sizes = {r[0]: r[1] for r in clean.groupBy("_toxic").count().collect()}
-    picks = [clean.where(F.col("_toxic") == kind).orderBy(F.xxhash64("_id"), "_id").limit(most) for kind, most in SAMPLE.items()]
-    picked = docs.join(F.broadcast(picks[0].unionByName(picks[1])), F.col(id_column) == F.col("_id"))
-    rows = picked.where(F.length(text_column) <= SAMPLE_CHARS).groupBy("_id").agg(F.first(text_column).alias("t"), F.first("_toxic").alias("y")).orderBy(F.xxhash64("_id"), "_id").collect()
-    clean.unpersist()
-    rows = list({r.t: r for r in reversed(rows)}.values())[::-1]  # of equal texts one
-    toxic = np.array([r.y for r in rows], float)
-    if not len(rows) or toxic.min() == toxic.max():
-        return float(toxic[0]) if len(rows) else 0.0
-    return fit([r.t for r in rows], toxic, sizes[0] / sizes[1])
+    known = docs.where(F.length(text_column) <= SAMPLE_CHARS).select(F.col(id_column).alias("_doc"), F.xxhash64(text_column).alias("_key"), F.length(text_column).alias("_n"))
+    labelled = known.join(clean, F.col("_id") == F.col("_doc")).select("_id", "_toxic", "_key", "_n", F.xxhash64("_id").alias("_at")).cache()
+    sizes = {r[0]: r[1] for r in labelled.groupBy("_toxic").agg(F.countDistinct("_id")).collect()}
+    one = labelled.groupBy("_id").agg(F.min(F.struct("_at", "_id", "_toxic", "_key", "_n")).alias("_one")).select("_one.*")
+    rows = [r for kind, most in SAMPLE.items() for r in one.where(F.col("_toxic") == kind).orderBy("_at", "_id").limit(most).collect()]
+    labelled.unpersist()
+    rows = {r["_key"]: r for r in sorted(rows, key=lambda r: (r["_at"], r["_id"]), reverse=True)}  # of equal texts one
+    kinds = {r["_toxic"] for r in rows.values()}
+    if len(kinds) < 2:
+        return float(max(kinds, default=0))
+    odds = sizes[0] / sizes[1]
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in ("_place", "_t", "_y")))]
+        found.sort(key=lambda x: x[0])
+        tagger = fit([x[1] for x in found], np.array([x[2] for x in found], float), odds)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tagger)], pa.binary())], names=["model"])
+
+    picks = docs.sparkSession.createDataFrame([(r["_key"], r["_toxic"], -i) for i, r in enumerate(rows.values())], "_key long, _toxic int, _place int")
+    texts = docs.select(F.col(text_column).alias("_text"), F.xxhash64(text_column).alias("_key")).join(F.broadcast(picks), "_key")
+    texts = texts.groupBy("_key").agg(F.first("_place").alias("_place"), F.first("_text").alias("_t"), F.first("_toxic").alias("_y"))
+    return pickle.loads(texts.repartition(1).mapInArrow(train, "model binary").first()["model"])
 
 
 SPAN_TYPE = "array<struct<start:long,end:long,score:double>>"

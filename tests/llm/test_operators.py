@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and against nulls, empty texts, repeated rows and empty tables."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from cairnlink.llm import decontam, jaccard, licenses, mixing, sharding, substrings, token_shards, topk, toxicity, unigram
 from cairnlink.llm.queries import word_count
 from cairnlink.llm.shared import with_permuted
+from cairnlink.llm.tokens import find_words
 
 TOKENIZERS = "/opt/tokenizers"
 DOCS = "doc_id long, text string, source string, row_no long, shard int"
@@ -328,6 +330,17 @@ def test_toxicity(spark, nothing):
     assert toxicity.score_texts(nothing, tagger).count() == 0
 
 
+def test_toxicity_sample(spark, monkeypatch):
+    """1,000 toxic and 2,000 clean texts are fitted on, in a task; the driver never fits."""
+    assert toxicity.SAMPLE == {1: 1000, 0: 2000}
+    here = os.getpid()
+    rows = [(i, f"word{i} " + ("villain knave" if i % 4 == 0 else "plain text"), None, None, None) for i in range(200)]
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "find_words", lambda *a, **k: pytest.fail("fitted on the driver") if os.getpid() == here else find_words(*a, **k))
+    tagger = toxicity.learn(spark.createDataFrame(rows, DOCS), marks, F.lit(True))
+    assert isinstance(tagger, toxicity.Tagger)
+
+
 def test_marginals_are_exact():
     from itertools import product
 
