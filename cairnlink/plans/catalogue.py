@@ -23,14 +23,24 @@ def query(make):
     return make
 
 
-def feed(spark: SparkSession, sf: str) -> DataFrame:
+def whole_feed(spark: SparkSession, sf: str) -> DataFrame:
     return tables.feed_of_documents(spark, sf)
 
 
+def feed(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed as the SQL twins define it, which cut name and address to 80 and 120 characters."""
+    rows = whole_feed(spark, sf)
+    return rows.withColumn("business_name", F.substring("business_name", 1, 80)).withColumn("business_address", F.substring("business_address", 1, 120))
+
+
 def records(spark: SparkSession, sf: str) -> DataFrame:
     return N.normalize_records(feed(spark, sf))
 
 
+def whole_records(spark: SparkSession, sf: str) -> DataFrame:
+    return N.normalize_records(whole_feed(spark, sf))
+
+
 def prepared(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = blocking.prepare(records(spark, sf))
     ones, candidates = rows.where("source = 'S1'"), rows.where("source <> 'S1'")
@@ -117,7 +127,7 @@ def normalized_records(spark, sf):
 
 @query
 def nfkc_names(spark, sf):
-    return feed(spark, sf).select("entity_id", N.nfkc(F.concat(F.col("business_name"), F.lit("ﬁ２"))).alias("name"))
+    return whole_feed(spark, sf).select("entity_id", N.nfkc(F.concat(F.col("business_name"), F.lit("ﬁ２"))).alias("name"))
 
 
 @query
@@ -161,7 +171,7 @@ def token_sets(spark, sf):
 
 @query
 def multi_acronyms(spark, sf):
-    return records(spark, sf).select("entity_id", F.array_join(T.acronyms(F.col("raw_name"), F.col("norm_name")), ",").alias("acronyms"))
+    return whole_records(spark, sf).select("entity_id", F.array_join(T.acronyms(F.col("raw_name"), F.col("norm_name")), ",").alias("acronyms"))
 
 
 # Blocking
@@ -230,12 +240,12 @@ def candidate_priority(spark, sf):
 
 @query
 def candidate_hits(spark, sf):
-    return blocking.generate(records(spark, sf))
+    return blocking.generate(whole_records(spark, sf))
 
 
 @query
 def candidate_hits_multi(spark, sf):
-    return blocking.generate(records(spark, sf), blocking.Blocking.multi())
+    return blocking.generate(whole_records(spark, sf), blocking.Blocking.multi())
 
 
 @query
@@ -521,4 +531,4 @@ def calibrated_scores(spark, sf):
 
 @query
 def linkage_pipeline(spark, sf):
-    return pipeline.run(feed(spark, sf))
+    return pipeline.run(whole_feed(spark, sf))

@@ -91,12 +91,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def feed_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as an entity feed: id by doc_id mod 3, name and address from the first two lines."""
+    """Documents as an entity feed: id by doc_id mod 3, name and address are the whole first two lines."""
     lines = F.split("text", "\n")
     return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("S"), F.col("doc_id") % 3 + 1, F.lit("-"), "doc_id").alias("entity_id"),
-        F.substring(F.get(lines, F.lit(0)), 1, 80).alias("business_name"),
-        F.coalesce(F.substring(F.get(lines, F.lit(1)), 1, 120), F.lit("")).alias("business_address"),
+        F.get(lines, F.lit(0)).alias("business_name"),
+        F.coalesce(F.get(lines, F.lit(1)), F.lit("")).alias("business_address"),
         F.col("lang").alias("country"),
         "doc_id",
         F.xxhash64("text").alias("text_key"),

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from cairnlink.functions import similarity as S
 from cairnlink.operators import blocking, decide, scoring, validate
 from cairnlink.plans import pipeline
+from cairnlink.plans.catalogue import QUERIES
+from cairnlink.sources import tables
 from cairnlink.streaming import incremental
 
 FEED = [
@@ -107,6 +109,18 @@ def test_validator_rules(spark):
     assert rules == {"duplicate_row", "duplicate_id", "self_id", "bad_prefix", "missing_row", "extra_row"}
 
 
+def test_feed_takes_whole_lines(spark, tmp_path):
+    """Lines that differ only far behind stay different, and words there reach the records."""
+    long = "word " * 400
+    texts = [f"{long}left\n{long}street\nrest", f"{long}right\n{long}road", "one line", "", None]
+    spark.createDataFrame([(i, x, "en") for i, x in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: (r.business_name, r.business_address) for r in tables.feed_of_documents(spark, str(tmp_path)).collect()}
+    wanted = [(x.split("\n") + [""])[:2] for x in texts[:4]]
+    assert [found[i] for i in range(4)] == [tuple(x) for x in wanted] and found[4] == (None, "")
+    names = {r.entity_id: r.name for r in QUERIES["nfkc_names"](spark, str(tmp_path)).collect()}
+    assert names["S1-0"].startswith(f"{long}left") and names["S2-1"].startswith(f"{long}right")
+
+
 def test_stream_normalises(spark, feed, tmp_path):
     feed.write.parquet(f"{tmp_path}/in")
     stream = incremental.normalized_stream(spark, f"{tmp_path}/in")
