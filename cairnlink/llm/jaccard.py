@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnlink.llm.shared import cut, new_folder
+from cairnlink.llm.shared import cut, stored
 from cairnlink.llm.tokens import ALNUM, Words, find_words, mix, sliced, window_hashes
 
 TREES, MAX_DEPTH = 24, 8
@@ -136,13 +136,6 @@ def meetings(forest: DataFrame, top: int) -> DataFrame:
     return rows.select(F.col("key").alias("a"), F.explode(leads).alias("b")).where("a <> b").distinct()
 
 
-def stored(df: DataFrame, stem: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder."""
-    path = new_folder(df.sparkSession, stem)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b): root is the least node that it is connected to.
 

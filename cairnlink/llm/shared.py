@@ -20,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Where it names none (tests), a new local one."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it names none, a new local one, on a local master only."""
     context = spark.sparkContext
     named = context.getConf().get(CHECKPOINT_SETTING) or spark.conf.get(CHECKPOINT_SETTING, None)
     if not named and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"{CHECKPOINT_SETTING} must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="cairnlink-")
         spark.conf.set(CHECKPOINT_SETTING, named)
     if context.getCheckpointDir() is None:
@@ -41,6 +43,19 @@ def new_folder(spark: SparkSession, stem: str) -> str:
     return f"{shared_dir(spark)}/{stem}-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete what an operator has stored and nobody reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored(df: DataFrame, stem: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder."""
+    path = new_folder(df.sparkSession, stem)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def number_rows(df: DataFrame, keys: list[Column], name: str = "row_no") -> DataFrame:
     """Add the 0-based position of each row in the order of ``keys``, without a single-task sort.
 
@@ -96,7 +111,7 @@ def with_permuted(df: DataFrame, column: str, n: int, key: int, name: str, inver
     A Feistel network permutes the cells of a grid of at least n cells, one side added to by a keyed hash of
     the other in each round; while a value falls outside 0..n-1 the network is applied again (cycle walking). The
     grid has fewer than sqrt(n)+1 cells too many, so almost no row walks. A walk ends after at most that many
-    steps; beyond 4,096 rows 64 steps are planned, past which a row would fall once in 10**115 rows.
+    steps; beyond 4,096 rows 64 steps are planned. A row still outside then (odds of 1 in 10**115) raises.
     """
     a, b = _domain(n)
     value = F.col(column)
@@ -111,5 +126,7 @@ def with_permuted(df: DataFrame, column: str, n: int, key: int, name: str, inver
     if a * b > n:
         steps = min(a * b - n + 1, 64)
         walked = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col("_x"), lambda x, _: F.when(x < n, x).otherwise(_feistel(x, n, key, inverse)))
+        lost = F.raise_error(F.lit("a walk of the permutation did not end")).cast("long")
         frame = frame.withColumn("_x", F.when(F.col("_x") < n, F.col("_x")).otherwise(walked))
+        frame = frame.withColumn("_x", F.when(F.col("_x") < n, F.col("_x")).otherwise(lost))
     return frame.withColumn(name, F.col("_x")).drop("_x", "_l", "_r")

@@ -15,8 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlink.llm.jaccard import stored
-from cairnlink.llm.shared import with_permuted
+from cairnlink.llm.shared import drop_folder, new_folder, with_permuted
 from cairnlink.llm.tokens import column_bytes, hash_ranges, sliced
 
 #: Fixed value: how the public byte-level tokenizers cut a text into pieces.
@@ -103,54 +102,64 @@ def _with_ends(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.insert(ids, np.cumsum(counts), END_OF_TEXT) if len(counts) else ids
 
 
-def _count(ranks):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, total = Encoder(ranks.value), 0
-        for batch in sliced(batches):
-            total += int(encoder.batch(batch.column("text"))[1].sum()) + batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total], pa.int64())], names=["part", "n"])
-
-    return run
-
+def _cut(ranks, length: int):
+    """Encode texts and cut the ids of each task into sequences; a row holds those that one stretch of texts completes."""
 
-def _emit(ranks, length: int, starts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        number, most = starts.value.get(part, (0, 0))
-        encoder, press = Encoder(ranks.value), zstandard.ZstdCompressor(level=1)
+        encoder, press = Encoder(ranks.value), zstandard.ZstdCompressor(level=3)
+        context, number = TaskContext.get(), 0
+        task = context.partitionId()
         held, owners = np.zeros(0, np.uint16), []  # ids not yet sent; (first place in held, document)
 
-        def rows(count: int, real: list[int]) -> pa.RecordBatch:
+        def row(count: int, real: int) -> pa.RecordBatch:
             nonlocal held, owners, number
-            places = np.array([p for p, _ in owners], np.int64)
-            payload, docs = [], []
-            for i in range(count):
-                low, high = i * length, (i + 1) * length
-                payload.append(press.compress(held[low:high].tobytes()))
-                a, b = max(0, int(np.searchsorted(places, low, "right")) - 1), int(np.searchsorted(places, high, "left"))
-                docs.append([d for _, d in owners[a:b]])
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(number, number + count)), pa.array(real, pa.int64()), pa.array(docs, pa.list_(pa.int64())), pa.array(payload, pa.binary())], names=["row_no", "n_tokens", "doc_ids", "packed"]
-            )
+            places, ids = np.array([p for p, _ in owners], np.int64), [d for _, d in owners]
+            low = np.maximum(0, np.searchsorted(places, np.arange(count) * length, "right") - 1)
+            high = np.searchsorted(places, np.arange(1, count + 1) * length, "left")
+            docs = [ids[a:b] for a, b in zip(low.tolist(), high.tolist())]
+            packed = press.compress(_planes(held[: count * length]))
+            columns = [pa.array([task], pa.int32()), pa.array([number]), pa.array([count]), pa.array([real]), pa.array([docs], pa.list_(pa.list_(pa.int64()))), pa.array([packed], pa.binary())]
             cut = max(0, int(np.searchsorted(places, count * length, "right")) - 1)
             owners = [(max(0, p - count * length), d) for p, d in owners[cut:]]
             held, number = held[count * length :], number + count
-            return out
+            return pa.RecordBatch.from_arrays(columns, names=["task", "first", "n", "real", "docs", "packed"])
 
-        last = number + most
         for batch in sliced(batches):
             ids, counts = encoder.batch(batch.column("text"))
             begins = len(held) + np.append(0, np.cumsum(counts + 1))[:-1]
             owners += list(zip(begins.tolist(), batch.column("id").to_pylist()))
             held = np.concatenate([held, _with_ends(ids, counts)])
             if count := len(held) // length:
-                yield rows(count, [length] * count)
-        if len(held):
-            real = len(held)
+                yield row(count, length)
+        if real := len(held):
             held = np.concatenate([held, np.full(length - real, END_OF_TEXT, np.uint16)])
-            yield rows(1, [real])
-        if number != last:
-            raise RuntimeError(f"partition {part} read other texts than when they were counted")
+            yield row(1, real)
+
+    return run
+
+
+def _planes(ids: np.ndarray) -> bytes:
+    """Low bytes, then high bytes: they compress better apart."""
+    return ids.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def _joined(planes: bytes) -> np.ndarray:
+    return np.frombuffer(planes, np.uint8).reshape(2, -1).T.copy().view("<u2").ravel()
+
+
+def _single(length: int, starts):
+    """One row for each sequence of the stored rows, with its global number; packed alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for row in batch.to_pylist():
+                rows = _joined(open_.decompress(row["packed"])).reshape(-1, length)
+                number = starts.value[row["task"]] + row["first"] + np.arange(row["n"])
+                real = np.full(row["n"], length)
+                real[-1] = row["real"]
+                packed = [press.compress(x.tobytes()) for x in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(real), pa.array(row["docs"], pa.list_(pa.int64())), pa.array(packed, pa.binary())], names=["row_no", "n_tokens", "doc_ids", "packed"])
 
     return run
 
@@ -186,40 +195,53 @@ def shard_name(shard: int) -> str:
 
 
 def write_shards(docs: DataFrame, folder: str, ranks_file: str, key: int = 271_828, length: int = 1024, per_shard: int = 8192, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Write token shards to ``folder`` and return the manifest: slot, shard, byte_offset, n_tokens, doc_ids, crc32.
-
-    Texts are encoded with the byte-level vocabulary of ``ranks_file``, each followed by an end-of-text id, and the ids of
-    each input partition cut into sequences of ``length`` (the partition's last one filled up with end-of-text ids).
-    A keyed Feistel permutation with cycle walking gives every sequence a global slot; shard s holds the slots from
-    s * ``per_shard`` on, in order, each as ``length`` little-endian 16-bit ids. So the place of any slot is known
-    without an index, and a reader resumes anywhere (``read_sequences``). Each shard is written by one task, under a name
-    of its own that is then moved, so a lost task leaves no partial shard. The files appear when the manifest is computed.
-
-    Encoding runs twice, first to count, so that texts are never shuffled, only sequences, once. The partitions must be
-    the same both times; if ``docs`` is more than a scan it is first stored. A null or empty text is one end-of-text id;
-    a null id is null in doc_ids; repeated rows are encoded again; an empty table gives an empty manifest and no shard.
+    """Write token shards to ``folder`` and return the manifest: slot, shard, byte_offset, n_tokens, doc_ids, crc32, file.
+
+    Texts are encoded with the byte-level vocabulary of ``ranks_file`` (65,536 ids at most), each followed by an
+    end-of-text id, and the ids of each input task cut into sequences of ``length`` (the task's last one filled up with
+    end-of-text ids). A keyed Feistel permutation with cycle walking gives every sequence a global slot; shard s holds the
+    slots from s * ``per_shard`` on, in order, each as ``length`` little-endian 16-bit ids. So the place of any slot is
+    known without an index, and a reader resumes anywhere (``read_sequences``).
+
+    Encoding runs once: the sequences are stored, packed, in the shared folder, then counted by task, numbered, shuffled
+    once to their shards and written; the stored ones go. The call returns when all is written. Each shard is written by
+    one task, under a name of its own that is then moved, so a lost task leaves no partial shard. ``manifest`` (Parquet)
+    and then ``layout.json`` come last: where the latter is, the set is whole.
+
+    A null or empty text is one end-of-text id; a very long one runs through as many sequences as it needs; a null id is
+    null in doc_ids; repeated rows are encoded again; an empty table gives an empty manifest and no shard. Ids that are no
+    integers are kept as null. Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    nodes = {line.strip(" +-:!").split(" ")[0].split("[")[0] for line in slim._jdf.queryExecution().optimizedPlan().toString().splitlines() if line.strip()}
-    if not nodes <= {"Project", "Filter", "Relation"}:
-        slim = stored(slim, "texts")
-    ranks = spark.sparkContext.broadcast(load_ranks(ranks_file))
-    counts = {r.part: -(-r.n // length) for r in slim.mapInArrow(_count(ranks), "part long, n long").collect()}
+    slim = docs.select(F.expr(f"try_cast(`{id_column}` as bigint)").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    known = load_ranks(ranks_file)
+    if max(known.values(), default=0) >= 1 << 16:
+        raise ValueError("the vocabulary has ids beyond 16 bits")
+    ranks = spark.sparkContext.broadcast(known)
+    path = new_folder(spark, "sequences")
+    cut = slim.mapInArrow(_cut(ranks, length), "task int, first long, n long, real long, docs array<array<long>>, packed binary")
+    cut.write.option("compression", "none").parquet(path)
+    ranks.unpersist()
+    stored_rows = spark.read.parquet(path)
+    counts = {r.task: r.n for r in stored_rows.groupBy("task").agg(F.sum("n").alias("n")).collect()}  # a row for each input task
     starts, total = {}, 0
-    for part in sorted(counts):
-        starts[part] = (total, counts[part])
-        total += counts[part]
+    for task in sorted(counts):
+        starts[task] = total
+        total += counts[task]
     shards = max(1, -(-total // per_shard))
     files, root = pafs.FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)
-    with files.open_output_stream(f"{root}/layout.json") as out:
-        out.write(json.dumps({"sequences": total, "length": length, "per_shard": per_shard, "key": key, "type": "<u2"}).encode())
-    rows = slim.mapInArrow(_emit(ranks, length, spark.sparkContext.broadcast(starts)), "row_no long, n_tokens long, doc_ids array<long>, packed binary")
+    rows = stored_rows.mapInArrow(_single(length, spark.sparkContext.broadcast(starts)), "row_no long, n_tokens long, doc_ids array<long>, packed binary")
     placed = with_permuted(rows, "row_no", total, key, "slot").withColumn("shard", F.expr(f"cast(slot div {per_shard} as int)"))
     placed = placed.withColumn("byte_offset", (F.col("slot") - F.col("shard") * F.lit(per_shard)) * (2 * length))
     dealt = placed.select("slot", "shard", "byte_offset", "n_tokens", "doc_ids", "packed").repartitionById(shards, "shard").sortWithinPartitions("slot")
-    return dealt.mapInArrow(_write(folder), "slot long, shard int, byte_offset long, n_tokens long, doc_ids array<long>, crc32 long")
+    manifest = dealt.mapInArrow(_write(folder), "slot long, shard int, byte_offset long, n_tokens long, doc_ids array<long>, crc32 long")
+    named = manifest.withColumn("file", F.concat(F.lit(f"{folder}/"), F.format_string("shard-%08d.bin", "shard")))
+    named.write.mode("overwrite").parquet(f"{folder}/manifest")
+    with files.open_output_stream(f"{root}/layout.json") as out:
+        out.write(json.dumps({"sequences": total, "length": length, "per_shard": per_shard, "key": key, "type": "<u2"}).encode())
+    drop_folder(spark, path)
+    return spark.read.parquet(f"{folder}/manifest")
 
 
 def read_sequences(folder: str, slot: int, count: int) -> np.ndarray:

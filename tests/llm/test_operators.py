@@ -171,8 +171,17 @@ def test_token_shards(spark, corpus, nothing, tmp_path):
     ranks = token_shards.load_ranks(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
     encode = tiktoken.Encoding("t", pat_str=token_shards.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     n = len(made)
-    assert sorted(r.slot for r in made) == list(range(n))
+    assert sorted(r.slot for r in made) == list(range(n)) and {r.file for r in made} == {f"{folder}/shard-{r.shard:08d}.bin" for r in made}
     whole = token_shards.read_sequences(folder, 0, n)
+    rows_of = spark.createDataFrame([(i,) for i in range(n)], "row_no long")
+    place = {r.row_no: r.slot for r in with_permuted(rows_of, "row_no", n, 271_828, "slot").collect()}
+    parts = df.select("text").withColumn("task", F.spark_partition_id()).collect()
+    line = []
+    for task in sorted({r.task for r in parts}):
+        ids = [x for r in parts if r.task == task for x in [*encode(r.text or ""), token_shards.END_OF_TEXT]]
+        ids += [token_shards.END_OF_TEXT] * (-len(ids) % 64)
+        line += [ids[i : i + 64] for i in range(0, len(ids), 64)]
+    assert len(line) == n and all(whole[place[i]].tolist() == x for i, x in enumerate(line))
     assert whole.shape == (n, 64) and np.array_equal(token_shards.read_sequences(folder, 14, 5), whole[14:19])
     got = Counter(x for x in whole.ravel().tolist() if x != token_shards.END_OF_TEXT)
     assert got == Counter(x for r in rows for x in encode(r[1] or ""))
