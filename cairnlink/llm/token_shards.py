@@ -22,6 +22,7 @@ from cairnlink.llm.tokens import column_bytes, hash_ranges, sliced
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END_OF_TEXT = 50256
 _KNOWN = 400_000
+SAMPLE_BYTES = 200_000
 _PLAIN = np.array([0x20 < i < 0x7F or i >= 0x80 for i in range(256)])
 
 
@@ -106,7 +107,7 @@ def _cut(ranks, length: int):
     """Encode texts and cut the ids of each task into sequences; a row holds those that one stretch of texts completes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, press = Encoder(ranks.value), zstandard.ZstdCompressor(level=3)
+        encoder, press = Encoder(ranks.value), zstandard.ZstdCompressor(level=6)
         context, number = TaskContext.get(), 0
         task = context.partitionId()
         held, owners = np.zeros(0, np.uint16), []  # ids not yet sent; (first place in held, document)
@@ -117,7 +118,7 @@ def _cut(ranks, length: int):
             low = np.maximum(0, np.searchsorted(places, np.arange(count) * length, "right") - 1)
             high = np.searchsorted(places, np.arange(1, count + 1) * length, "left")
             docs = [ids[a:b] for a, b in zip(low.tolist(), high.tolist())]
-            packed = press.compress(_planes(held[: count * length]))
+            packed = press.compress(held[: count * length].tobytes())
             columns = [pa.array([task], pa.int32()), pa.array([number]), pa.array([count]), pa.array([real]), pa.array([docs], pa.list_(pa.list_(pa.int64()))), pa.array([packed], pa.binary())]
             cut = max(0, int(np.searchsorted(places, count * length, "right")) - 1)
             owners = [(max(0, p - count * length), d) for p, d in owners[cut:]]
@@ -138,23 +139,14 @@ def _cut(ranks, length: int):
     return run
 
 
-def _planes(ids: np.ndarray) -> bytes:
-    """Low bytes, then high bytes: they compress better apart."""
-    return ids.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
-
-
-def _joined(planes: bytes) -> np.ndarray:
-    return np.frombuffer(planes, np.uint8).reshape(2, -1).T.copy().view("<u2").ravel()
-
-
-def _single(length: int, starts):
-    """One row for each sequence of the stored rows, with its global number; packed alone."""
+def _single(length: int, starts, sample):
+    """One row for each sequence of the stored rows, with its global number; packed alone, with a sample of ids as dictionary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        open_, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=6, dict_data=_dictionary(sample.value))
         for batch in batches:
             for row in batch.to_pylist():
-                rows = _joined(open_.decompress(row["packed"])).reshape(-1, length)
+                rows = np.frombuffer(open_.decompress(row["packed"]), "<u2").reshape(-1, length)
                 number = starts.value[row["task"]] + row["first"] + np.arange(row["n"])
                 real = np.full(row["n"], length)
                 real[-1] = row["real"]
@@ -164,10 +156,14 @@ def _single(length: int, starts):
     return run
 
 
-def _write(folder: str):
+def _dictionary(sample: bytes) -> zstandard.ZstdCompressionDict:
+    return zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
+def _write(folder: str, sample):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = pafs.FileSystem.from_uri(folder)
-        open_, stream, now, temporary = zstandard.ZstdDecompressor(), None, None, ""
+        open_, stream, now, temporary = zstandard.ZstdDecompressor(dict_data=_dictionary(sample.value)), None, None, ""
 
         def close() -> None:
             if stream is not None:
@@ -231,11 +227,13 @@ def write_shards(docs: DataFrame, folder: str, ranks_file: str, key: int = 271_8
     shards = max(1, -(-total // per_shard))
     files, root = pafs.FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)
-    rows = stored_rows.mapInArrow(_single(length, spark.sparkContext.broadcast(starts)), "row_no long, n_tokens long, doc_ids array<long>, packed binary")
+    some = stored_rows.select("packed").limit(1).collect()
+    sample = spark.sparkContext.broadcast(zstandard.ZstdDecompressor().decompress(some[0].packed)[:SAMPLE_BYTES] if some else b"")
+    rows = stored_rows.mapInArrow(_single(length, spark.sparkContext.broadcast(starts), sample), "row_no long, n_tokens long, doc_ids array<long>, packed binary")
     placed = with_permuted(rows, "row_no", total, key, "slot").withColumn("shard", F.expr(f"cast(slot div {per_shard} as int)"))
     placed = placed.withColumn("byte_offset", (F.col("slot") - F.col("shard") * F.lit(per_shard)) * (2 * length))
     dealt = placed.select("slot", "shard", "byte_offset", "n_tokens", "doc_ids", "packed").repartitionById(shards, "shard").sortWithinPartitions("slot")
-    manifest = dealt.mapInArrow(_write(folder), "slot long, shard int, byte_offset long, n_tokens long, doc_ids array<long>, crc32 long")
+    manifest = dealt.mapInArrow(_write(folder, sample), "slot long, shard int, byte_offset long, n_tokens long, doc_ids array<long>, crc32 long")
     named = manifest.withColumn("file", F.concat(F.lit(f"{folder}/"), F.format_string("shard-%08d.bin", "shard")))
     named.write.mode("overwrite").parquet(f"{folder}/manifest")
     with files.open_output_stream(f"{root}/layout.json") as out:
