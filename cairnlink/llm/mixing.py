@@ -43,14 +43,14 @@ def flight(share: np.ndarray, size: np.ndarray, order: np.ndarray, draws: np.nda
     """Move inclusion probabilities until two at most lie strictly between 0 and 1.
 
     A dozen rows are in the air at a time. Each move is along the vector of the null space of both balancing
-    constraints (number of rows, total size) that lies nearest to the first row's own axis, up to the first 0 or 1;
-    a row that comes first is drawn to rise with its own probability, and so goes until it is settled. Both totals are
-    kept. It is settled with the help of rows about as long, so if long rows come first, short ones are left over.
+    constraints (number of rows, total size) that lies nearest to the first row's own axis, one way or the other up to the
+    first 0 or 1. Which way is drawn with the probabilities that keep every row's expected value: way ``up`` with
+    down / (up + down). Both totals are kept. Rows fly with others about as long, so if long rows come first, short ones
+    are left over.
     """
     share = share.astype(float).copy()
     coming = [int(i) for i in order if _CLOSE < share[i] < 1 - _CLOSE][::-1]
     held: list[int] = []
-    first, rises = -1, False
     for draw in draws:
         while coming and len(held) < HELD_ROWS:
             held.append(coming.pop())
@@ -69,9 +69,7 @@ def flight(share: np.ndarray, size: np.ndarray, order: np.ndarray, draws: np.nda
         with np.errstate(divide="ignore"):
             to_one, to_zero = (1 - now) / np.abs(along), now / np.abs(along)
         up, down = np.where(along > 0, to_one, to_zero).min(), np.where(along > 0, to_zero, to_one).min()
-        if held[lead] != first:
-            first, rises = held[lead], draw < now[lead]
-        now = now + (up if rises else -down) * along
+        now = now + (up if draw * (up + down) < down else -down) * along
         ends = (now <= 1e-7) | (now >= 1 - 1e-7)
         share[held] = np.where(ends, np.round(now), now)
         held = [x for x, ended in zip(held, ends) if not ended]
@@ -120,28 +118,31 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     size is off by a few words, or by up to its longest row where a few long rows make up much of it.
 
     Rows are numbered by source, then a hash of (seed, id, ``content``): reruns agree. A null size counts as 0;
-    null sources form one source; repeated rows are rows of their own; an empty table gives an empty result.
+    null sources form one source; repeated rows are rows of their own; an empty table gives an empty result. A row as long
+    as its source's target, or longer, makes the source miss it by up to that row's length. Columns named source_size,
+    target or copies are replaced; all others stay, but names that begin with an underscore are the operator's own.
     """
-    docs = docs.withColumn(size_column, F.coalesce(F.col(size_column), F.lit(0)).cast("long")).drop("source_size", "target", "copies", "row_no")
+    docs = docs.withColumn(size_column, F.coalesce(F.col(size_column), F.lit(0)).cast("long")).drop("source_size", "target", "copies")
     targets = cut(source_targets(docs, weights, most, source_column, size_column))
-    joined = docs.join(_by_size(targets).withColumnRenamed("source", "_source"), F.col(source_column).eqNullSafe(F.col("_source"))).drop("_source")
-    numbered = number_rows(joined, [F.col("source_no"), F.xxhash64(F.lit(seed), id_column, *content), F.col(id_column)])
+    sources = _by_size(targets.select(F.col("source").alias("_source"), F.col("source_no").alias("_source_no"), "source_size", "target"))
+    joined = docs.join(sources, F.col(f"`{source_column}`").eqNullSafe(F.col("_source"))).drop("_source")
+    numbered = number_rows(joined, [F.col("_source_no"), F.xxhash64(F.lit(seed), id_column, *content), F.col(id_column)], "_row_no")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     sure = F.floor(ratio + _CLOSE)
     numbered = cut(numbered.withColumns({"_sure": sure, "_share": F.greatest(ratio - sure, F.lit(0.0))}))
-    doubt = numbered.where(F.col("_share") > _CLOSE).select("row_no", "source_no", F.col(size_column).alias("size"), F.col("_share").alias("share"))
+    doubt = numbered.where(F.col("_share") > _CLOSE).select(F.col("_row_no").alias("row_no"), F.col("_source_no").alias("source_no"), F.col(size_column).alias("size"), F.col("_share").alias("share"))
     settled, span, level = None, numbered.count(), BLOCK_ROWS
     while True:
         whole = level >= 2 * max(span, 1)
         key = [F.col("source_no")] if whole else [F.col("source_no"), F.expr(f"row_no div {level}")]
         flown = cut(_round(doubt, key, seed + level, whole))
         open_ = (F.col("share") > _CLOSE) & (F.col("share") < 1 - _CLOSE)
-        done = flown.where(~open_).select("row_no", F.col("share").cast("long").alias("_once"))
+        done = flown.where(~open_).select(F.col("row_no").alias("_row_no"), F.col("share").cast("long").alias("_once"))
         settled = done if settled is None else settled.unionByName(done)
         if whole:
             break
         doubt, level = flown.where(open_), level * (BLOCK_ROWS // (LANDING_ROWS + 6))
-    return numbered.join(settled, "row_no", "left").withColumn("copies", F.col("_sure") + F.coalesce("_once", F.lit(0))).drop("_sure", "_share", "_once", "weight", "source_no", "row_no")
+    return numbered.join(settled, "_row_no", "left").withColumn("copies", F.col("_sure") + F.coalesce("_once", F.lit(0))).drop("_sure", "_share", "_once", "_source_no", "_row_no")
 
 
 def _by_size(targets: DataFrame, rows: int = 100_000) -> DataFrame:
@@ -159,7 +160,7 @@ def remix(docs: DataFrame, size: Column, weights: tuple[float, ...] = (5, 2, 1),
     if not copies.where("_rows > 1").isEmpty():  # equal rows share their copies: the first takes what does not divide
         joined = joined.withColumn("_n", F.row_number().over(Window.partitionBy("_hash").orderBy("_row")))
         joined = joined.withColumn("_copies", F.expr("_copies div _rows + cast(_n <= _copies % _rows as long)"))
-    return take(joined.select(*docs.columns, F.col("_copies").alias("copies")))
+    return take(joined.select(*docs.columns, "_copies"), "_copies")
 
 
 def take(docs: DataFrame, copies: str = "copies") -> DataFrame:
