@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from cairnlink.llm.shared import new_folder
 from cairnlink.llm.tokens import ALNUM, find_words, mix, sliced
 
 #: A hit of any of these masks (# compares, - ignores) is certain in 20 words with up to 4 substituted.
@@ -79,6 +81,16 @@ def _ragged(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + low[owner], owner
 
 
+def _portions(size: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Stretches whose sizes add up to ``most`` at most, one value at least."""
+    total, out, at = np.cumsum(size), [], 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        out.append((at, to))
+        at = to
+    return out
+
+
 def overlaps(texts: pa.Array, seeds: Seeds) -> list[list[dict]]:
     """For each text the items it overlaps: one entry for an item, with the widest span of words that counts."""
     found = find_words(texts, ALNUM, lower=True)
@@ -90,9 +102,9 @@ def overlaps(texts: pa.Array, seeds: Seeds) -> list[list[dict]]:
         hit = np.flatnonzero(seeds.likely[mask][here >> np.uint64(44)])
         hit = hit[doc[hit] == doc[hit + len(mask) - 1]]
         low, high = np.searchsorted(keys, here[hit], "left"), np.searchsorted(keys, here[hit], "right")
-        for a in range(0, len(hit), 100_000):
-            entry, owner = _ragged(low[a : a + 100_000], (high - low)[a : a + 100_000])
-            place = hit[a : a + 100_000][owner]
+        for a, b in _portions(high - low, 200_000):  # however often a seed stands in the benchmark
+            entry, owner = _ragged(low[a:b], (high - low)[a:b])
+            place = hit[a:b][owner]
             lanes.append(np.unique(np.stack([item[entry], place - at[entry], doc[place]], 1), axis=0))
     if not lanes or not sum(map(len, lanes)):
         return [[] for _ in spans]
@@ -132,35 +144,58 @@ def mark_overlaps(docs: DataFrame, benchmark: DataFrame, text_column: str = "tex
     Words are lower-cased runs of letters, digits and non-ASCII characters. An overlap is a stretch of ``SPAN`` words, laid
     word by word over the item, of which at most a fifth differ; an item shorter than that must be there as a whole, one
     under 8 words without a difference. Masks that ignore some places find them all: whatever up to a fifth of
-    the words is substituted, one mask hits. Every text and item is compared in full.
+    the words is substituted, one mask hits. Every text and item is compared in full, however long.
 
-    The benchmark is taken in blocks of about ``block_words`` words, each held by every task, so its size is bounded
-    whatever the benchmark's; each block is one pass over ``docs``. A null or empty text or item overlaps nothing; items
-    with equal texts are all listed, as are items with a null id; empty tables are fine. Other columns stay.
+    The benchmark is taken in blocks of about ``block_words`` words. One block's seeds are broadcast at a time: if there
+    are several, each one's hits, by the hash of the text, are written to the shared folder before the next is sent, and
+    all are joined to ``docs`` in the end. So what a task and the driver hold is bounded whatever the benchmark's size.
+
+    A null or empty text or item overlaps nothing; items with equal texts are all listed, as are items with a null id; ids
+    of items keep their type; repeated rows are marked alike; empty tables are fine. A column ``overlaps`` of the caller is
+    replaced; all others stay.
     """
-    context = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     docs = docs.drop("overlaps")
-    items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_column).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"))
+    kind = benchmark.schema[item_column].dataType
+    items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_column).alias("id"), F.col(item_text).cast("string").alias("text"))
     words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = max(1, -(-words // block_words))
-    entry = pa.list_(pa.struct([("item_id", pa.int64()), ("first", pa.int64()), ("end", pa.int64()), ("matched", pa.int64())]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", overlaps array<struct<item_id:long,first:long,end:long,matched:long>>"
+    entry = pa.list_(pa.struct([("item_id", to_arrow_type(kind)), ("first", pa.int64()), ("end", pa.int64()), ("matched", pa.int64())]))
+    named = f"overlaps array<struct<item_id:{kind.simpleString()},first:long,end:long,matched:long>>"
 
-    def marker(held, column: str):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches, column):
-                found = pa.array(overlaps(batch.column(column).cast(pa.large_string()), held.value), entry)
-                if "overlaps" in batch.schema.names:
-                    found = pa.array([x + y for x, y in zip(batch.column("overlaps").to_pylist(), found.to_pylist())], entry)
-                    batch = batch.drop_columns(["overlaps"])
-                yield batch.append_column("overlaps", found)
+    def seeds_of(block: int):
+        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).orderBy("id", "text").collect()
+        return spark.sparkContext.broadcast(Seeds.of([tuple(r) for r in part]))
 
-        return run
+    if blocks == 1:
+        held = seeds_of(0)
 
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches, text_column):
+                yield batch.append_column("overlaps", pa.array(overlaps(batch.column(text_column).cast(pa.large_string()), held.value), entry))
+
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+        return docs.mapInArrow(mark, f"{schema}, {named}")
+
+    hash_ = [F.xxhash64(F.col(f"`{text_column}`")), F.xxhash64(F.lit(1), F.col(f"`{text_column}`"))]
+    slim = docs.select(F.col(f"`{text_column}`").cast("string").alias("text"), hash_[0].alias("_one"), hash_[1].alias("_two"))
+    folder = new_folder(spark, "overlaps")
     for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).orderBy("id", "text").collect()
-        docs = docs.mapInArrow(marker(context.broadcast(Seeds.of([tuple(r) for r in part])), text_column), schema)
-    return docs
+        held = seeds_of(block)
+
+        def hits(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches):
+                found = overlaps(batch.column("text").cast(pa.large_string()), held.value)
+                picks = pa.array([i for i, x in enumerate(found) if x], pa.int64())
+                yield batch.drop_columns(["text"]).take(picks).append_column("overlaps", pa.array([x for x in found if x], entry))
+
+        one = slim.mapInArrow(hits, f"_one long, _two long, {named}").groupBy("_one", "_two").agg(F.first("overlaps").alias("overlaps"))
+        one.write.parquet(f"{folder}/block={block}")
+        held.unpersist()
+    found = spark.read.parquet(folder).groupBy("_one", "_two").agg(F.flatten(F.collect_list("overlaps")).alias("overlaps"))
+    marked = docs.withColumns({"_1": hash_[0], "_2": hash_[1]}).join(found, (F.col("_1") == F.col("_one")) & (F.col("_2") == F.col("_two")), "left")
+    none = F.array().cast(f"array<struct<item_id:{kind.simpleString()},first:long,end:long,matched:long>>")
+    return marked.withColumn("overlaps", F.coalesce("overlaps", none)).drop("_1", "_2", "_one", "_two")
 
 
 def is_clean(overlaps_column: str = "overlaps") -> Column:
