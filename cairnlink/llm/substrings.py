@@ -16,7 +16,8 @@ MINIMISER_WORDS = 4
 SLOTS = 1 << 16
 BUCKET_BYTES = 8 << 20
 _ODD, _ODD_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_KNOWN = 100_000  # super-k-mers seen more than once that a task remembers
+TASK_BYTES = 32 << 20
+_KNOWN_BYTES = 32 << 20  # super-k-mers seen more than once that a task remembers
 
 
 def _slots(hashes: np.ndarray) -> np.ndarray:
@@ -104,6 +105,7 @@ def _removed(doc: np.ndarray, text: np.ndarray, low: np.ndarray, high: np.ndarra
 def _scatter(k: int, minimiser: int, frequent: np.ndarray, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple] = {}
+        likely, held = np.zeros(1 << 16, bool), 0  # slots of known sequences, bytes of their strings
         for batch in sliced(batches):
             found = find_words(batch.column("text"), NOT_SPACE)
             ids, texts = batch.column("doc").to_numpy(), batch.column("text_hash").to_numpy()
@@ -119,7 +121,7 @@ def _scatter(k: int, minimiser: int, frequent: np.ndarray, buckets: int):
             send = np.ones(len(first), bool)
             twice = np.append(sequence[1:] == sequence[:-1], False)
             twice[1:] |= twice[:-1].copy()
-            for i in np.flatnonzero(twice) if not known else range(len(first)):  # equal strings: only the first place travels
+            for i in np.flatnonzero(twice | likely[_slots(sequence)]):  # equal strings: only the first place travels
                 key = int(sequence[i])
                 old = known.get(key)
                 if old is None and not twice[i]:
@@ -130,9 +132,11 @@ def _scatter(k: int, minimiser: int, frequent: np.ndarray, buckets: int):
                     if old[0] < mine:
                         send[i] = False
                         continue
-                if len(known) >= _KNOWN:
+                if held >= _KNOWN_BYTES:
                     known.clear()
-                known[key] = (mine, bytes(body))
+                    likely[:], held = False, 0
+                held += 0 if old is not None else len(body) + 200
+                known[key], likely[key >> 48] = (mine, bytes(body)), True
             if not send.all():
                 gone = np.flatnonzero(~send)
                 row = _removed(ids[doc[gone]], texts[doc[gone]], at[gone], at[gone] + after[gone] - first[gone] + k - 1)
@@ -222,12 +226,13 @@ def repeated_ranges(docs: DataFrame, k: int = 20, minimiser: int = MINIMISER_WOR
 
     ``docs`` has doc (the id; null is the least), text_hash and text. Consecutive windows with one minimiser travel as one
     string to the minimiser's bucket; there a sort puts equal windows together, the first place ahead. A string that
-    a task has sent before goes only once. The number of buckets follows the size of the texts.
+    a task has sent before goes only once. The numbers of buckets and of tasks follow the size of the texts.
     """
     frequent, size = frequent_slots(docs, minimiser)
     buckets = max(1, -(-3 * size // bucket_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sent = docs.mapInArrow(_scatter(k, minimiser, frequent, buckets), "bucket long, doc long, text_hash long, ranges binary, packed binary")
-    return sent.groupBy("bucket").applyInArrow(lambda part: _gather(k)(part), "doc long, text_hash long, ranges binary")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-3 * size // TASK_BYTES))
+    return sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(lambda part: _gather(k)(part), "doc long, text_hash long, ranges binary")
 
 
 def cut_repeats(docs: DataFrame, k: int = 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -239,10 +244,12 @@ def cut_repeats(docs: DataFrame, k: int = 20, id_column: str = "doc_id", text_co
 
     Null and empty texts have no words, texts under k words no window. A null id counts as smaller than all others.
     Rows of one id with different texts count as different rows, ordered by a hash of the text; rows that agree in
-    id and text are one document and are treated alike. An empty table gives an empty result; other columns stay.
+    id and text are one document and are treated alike. Very long texts go through whole. Ids that are no integers are
+    read as such where they can be and count as null else. An empty table gives an empty result. Columns named n_words,
+    n_removed, removed or kept_text are replaced; all others stay.
     """
     spare = [c for c in docs.columns if c not in (text_column, "n_words", "n_removed", "removed", "kept_text")]
-    ready = docs.select(*[F.col(f"`{c}`") for c in spare], F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63))).alias("_doc"), F.xxhash64(text_column).alias("_hash"), F.col(f"`{text_column}`").cast("string").alias("_text"))
+    ready = docs.select(*[F.col(f"`{c}`") for c in spare], F.coalesce(F.expr(f"try_cast(`{id_column}` as bigint)"), F.lit(-(1 << 63))).alias("_doc"), F.xxhash64(text_column).alias("_hash"), F.col(f"`{text_column}`").cast("string").alias("_text"))
     ranges = repeated_ranges(ready.select(F.col("_doc").alias("doc"), F.col("_hash").alias("text_hash"), F.col("_text").alias("text")), k)
     gathered = ranges.groupBy(F.col("doc").alias("_d"), F.col("text_hash").alias("_h")).agg(F.collect_list("ranges").alias("_ranges"))
 
