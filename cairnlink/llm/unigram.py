@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -14,7 +15,9 @@ from cairnlink.llm.tokens import NOT_SPACE, Words, column_bytes, hash_ranges, sl
 #: Fixed values of the public tokenizer: the mark that stands for a space, and what an unknown character costs below the least score.
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-_KNOWN = 300_000
+_KNOWN_BYTES = 64 << 20
+#: The counter and the counted parts of a Python worker, by vocabulary; tasks that follow start warm.
+_WARM: dict = {}
 
 
 def vocabulary(model_file: str) -> list[tuple[str, float]]:
@@ -40,39 +43,42 @@ class Counter:
         self.unknown = min((score for _, score in pieces), default=0.0) - UNKNOWN_PENALTY
         names = {piece for piece, _ in pieces}
         self.bytes = all(f"<0x{i:02X}>" in names for i in range(256))
-        self.longest = max(map(len, scores), default=0)
+        self.longest = max(map(len, scores), default=1)
 
     def count(self, text: str) -> int:
-        """Pieces of one text.
+        """Pieces of one text. Memory is the text and a ring of as many places as the longest piece has characters.
 
         best[i] is the best score of the first i characters and used[i] its piece count. Ways to a position are tried from the
         longest piece to the shortest and only a better score replaces one, so of equal scores the longest last piece
         stays; a character that is no piece itself is unknown and tried last. A run of unknown characters is as many
         pieces as it has bytes, or one if the vocabulary has no byte pieces.
         """
-        n = len(text)
-        if not n:
-            return 0
-        ways: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for end, way in self.matcher.iter(text):
-            ways[end + 1].append(way)
-        best, used, last_unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for at in range(1, n + 1):
-            top, count, single = None, 0, False
-            for size, score in sorted(ways[at], reverse=True):
+        room = self.longest + 1  # no piece reaches further back
+        best, used, stray = [0.0] * room, [0] * room, [False] * room
+        matches = self.matcher.iter(text) if len(self.matcher) else iter(())
+        coming = next(matches, None)
+        for at in range(1, len(text) + 1):
+            ways = []
+            while coming is not None and coming[0] + 1 == at:
+                ways.append(coming[1])
+                coming = next(matches, None)
+            if len(ways) > 1:
+                ways.sort(reverse=True)
+            top, count, single, unknown = None, 0, False, False
+            for size, score in ways:
                 single |= size == 1
-                value = best[at - size] + score
+                value = best[(at - size) % room] + score
                 if top is None or value > top:
-                    top, count = value, used[at - size] + 1
-            stray = False
+                    top, count = value, used[(at - size) % room] + 1
             if not single:
-                value = best[at - 1] + self.unknown
+                before = (at - 1) % room
+                value = best[before] + self.unknown
                 if top is None or value > top:
-                    top, stray = value, True
-                    more = len(text[at - 1].encode()) if self.bytes else int(not last_unknown[at - 1])
-                    count = used[at - 1] + more
-            best[at], used[at], last_unknown[at] = top, count, stray
-        return used[n]
+                    top, unknown = value, True
+                    count = used[before] + (len(text[at - 1].encode()) if self.bytes else int(not stray[before]))
+            here = at % room
+            best[here], used[here], stray[here] = top, count, unknown
+        return used[len(text) % room]
 
 
 def _marked_words(texts: pa.Array) -> Words:
@@ -91,16 +97,20 @@ def count_tokens(docs: DataFrame, model_file: str, text_column: str = "text", na
     """Add the number of pieces that a unigram tokenizer with the vocabulary and scores of ``model_file`` makes of each text.
 
     The tokenizer puts a mark for every space and one ahead of a text that has none there, cuts ahead of every mark, and
-    takes the best-scoring segmentation of each part. Equal parts of a stretch of texts are segmented once; a task
-    remembers up to 300,000 more. Part lengths are not limited; the work is linear in them.
+    takes the best-scoring segmentation of each part. Equal parts of a stretch of texts are segmented once; a worker
+    remembers some 64 MB more. Part lengths are not limited; the work is linear in them.
 
-    Null and empty texts have no pieces. Other columns stay; repeated rows and empty tables are fine.
+    Null and empty texts have no pieces. Repeated rows are counted alike; an empty table gives an empty result. A column
+    named ``name`` is replaced; all others stay.
     """
     docs = docs.drop(name)
-    pieces = docs.sparkSession.sparkContext.broadcast(vocabulary(model_file))
+    pieces, mark = docs.sparkSession.sparkContext.broadcast(vocabulary(model_file)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, known = Counter(pieces.value), {}
+        if mark not in _WARM:
+            _WARM.clear()
+            _WARM[mark] = (Counter(pieces.value), {}, [0])
+        counter, known, held = _WARM[mark]
         for batch in sliced(batches, text_column):
             found = _marked_words(batch.column(text_column))
             keys, at, back = np.unique(hash_ranges(found.data, found.start, found.end), return_index=True, return_inverse=True)
@@ -111,8 +121,10 @@ def count_tokens(docs: DataFrame, model_file: str, text_column: str = "text", na
                 if size is None:
                     text = part.decode()
                     size = counter.count(MARK + text[1:] if text[0] == " " else MARK + text if text[0] != MARK else text)
-                    if len(known) >= _KNOWN:
+                    if held[0] >= _KNOWN_BYTES:
                         known.clear()
+                        held[0] = 0
+                    held[0] += len(part) + 150
                     known[part] = size
                 sizes[i] = size
             total = np.append(0, np.cumsum(sizes[back]))
