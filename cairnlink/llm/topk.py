@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnlink.llm.shared import cut
+from cairnlink.llm.shared import cut, new_folder
 
 QUERY_BLOCK = 4096
 HEAD_ROWS = 4096
@@ -45,6 +45,11 @@ def _gram(vectors: DataFrame, width: int) -> np.ndarray:
     return out.reshape(width, width)
 
 
+def _sortable(ids: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the ids, which may be strings."""
+    return np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids
+
+
 class _Queries:
     """One block of queries, rotated, with the score that the k-th best of each has at least."""
 
@@ -80,7 +85,7 @@ class _Queries:
         for low in range(0, len(query), 200_000):
             at = slice(low, low + 200_000)
             score[at] = np.einsum("ij,ij->i", self.vectors[query[at]], vectors[cand[at]])
-        order = np.lexsort((ids[cand], -score, query))
+        order = np.lexsort((_sortable(ids[cand]), -score, query))
         query, cand, score = query[order], cand[order], score[order]
         rank = np.arange(len(query)) - np.searchsorted(query, query, "left")
         best = rank < k
@@ -91,24 +96,29 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
     """The k rows of highest integer inner product for each query row, ties to the smaller id: query_id, rank, id, score.
 
     ``vector_column`` holds arrays of integers (up to 2**26 in size, so that sums are exact); shorter ones end in
-    zeros. Rows with a null vector or a null id take no part. A row is no candidate of its own query, but another row with
-    the same id or vector is. Fewer than k candidates: all of them. An empty table gives an empty result.
+    zeros; a larger component raises. Rows with a null vector, a vector with a null component or a null id take no part.
+    A row is no candidate of its own query, but another row with the same id or vector is. Fewer than k candidates: all
+    of them. An empty table gives an empty result. Ids keep their type; other columns are not read.
 
     Vectors are range-partitioned and sorted by descending length. The longest ones give every query a first k-th best
     score; after that, a stretch of vectors is left out for a query when length times length stays under it, and a pair
     when the partial sum over the leading axes (of a rotation to the singular axes of all vectors) plus the product of
     the residual lengths does. What is left is scored in integers. Queries go in blocks of ``query_block``, each a
-    pass over the vectors, so no task holds more than one block, a stretch of rows and their partial sums.
+    pass over the vectors whose finds are written to the shared folder before the next block is sent, so no task, plan or
+    driver holds more than one block, a stretch of rows and their partial sums.
     """
     spark = vectors.sparkSession
-    ready = vectors.where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull())
-    ready = ready.select(F.monotonically_increasing_id().alias("uid"), F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<long>").alias("v"), is_query.alias("asks"))
+    ready = vectors.where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull() & F.forall(vector_column, lambda x: x.isNotNull()))
+    large = F.exists(vector_column, lambda x: F.abs(x) > 1 << 26)
+    whole = F.when(large, F.raise_error(F.lit("a component exceeds 2**26")).cast("array<long>")).otherwise(F.col(vector_column).cast("array<long>"))
+    ready = ready.select(F.monotonically_increasing_id().alias("uid"), F.col(id_column).alias("id"), whole.alias("v"), is_query.alias("asks"))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     ready = ready.withColumn("length", length)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ready = cut(ready.repartitionByRange(parts, F.desc("length"), "uid").sortWithinPartitions(F.desc("length"), "uid"))
     width, asking = ready.agg(F.max(F.size("v")), F.sum(F.col("asks").cast("long"))).first()
-    kind = "query_id long, rank int, " + f"`{id_column}` long, score long"
+    id_type = vectors.schema[id_column].dataType.simpleString()
+    kind = f"query_id {id_type}, rank int, `{id_column}` {id_type}, score long"
     if not asking:
         return spark.createDataFrame([], kind)
     width = max(1, width)
@@ -117,8 +127,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
     steps = sorted({max(1, width // 4), max(1, width // 2), width})
     head = ready.orderBy(F.desc("length"), "uid").limit(HEAD_ROWS).select("uid", "id", "v").toArrow()
     head_uid, head_ids, head_v = head.column("uid").to_numpy(), head.column("id").to_numpy(), _matrix(head.column("v").combine_chunks(), width)
-    blocks = -(-asking // query_block)
-    found = None
+    blocks, folder = -(-asking // query_block), new_folder(spark, "top")
     for block in range(blocks):
         mine = ready.where(F.col("asks") & (F.pmod(F.xxhash64("uid"), F.lit(blocks)) == block)).select("uid", "id", "v").toArrow()
         if not mine.num_rows:
@@ -135,22 +144,28 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
             (held, query_ids), held_least = shared.value, shared.value[0].least.copy()
             mine = _Queries(held.uid, held.vectors, held.rotation, held.parts, held_least)
             best: tuple[np.ndarray, ...] = tuple(np.zeros(0, np.int64) for _ in range(3))
+            id_kind = None
             for batch in batches:
                 for low in range(0, batch.num_rows, _ROWS // 4):
                     part = batch.slice(low, _ROWS // 4)
-                    ids = part.column("id").to_numpy()
+                    id_kind = part.column("id").type
+                    ids = part.column("id").to_numpy(zero_copy_only=False)
                     query, cand, score = mine.search(part.column("uid").to_numpy(), ids, _matrix(part.column("v"), width), k)
                     merged = [np.concatenate(x) for x in zip(best, (query, ids[cand], score))]
-                    order = np.lexsort((merged[1], -merged[2], merged[0]))
+                    order = np.lexsort((_sortable(merged[1]), -merged[2], merged[0]))
                     merged = [x[order] for x in merged]
                     rank = np.arange(len(order)) - np.searchsorted(merged[0], merged[0], "left")
                     best = tuple(x[rank < k] for x in merged)
                     full = rank[rank < k] == k - 1
                     mine.least[best[0][full]] = np.maximum(mine.least[best[0][full]], best[2][full])
-            yield pa.RecordBatch.from_arrays([pa.array(mine.uid[best[0]]), pa.array(query_ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["uid", "query_id", id_column, "score"])
-
-        one = ready.select("uid", "id", "v").mapInArrow(run, f"uid long, query_id long, `{id_column}` long, score long")
-        found = one if found is None else found.unionByName(one)
+            if id_kind is None:
+                return
+            yield pa.RecordBatch.from_arrays([pa.array(mine.uid[best[0]]), pa.array(query_ids[best[0]], id_kind), pa.array(best[1], id_kind), pa.array(best[2])], names=["uid", "query_id", id_column, "score"])
+
+        one = ready.select("uid", "id", "v").mapInArrow(run, f"uid long, query_id {id_type}, `{id_column}` {id_type}, score long")
+        one.write.parquet(f"{folder}/block={block}")
+        shared.unpersist()
+    found = spark.read.parquet(folder)
     order = Window.partitionBy("uid").orderBy(F.desc("score"), id_column)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", id_column, "score")
 
