@@ -15,9 +15,9 @@ from cairnlink.llm.tokens import ALNUM, Words, find_words, hash_ranges, sliced
 
 BITS = 18
 GRAMS, PREFIXES = (4, 5), (6, 7, 8)
-#: Bounds of the sample that the model is fitted on: labelled rows of each class, and the longest text among them.
+#: Bounds of the sample that the model is fitted on: distinct texts of each class, and characters of each class in all.
 SAMPLE = {1: 1000, 0: 2000}
-SAMPLE_CHARS = 12_000
+SAMPLE_CHARS = 16_000_000
 #: One odd multiplier for each kind of feature: 0 whole words, n byte n-grams, -n the first n bytes of words.
 _MULTIPLY = {kind: np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3)) % (1 << 64) | 1) for i, kind in enumerate((0, 4, 5, -6, -7, -8))}
 
@@ -234,21 +234,30 @@ def fit(texts: list[str], toxic: np.ndarray, odds: float, rounds: int = 40) -> T
     return tagger
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Tagger | float:
+def learn(
+    docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", sample: dict[int, int] = SAMPLE, characters: int = SAMPLE_CHARS
+) -> Tagger | float:
     """Fit a tagger on a bounded sample of the labelled rows that are ``usable``; with one class alone, its constant score.
 
-    The sample takes ``SAMPLE`` rows of each class, in the order of a hash of the id, whose text has ``SAMPLE_CHARS``
-    characters at most. One task fits the model; the driver gets it and the hashes of the texts, never these. Labels of
-    null id or value, and repeated ones, are left out.
+    The sample takes ``sample`` distinct texts of each class, in the order of a hash of the id, whole and however long;
+    a class ends early with the text that brings its characters to ``characters``. One task fits the model; the driver
+    gets it and the hashes of the texts, never these. Labels of null id or value are left out, and of labels that
+    contradict each other for one id the higher counts. Of rows that share an id, or a text, the one of the least hash
+    counts, so reruns agree. Null texts are left out; empty tables give the score 0.
     """
     clean = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isin(0, 1)).where(usable).groupBy(F.col(id_column).alias("_id")).agg(F.max(label_column).cast("int").alias("_toxic"))
-    known = docs.where(F.length(text_column) <= SAMPLE_CHARS).select(F.col(id_column).alias("_doc"), F.xxhash64(text_column).alias("_key"), F.length(text_column).alias("_n"))
-    labelled = known.join(clean, F.col("_id") == F.col("_doc")).select("_id", "_toxic", "_key", "_n", F.xxhash64("_id").alias("_at")).cache()
-    sizes = {r[0]: r[1] for r in labelled.groupBy("_toxic").agg(F.countDistinct("_id")).collect()}
-    one = labelled.groupBy("_id").agg(F.min(F.struct("_at", "_id", "_toxic", "_key", "_n")).alias("_one")).select("_one.*")
-    rows = [r for kind, most in SAMPLE.items() for r in one.where(F.col("_toxic") == kind).orderBy("_at", "_id").limit(most).collect()]
-    labelled.unpersist()
-    rows = {r["_key"]: r for r in sorted(rows, key=lambda r: (r["_at"], r["_id"]), reverse=True)}  # of equal texts one
+    known = docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("_doc"), F.xxhash64(text_column).alias("_key"), F.length(text_column).alias("_n"))
+    labelled = known.join(clean, F.col("_id") == F.col("_doc")).select("_toxic", F.struct(F.xxhash64("_id").alias("_at"), F.col("_id").cast("string").alias("_id"), "_key", "_n").alias("_one"), "_id")
+    of_id = labelled.groupBy("_id").agg(F.min("_one").alias("_one"), F.first("_toxic").alias("_toxic"))
+    of_text = of_id.groupBy("_one._key").agg(F.min(F.struct("_one", "_toxic")).alias("_best")).select("_best._toxic", "_best._one.*").cache()
+    sizes = {r[0]: r[1] for r in of_id.groupBy("_toxic").count().collect()}
+    rows = {}
+    for kind, most in sample.items():
+        total = 0
+        for r in of_text.where(F.col("_toxic") == kind).orderBy("_at", "_id").limit(most).collect():
+            if total < characters:
+                rows[r["_key"]], total = r, total + r["_n"]
+    of_text.unpersist()
     kinds = {r["_toxic"] for r in rows.values()}
     if len(kinds) < 2:
         return float(max(kinds, default=0))
@@ -272,8 +281,10 @@ SPAN_TYPE = "array<struct<start:long,end:long,score:double>>"
 def score_texts(docs: DataFrame, tagger: Tagger | float, text_column: str = "text") -> DataFrame:
     """Add ``toxicity`` (0 to 1) and ``toxic_spans`` (UTF-8 byte offsets of runs of words that are likelier toxic than not).
 
-    Every word of every text is tagged; memory is the model and 4 MB of text. A null or empty text has no words and
-    gets the score of a text without any sign of toxicity, and no spans. Other columns stay.
+    Every word of every text is tagged; memory is the model and 4 MB of text, or one text if it is longer. A null or
+    empty text has no words and gets the score of a text without any sign of toxicity, and no spans. Equal texts get
+    equal scores, repeated rows stay, an empty table gives an empty result. Columns toxicity and toxic_spans of the
+    caller are replaced; all others stay.
     """
     docs = docs.drop("toxicity", "toxic_spans")
     held = docs.sparkSession.sparkContext.broadcast(tagger)
