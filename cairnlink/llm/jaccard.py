@@ -12,10 +12,13 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnlink.llm.shared import cut, stored
+from cairnlink.llm.shared import cut, spread_join, stored
 from cairnlink.llm.tokens import ALNUM, Words, find_words, mix, sliced, window_hashes
 
 TREES, MAX_DEPTH = 24, 8
+#: A sketch is a byte each of so many values of a signature; texts agreeing in NEAR of them lead or follow one another.
+SKETCH, NEAR, LINKED = 128, 83, 34
+BRANCH_ROWS = 2048
 _SIZED = 100
 BLOCK = 256
 _SEEN = 50_000
@@ -78,11 +81,12 @@ def own_depths(sizes: np.ndarray, threshold: Fraction, recall: float) -> np.ndar
     return known[np.minimum(sizes, _SIZED + 1) - 1]
 
 
-def signatures(value: np.ndarray, first: np.ndarray, depths: np.ndarray, top: int, trees: int = TREES) -> tuple[np.ndarray, np.ndarray]:
-    """For each text that has shingles and each tree the head and the tail of its signature of ``depths`` values.
+def signatures(value: np.ndarray, first: np.ndarray, depths: np.ndarray, top: int, trees: int = TREES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text that has shingles and each tree the head and the tail of its signature of ``depths`` values; and a sketch.
 
     The head is a hash of the tree and the first ``top`` values, which nobody's prefix is shorter than. The tail holds the
-    next ones, as many low bits of each as fit, the first in the highest bits; those beyond a text's depth are 0.
+    next ones, as many low bits of each as fit, the first in the highest bits; those beyond a text's depth are 0. The
+    sketch has the low byte of each of the first ``SKETCH`` values of the heads.
     """
     rng = np.random.default_rng(20_240_229)
     odd = rng.integers(1, 1 << 63, (trees, MAX_DEPTH), np.uint64) | np.uint64(1)
@@ -90,6 +94,7 @@ def signatures(value: np.ndarray, first: np.ndarray, depths: np.ndarray, top: in
     has = np.flatnonzero(np.diff(first) > 0)
     starts, sizes = first[has], np.diff(first)[has]
     head, tail = np.empty((len(has), trees), np.uint64), np.zeros((len(has), trees), np.uint64)
+    sketch = np.zeros((len(has), SKETCH), np.uint8)
 
     def least(value: np.ndarray, starts: np.ndarray, tree: int, at: int) -> np.ndarray:
         hashed = value * odd[tree, at]
@@ -100,7 +105,10 @@ def signatures(value: np.ndarray, first: np.ndarray, depths: np.ndarray, top: in
     for tree in range(trees if len(has) else 0):
         label = np.full(len(has), tree + 1, np.uint64) * _GOLD
         for at in range(top):
-            label = mix(label ^ least(value, starts, tree, at))
+            found = least(value, starts, tree, at)
+            label = mix(label ^ found)
+            if tree * top + at < SKETCH:
+                sketch[:, tree * top + at] = mix(found).astype(np.uint8)
         head[:, tree] = label
     bits = tail_bits(top)
     for at in range(top, MAX_DEPTH):
@@ -111,49 +119,107 @@ def signatures(value: np.ndarray, first: np.ndarray, depths: np.ndarray, top: in
             part = value[np.arange(size.sum()) - np.repeat(begin - starts[deep], size)]
             for tree in range(trees):
                 tail[deep, tree] |= (least(part, begin, tree, at) & np.uint64((1 << bits) - 1)) << np.uint64(bits * (MAX_DEPTH - 1 - at))
-    return head, tail
+    return head, tail, sketch
 
 
 def tail_bits(top: int) -> int:
     return min(16, 62 // max(1, MAX_DEPTH - top))
 
 
-def meetings(forest: DataFrame, top: int) -> DataFrame:
-    """Edges (a, b) that connect the texts of each tree's branches; ``forest`` has head, tail, depth and key.
+def branch_edges(head: np.ndarray, tail: np.ndarray, depth: np.ndarray, key: np.ndarray, sketch: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (i, j) between the texts of each branch that are alike by their sketches, many branches at a time.
 
-    Texts are sorted by signature below each head. Step by step the prefix is shortened from ``MAX_DEPTH`` to ``top``
-    values: texts whose depth is reached take in all that share the prefix and are as deep or deeper.
+    Texts are sorted by signature. Step by step the prefix is shortened from ``MAX_DEPTH`` to ``top`` values: a branch has
+    the texts that share the prefix and are as deep or deeper, if it is some text's own. In each branch the first text
+    leads; those that agree with it in ``NEAR`` places follow it, the others look for a lead of their own; every text is
+    connected with every lead that it agrees with in ``LINKED`` places. Agreement is a metric, so two texts that agree in
+    SKETCH + LINKED - NEAR places are connected through the lead of one of them.
     """
-    bits, rows = tail_bits(top), forest.repartition("head")
-    for depth in range(MAX_DEPTH, top, -1):
-        rows = rows.withColumn(f"p{depth}", F.shiftright("tail", bits * (MAX_DEPTH - depth)))
-    signature = [f"p{depth}" for depth in range(top + 1, MAX_DEPTH + 1)]
-    rows = rows.sortWithinPartitions("head", *signature)
-    for depth in range(MAX_DEPTH, top - 1, -1):
-        branch = Window.partitionBy("head", *signature[: depth - top])
-        rows = rows.withColumn(f"lead{depth}", F.min(F.when(F.col("depth") == depth, F.col("key"))).over(branch))
-    leads = F.array(*[F.when(F.col("depth") >= depth, F.col(f"lead{depth}")) for depth in range(top, MAX_DEPTH + 1)])
-    return rows.select(F.col("key").alias("a"), F.explode(leads).alias("b")).where("a <> b").distinct()
+    bits, lefts, rights = tail_bits(top), [], []
+    for level in range(MAX_DEPTH, top - 1, -1):
+        rows = np.flatnonzero(depth >= level)
+        prefix = (tail[rows] >> np.int64(bits * (MAX_DEPTH - level))) if level > top else np.zeros(len(rows), np.int64)
+        order = np.lexsort((key[rows], prefix, head[rows]))
+        rows, prefix = rows[order], prefix[order]
+        fresh = np.append(True, (head[rows[1:]] != head[rows[:-1]]) | (prefix[1:] != prefix[:-1])) if len(rows) else np.zeros(0, bool)
+        once = np.append(True, fresh[1:] | (key[rows[1:]] != key[rows[:-1]])) if len(rows) else fresh  # copies from several tasks
+        branch = (np.cumsum(fresh) - 1)[once]
+        rows = rows[once]
+        own = np.bincount(branch, depth[rows] == level) > 0
+        keep = own[branch] & (np.bincount(branch)[branch] > 1) if len(rows) else np.zeros(0, bool)
+        rows, branch = rows[keep], branch[keep]
+        leads = np.ones(len(rows), bool)  # has no lead yet
+        live = np.arange(len(rows))
+        while len(live):
+            waiting = live[leads[live]]
+            if not len(waiting):
+                break
+            name, at = np.unique(branch[waiting], return_index=True)
+            live = live[np.isin(branch[live], name)]
+            lead = waiting[at][np.searchsorted(name, branch[live])]
+            for low in range(0, len(live), 50_000):
+                mine, its = live[low : low + 50_000], lead[low : low + 50_000]
+                same = (sketch[rows[mine]] == sketch[rows[its]]).sum(1)
+                leads[mine[same >= NEAR]] = False
+                linked = (same >= LINKED) & (mine != its)
+                lefts.append(rows[mine[linked]])
+                rights.append(rows[its[linked]])
+            leads[waiting[at]] = False
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(lefts), np.concatenate(rights)) if lefts else (none, none)
+
+
+def meetings(signed: DataFrame, top: int, branch_rows: int = BRANCH_ROWS) -> DataFrame:
+    """Edges (a, b) that connect the texts of each tree's branches; ``signed`` has key, depth, heads, tails and sketch.
+
+    Heads that one text alone has are dropped by a count that is aggregated before it is shuffled. Texts below a head of
+    up to ``branch_rows`` rows are connected by ``branch_edges``, many heads in a task, which passes on a spanning forest. Where more share a head they are all
+    connected with its first text, by joins alone, so no task gets them together; that connects more, never fewer.
+    """
+    spark = signed.sparkSession
+    forest = signed.select("key", "depth", F.explode(F.arrays_zip("heads", "tails")).alias("t")).select("key", "depth", F.col("t.heads").alias("head"), F.col("t.tails").alias("tail"))
+    counts = forest.groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lead"), F.max("key").alias("last"))
+    crowded = counts.where("lead <> last").select("head", "n", "lead")
+    members = stored(forest.join(crowded, "head"), "members")
+    star = members.where((F.col("n") > branch_rows) & (F.col("key") != F.col("lead"))).select(F.col("key").alias("a"), F.col("lead").alias("b")).distinct()
+    small = members.where(F.col("n") <= branch_rows)
+    sketches = signed.select(F.col("key").alias("_key"), "sketch").join(small.select(F.col("key").alias("_key")).distinct(), "_key", "left_semi").groupBy("_key").agg(F.first("sketch").alias("sketch"))
+    shelves = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-small.count() // 20_000))
+
+    def connect(part: pa.Table) -> pa.Table:
+        head, tail, depth, key = (part.column(c).to_numpy() for c in ("head", "tail", "depth", "key"))
+        sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        one, two = branch_edges(head, tail, depth, key, sketch, top)
+        names, node = np.unique(key, return_inverse=True)
+        root = _roots(len(names), node[one], node[two])  # a text meets another in many branches: one edge is enough
+        hung = np.flatnonzero(root != np.arange(len(names)))
+        return pa.table({"a": pa.array(names[hung]), "b": pa.array(names[root[hung]])})
+
+    shelved = small.join(sketches, F.col("key") == F.col("_key")).select("head", "tail", "depth", "key", "sketch", F.pmod(F.xxhash64("head"), F.lit(shelves)).alias("shelf"))
+    found = shelved.groupBy("shelf").applyInArrow(lambda part: connect(part), "a long, b long")
+    return found.unionByName(star).where("a <> b")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b): root is the least node that it is connected to.
 
     Large-star and small-star steps in turn until nothing changes: each hangs the neighbours of a node on the least of
-    them, by aggregates and joins alone. Edge counts never grow, and the rounds grow with the logarithm of a path.
+    them, by aggregates and joins alone, which split the edges of a node that very many share. Edge counts never grow, and
+    the rounds grow with the logarithm of a path.
     """
     pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
-    state = None
+    state, size = None, pairs.count()
     while True:
         both = pairs.unionByName(pairs.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = both.groupBy(F.col("v").alias("n")).agg(F.least(F.min("u"), F.first("v")).alias("low"))
-        large = both.where("u > v").join(low, F.col("v") == F.col("n")).select(F.col("u").alias("v"), F.col("low").alias("u"))
+        low = both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("low"), F.count(F.lit(1)).alias("n"))
+        large = spread_join(both.where("u > v"), low, "v", "n", 2 * size).select(F.col("u").alias("v"), F.col("low").alias("u"))
         hung = large.where("v <> u").distinct()
-        low = hung.groupBy(F.col("v").alias("n")).agg(F.min("u").alias("low"))
-        small = hung.join(low, F.col("v") == F.col("n"))
+        low = hung.groupBy("v").agg(F.min("u").alias("low"), F.count(F.lit(1)).alias("n"))
+        small = spread_join(hung, low, "v", "n", 2 * size)
         small = small.select(F.col("u").alias("v"), F.col("low").alias("u")).unionByName(small.select("v", F.col("low").alias("u")))
         pairs = cut(small.where("v <> u").distinct())
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        size = now[0]
         if now == state:
             break
         state = now
@@ -254,18 +320,23 @@ def link_texts(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: floa
 
     Candidates: each tree of a MinHash LSH forest sorts texts by a signature; a text meets those that share a prefix of
     it. Each text's prefix is shortened from ``MAX_DEPTH`` on until it meets the least alike partner that its number of
-    shingles allows, in one tree at least, with probability ``recall`` (``own_depths``). Meeting texts form groups, within which all pairs are verified exactly, in blocks of ``BLOCK`` by
-    ``BLOCK`` texts; what is passed on is counts and a spanning forest, never pairs. A group of n texts costs n*n/2
-    comparisons, as its links may be that many, but each task holds two blocks. Copies of a text are one text, known by
-    a 64-bit hash.
-
-    Texts without words (null, empty, punctuation) are linked to nothing and are classes of their own (class_key null); a null id gives a
-    row like any other, and class_id is null only if all ids of a class are. Repeated rows are copies.
+    shingles allows, in one tree at least, with probability ``recall`` (``own_depths``). Of the texts of a branch those
+    are connected whose sketches agree (``branch_edges``), so that chance meetings do not grow into groups; two texts at
+    the threshold are kept apart by that with a probability under 1 in 10**5. Connected texts form groups, within which
+    all pairs are verified exactly, in blocks of ``BLOCK`` by ``BLOCK`` texts; what is passed on is counts and a spanning
+    forest, never pairs. A group of n texts costs n*n/2 comparisons, as its links may be that many, but each task holds two
+    blocks. Copies of a text are one text, known by a 64-bit hash: among 10**9 different texts two are taken for
+    copies with a chance of 3 %.
+
+    Texts without words (null, empty, punctuation) are linked to nothing and are classes of their own (class_key null);
+    very long texts go through whole; a null id gives a row like any other, and class_id is null only if all ids of a class
+    are. Repeated rows are copies. Ids keep their type. Other columns are not read, whatever their names. An empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
     bound = Fraction(threshold).limit_denominator(1000)
     top = depth_for(threshold, recall)
-    ready = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("key"), F.col(text_column).cast("string").alias("text"))
+    ready = docs.select(F.col(f"`{id_column}`").alias("id"), F.xxhash64(F.col(f"`{text_column}`")).alias("key"), F.col(f"`{text_column}`").cast("string").alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -279,10 +350,12 @@ def link_texts(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: floa
             if len(seen) > _SEEN:
                 seen.clear()
             seen.update(keys[once].tolist())
-            head, tail = (x[once].astype(np.int64).ravel() for x in signatures(value, first, depths, top))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (head, tail, np.repeat(depths[once], TREES).astype(np.int32), np.repeat(keys[once], TREES))], names=["head", "tail", "depth", "key"])
+            head, tail, sketch = signatures(value, first, depths, top)
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x[once].astype(np.int64).ravel()), TREES).cast(pa.list_(pa.int64())) for x in (head, tail)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[once]), pa.array(depths[once].astype(np.int32)), *lists, pa.array([x.tobytes() for x in sketch[once]], pa.binary())], names=["key", "depth", "heads", "tails", "sketch"])
 
-    edges = meetings(ready.select("key", "text").mapInArrow(sign, "head long, tail long, depth int, key long"), top)
+    signed = stored(ready.select("key", "text").mapInArrow(sign, "key long, depth int, heads array<long>, tails array<long>, sketch binary"), "signatures")
+    edges = meetings(signed, top)
     groups = cut(components(cut(edges)))
     counted = ready.select("id", "key").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))
     counted = stored(counted, "copies")
@@ -319,8 +392,8 @@ def link_texts(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: floa
     linked = linked.join(firsts, "root").select(F.col("key").alias("_key"), "links", "text_links", "class_id", F.col("root").alias("_root"))
     worded = F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
     rows = ready.select("id", "key", F.coalesce(worded, F.lit(False)).alias("worded"))
-    known = counted.join(linked, F.col("key") == F.col("_key"), "left").select(F.col("key").alias("_k"), "copies", "least", "links", "text_links", "class_id", "_root")
-    out = rows.join(known, F.col("key") == F.col("_k"))
+    known = stored(counted.join(linked, F.col("key") == F.col("_key"), "left").select("key", "copies", "least", "links", "text_links", "class_id", "_root"), "known")
+    out = spread_join(rows, known, "key", "copies", known.agg(F.sum("copies")).first()[0] or 0)
     return out.select(
         F.col("id").alias(id_column),
         F.when(F.col("worded"), F.coalesce("class_id", "least")).otherwise(F.col("id")).alias("class_id"),
@@ -336,14 +409,14 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: flo
     """The rows of ``docs`` without near-duplicates: of each class of ``link_texts`` the row of the least id stays.
 
     Of several such rows the one of the least text hash stays, and of rows equal in both one. A null id comes last. Texts
-    without words all stay.
+    without words all stay. The columns are those of ``docs``; names that begin with an underscore are the operator's own.
     """
     linked = stored(link_texts(docs.select(id_column, text_column), threshold, k, recall, id_column, text_column), "classes")
     first = F.min(F.struct(F.col(id_column).isNull().alias("no"), F.col(id_column).alias("id"), "text_key")).alias("best")
     best = linked.where("class_key is not null").groupBy("class_key").agg(first)
     keep = linked.where("class_key is null").select(F.col(id_column).alias("_id"), F.col("text_key").alias("_key"), F.lit(False).alias("_single"))
     keep = keep.unionByName(best.select(F.col("best.id").alias("_id"), F.col("best.text_key").alias("_key"), F.lit(True).alias("_single"))).distinct()
-    kept = docs.withColumn("_text", F.xxhash64(text_column)).join(keep, F.col(id_column).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")))
+    kept = docs.withColumn("_text", F.xxhash64(text_column)).join(keep, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")))
     if not linked.where("class_key is not null").groupBy(id_column, "text_key").count().where("count > 1").isEmpty():
         order = Window.partitionBy("_id", "_text").orderBy("_key")
         kept = kept.withColumn("_n", F.row_number().over(order)).where(~F.col("_single") | (F.col("_n") == 1))

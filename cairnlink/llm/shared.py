@@ -56,6 +56,26 @@ def stored(df: DataFrame, stem: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+HOT_KEYS = 10_000
+
+
+def spread_join(left: DataFrame, facts: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Inner join with ``facts``, one row for each ``key``, where a key may have a large part of the ``total`` rows of ``left``.
+
+    ``weight`` says how many rows of ``left`` a key has. Keys with at least 1,000 rows and a ``HOT_KEYS``-th of all are at
+    most ``HOT_KEYS``; these are broadcast, and their rows not dealt by key. All others are joined as usual.
+    """
+    many = max(1000, -(-total // HOT_KEYS))
+    columns = [c for c in facts.columns if c != key]
+    hot = facts.where(F.col(weight) >= many).select(F.col(key).alias("_hot"), F.struct(*columns).alias("_of_hot"))
+    marked = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    at = F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(F.monotonically_increasing_id()))
+    marked = marked.withColumns({"_at": at, "_cold": F.col("_hot").isNull()})
+    cold = facts.where(F.col(weight) < many).select(F.col(key).alias("_k"), F.lit(True).alias("_is"), F.struct(*columns).alias("_of_cold"))
+    joined = marked.join(cold, (F.col("_at") == F.col("_k")) & (F.col("_cold") == F.col("_is")), "left").withColumn("_of", F.coalesce("_of_hot", "_of_cold"))
+    return joined.where(F.col("_of").isNotNull()).select(*left.columns, "_of.*")
+
+
 def number_rows(df: DataFrame, keys: list[Column], name: str = "row_no") -> DataFrame:
     """Add the 0-based position of each row in the order of ``keys``, without a single-task sort.
 
