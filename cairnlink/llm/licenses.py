@@ -33,6 +33,24 @@ TEMPLATES = [
     ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit", "SPDX-License-Identifier: MIT"),
+    ("apache-2", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
+    ("apache-2", "SPDX-License-Identifier: Apache-2.0"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("bsd-3", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("mpl-2", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"),
+    ("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0"),
+    ("cc0", "has waived all copyright and related or neighboring rights to this work"),
+    ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
 ]
 
 SEED = 3  # words: the shortest match that is followed up; no phrase or template is shorter
@@ -179,19 +197,38 @@ class Scanner:
         }
 
     def _chain(self, anchors: list[tuple[int, int, int, int]]) -> list[dict]:
-        """Spans of templates covered well enough by matches that follow one another in text and template."""
-        spans, chain = [], None
-        for number, at, place, long in [*anchors, (-1, 0, 0, 0)]:
-            if chain and number == chain[0] and at + long > chain[2] and place + long > chain[3] and at - chain[2] <= self.gap and place - chain[3] <= self.gap:
-                over = max(0, chain[2] - at, chain[3] - place)
-                chain[2], chain[3], chain[4] = at + long, place + long, chain[4] + max(0, long - over)
-                continue
-            if chain and number == chain[0] and at + long <= chain[2]:
-                continue
-            if chain and (share := chain[4] / len(self.texts[chain[0]][1])) >= self.cover:
-                spans.append({"label": self.texts[chain[0]][0], "first": chain[1], "end": chain[2], "covered": min(1.0, share)})
-            chain = [number, at, at + long, place + long, long] if number >= 0 else None
-        return spans
+        """Spans of templates covered well enough by matches that follow one another in text and template.
+
+        For each template the chains of most covered words are taken first, as long as they share no words of the text.
+        """
+        spans: list[dict] = []
+        for number in sorted({x[0] for x in anchors}):
+            label, words, _ = self.texts[number]
+            rows, size = [x[1:] for x in anchors if x[0] == number], len(words)
+            best, back = [long for *_, long in rows], [-1] * len(rows)
+            for i, (at, place, long) in enumerate(rows):
+                for j in range(i - 1, -1, -1):
+                    at_j, place_j, long_j = rows[j]
+                    if at - at_j > self.gap + size:  # no match is longer than the template
+                        break
+                    ahead, along = at - at_j - long_j, place - place_j - long_j
+                    if max(ahead, along) <= self.gap and ahead + long > 0 and along + long > 0 and at > at_j and place > place_j:
+                        value = best[j] + long - max(0, -ahead, -along)
+                        if value > best[i]:
+                            best[i], back[i] = value, j
+            used = set()
+            for end in sorted(range(len(rows)), key=lambda i: (-best[i], rows[i][0])):
+                chain, i = [], end
+                while i >= 0 and i not in used:
+                    chain.append(i)
+                    i = back[i]
+                if i >= 0 or best[end] < self.cover * size:
+                    continue
+                first, last = rows[chain[-1]][0], rows[end][0] + rows[end][2]
+                if all(x["end"] <= first or last <= x["first"] for x in spans if x["label"] == label):
+                    used.update(chain)
+                    spans.append({"label": label, "first": first, "end": last, "covered": min(1.0, best[end] / size)})
+        return sorted(spans, key=lambda x: (x["first"], x["end"], x["label"]))
 
 
 SCAN_TYPE = "n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, score double, spans array<struct<label:string,first:long,end:long,covered:double>>"
@@ -208,8 +245,9 @@ def scan_licenses(
     n_base counts every place of a phrase, overlapping ones too. Words that are in no seed of three licence
     words are not streamed; no match of three words or more is lost by that. Memory: the templates and 4 MB of text.
 
-    Null and empty texts have no words and no labels (empty lists, score 0, null first_word and last_word); repeated
-    rows give repeated results; an empty table gives an empty result. Other columns are not read.
+    Null and empty texts have no words and no labels (empty lists, score 0, null first_word and last_word); very long
+    texts are scanned whole; repeated rows give repeated results; an empty table gives an empty result. Other columns are
+    not read, whatever their names; ids keep their type and may be null.
     """
     kind = docs.schema[id_column].dataType.simpleString()
 

@@ -18,7 +18,8 @@ def shard_rows(df: DataFrame, shards: int, key: int = 2718281828, content: tuple
     ``row_of`` the reverse, without reading data.
 
     Nulls count as values of their own, repeated rows get a slot each, an empty table gives an empty result.
-    Columns named row_no, shard or slot are replaced. Only numbers are shuffled if ``df`` has no other columns.
+    Texts of any length are hashed whole. Columns named row_no, shard or slot are replaced, all others stay (names that
+    begin with an underscore are the operator's own). Only numbers are shuffled if ``df`` has no other columns.
     """
     df = df.drop("row_no", "shard", "slot")
     numbered = number_rows(df, [F.xxhash64(*content), F.col(content[0])])
