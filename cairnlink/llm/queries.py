@@ -14,7 +14,7 @@ TOKENIZERS = "/opt/tokenizers"
 
 def word_count(text: str = "text"):
     """Number of runs of other characters than space and the controls 9 to 13; 0 for null."""
-    return F.coalesce(F.size(F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")), F.lit(0)).cast("long")
+    return F.when(F.col(text).isNull(), 0).otherwise(F.size(F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), ""))).cast("long")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +104,50 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
 }
 
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_PLAIN = rf"regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP2_SQL = f"""
+with item as (select item_id, unnest(w) as word, unnest(range(len(w))) as j, len(w) as n, least(20, len(w)) as span from (select item_id, {_PLAIN} as w from benchmark)),
+need as (select *, span - case when span >= 8 then span // 5 else 0 end as least_same from item),
+doc as materialized (select doc_id, unnest(w) as word, unnest(range(len(w))) as pos, len(w) as size from (select doc_id, {_PLAIN} as w from documents)),
+lane as materialized (select doc_id, item_id, pos - j as off, any_value(size) as size, any_value(n) as n, any_value(span) as span, any_value(least_same) as least_same from doc join need using (word) group by all having count(*) >= any_value(least_same)),
+place as (select *, unnest(range(greatest(0, -off), least(n, size - off))) as j from lane),
+same as (select p.*, (d.word = i.word)::int as hit from place p join doc d on d.doc_id = p.doc_id and d.pos = p.off + p.j join item i on i.item_id = p.item_id and i.j = p.j),
+summed as (select *, sum(hit) over (partition by doc_id, item_id, off order by j) as upto, max(j) over (partition by doc_id, item_id, off) as last from same),
+good as (select a.doc_id, a.item_id, a.off, a.span, min(a.j) as low, max(a.j + a.span - 1) as high from summed a join summed b on b.doc_id = a.doc_id and b.item_id = a.item_id and b.off = a.off and b.j = a.j + a.span - 1
+    where b.upto - a.upto + a.hit >= a.least_same group by all),
+found as (select g.doc_id, g.item_id, g.off, g.off + g.low as first_word, g.off + g.high + 1 as end_word, cast(sum(s.hit) as bigint) as n_matched from good g join same s on s.doc_id = g.doc_id and s.item_id = g.item_id and s.off = g.off and s.j between g.low and g.high group by all)
+select doc_id, item_id, first_word, end_word, n_matched from found qualify row_number() over (partition by doc_id, item_id order by n_matched desc, first_word, off) = 1
+"""
+
+OP4_SQL = f"""
+with recursive text as materialized (select text, min(doc_id) as t, count(*) as copies, {_PLAIN} as w from documents group by text),
+shingle as materialized (select distinct t, s from (select t, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from text)),
+size as materialized (select t, count(*) as n from shingle group by t),
+shared as (select a.t as a, b.t as b, count(*) as c from shingle a join shingle b on a.s = b.s and a.t < b.t group by all),
+link as materialized (select a, b from shared join size x on x.t = a join size y on y.t = b where 5 * c >= 4 * (x.n + y.n - c)),
+edge as materialized (select a, b from link union all select b, a from link),
+reach as (select t, t as root from size union select e.b, r.root from reach r join edge e on e.a = r.t),
+class as (select t, min(root) as class_id from reach group by t),
+per as (select e.a as t, count(*) as text_links, sum(copies) as links from edge e join text x on x.t = e.b group by e.a)
+select d.doc_id, coalesce(c.class_id, d.doc_id) as class_id, cast(case when c.t is null then 0 else coalesce(p.links, 0) + x.copies - 1 end as bigint) as links, coalesce(p.text_links, 0) as text_links, x.copies
+from documents d join text x on d.text is not distinct from x.text left join class c on c.t = x.t left join per p on p.t = x.t
+"""
+
+OP5_SQL = r"""
+with word as materialized (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) as k from (select doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) as i from word)),
+again as (select doc_id, i from win qualify row_number() over (partition by k order by doc_id, i) > 1),
+gone as (select doc_id, list(distinct j) as g from (select doc_id, unnest(range(i, i + 20)) as j from again) group by doc_id),
+tagged as (select word.doc_id, w, coalesce(g, []) as g from word left join gone using (doc_id)),
+kept as (select doc_id, w, g, case when len(g) = 0 then w else list(w[j] order by j) filter (not list_contains(g, j)) end as k from (select *, unnest(case when len(g) = 0 then [0] else range(1, len(w) + 1) end) as j from tagged) group by doc_id, w, g)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(g) as bigint) as n_removed, sha256(array_to_string(coalesce(k, []), ' ')) as kept_sha256 from kept
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_decontamination": OP2_SQL,
+    "op4_ngram_jaccard_join": OP4_SQL,
+    "op5_substring_dedup": OP5_SQL,
     "op7_top_k": OP7_SQL,
 }

@@ -106,6 +106,15 @@ def test_mixing(corpus, nothing):
     assert repeated.columns == df.columns and repeated.count() == sum(r.copies for r in mixed)
 
 
+def test_flight_keeps_probabilities():
+    """Over many draws every row ends where it began on average: the moves are a martingale."""
+    draw = np.random.default_rng(6)
+    size, share = draw.integers(1, 400, 40), draw.uniform(0.1, 0.9, 40)
+    order = np.argsort(-size, kind="stable")
+    ends = np.mean([mixing.flight(share, size, order, draw.random(40)) for _ in range(3000)], 0)
+    assert np.abs(ends - share).max() < 0.04
+
+
 def test_flight_keeps_totals():
     draw = np.random.default_rng(1)
     for trial in range(120):
@@ -158,6 +167,11 @@ def test_decontamination(spark, corpus, nothing):
         marked = decontam.mark_overlaps(df, bench, block_words=block)
         found = {(r.doc_id, x.item_id) for r in marked.collect() for x in r.overlaps if r.doc_id is not None and len(texts[r.doc_id]) < 1000}
         assert found == wanted
+    named = spark.createDataFrame([(f"i{i}", x) for i, x in items], "item_id string, text string")
+    for block in (decontam.BLOCK_WORDS, 100):
+        marked = decontam.mark_overlaps(df, named, block_words=block)
+        assert {(r.doc_id, int(x.item_id[1:])) for r in marked.collect() for x in r.overlaps if r.doc_id is not None and len(texts[r.doc_id]) < 1000} == wanted
+        assert marked.count() == len(rows)
     assert decontam.mark_overlaps(nothing, bench).count() == 0
     assert decontam.mark_overlaps(df, bench.limit(0)).where(~decontam.is_clean()).count() == 0
 
@@ -242,18 +256,48 @@ def test_forest_meets_by_prefix(spark):
     """Texts are connected just as a walk over all pairs connects them that share the shorter of their two prefixes."""
     draw, bits = random.Random(8), jaccard.tail_bits(6)
     rows = [(key, draw.randrange(12), *(draw.randrange(3) for _ in range(2)), draw.choice((6, 7, 7, 8, 8, 8))) for key in range(90)]
-    forest = [(head, (x * (depth > 6) << bits) | y * (depth > 7), depth, key) for key, head, x, y, depth in rows]
+    forest = [(key, depth, [head], [(x * (depth > 6) << bits) | y * (depth > 7)], bytearray(jaccard.SKETCH)) for key, head, x, y, depth in rows]
     root = list(range(90))
     for _ in rows:
         for a, *one, da in rows:
             for b, *two, db in rows:
                 if one[: min(da, db) - 5] == two[: min(da, db) - 5]:
                     root[a] = root[b] = min(root[a], root[b])
-    edges = jaccard.meetings(spark.createDataFrame(forest, "head long, tail long, depth int, key long"), 6)
+    edges = jaccard.meetings(spark.createDataFrame(forest, "key long, depth int, heads array<long>, tails array<long>, sketch binary"), 6)
     found = {r.node: r.root for r in jaccard.components(edges).collect()}
     assert [found.get(x, x) for x in range(90)] == root and len(set(root)) > 12
 
 
+def test_branch_keeps_what_agrees():
+    """Two texts of a branch that agree in SKETCH + LINKED - NEAR places are connected; texts that do not agree are not."""
+    draw = np.random.default_rng(3)
+    centres = draw.integers(0, 256, (6, jaccard.SKETCH))
+    sketch = centres[draw.integers(0, 6, 120)].astype(np.uint8)
+    for row in sketch:
+        at = draw.integers(0, jaccard.SKETCH, draw.integers(0, 60))
+        row[at] = draw.integers(0, 256, len(at))
+    key = draw.permutation(1000)[:120]
+    head = draw.integers(0, 2, 120)
+    one, two = jaccard.branch_edges(head, np.zeros(120, np.int64), np.full(120, 6), key, sketch, 6)
+    root = jaccard._roots(120, one, two)
+    agree = (sketch[:, None] == sketch[None]).sum(2)
+    must = (agree >= jaccard.SKETCH + jaccard.LINKED - jaccard.NEAR) & (head[:, None] == head[None])
+    assert must.sum() > 300 and (root[:, None] == root[None])[must].all()
+    assert (agree[one, two] >= jaccard.LINKED).all() and len(set(root.tolist())) >= 12
+
+
+def test_crowded_heads_lose_nothing(spark, corpus):
+    """With every head taken for a crowded one the links are the same."""
+    df = corpus[0].select("doc_id", "text")
+    wanted = sorted(map(tuple, jaccard.link_texts(df).collect()), key=str)
+    real = jaccard.meetings
+    try:
+        jaccard.meetings = lambda signed, top: real(signed, top, 1)
+        assert sorted(map(tuple, jaccard.link_texts(df).collect()), key=str) == wanted
+    finally:
+        jaccard.meetings = real
+
+
 def test_components(spark):
     draw = random.Random(5)
     edges = [(draw.randrange(80), draw.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 140)]
@@ -379,3 +423,30 @@ def test_licenses(spark, nothing):
         assert r.base_labels == sorted({x for _, x in places}) and set(r.base_labels) <= set(r.labels) and 0 <= r.score <= 1
     assert "gpl-3" in found[2].labels and found[3].labels == []
     assert licenses.scan_licenses(nothing).count() == 0
+
+
+def test_license_chains():
+    """The best chain of each template, and spans that lie where its words lie; a chain by brute force covers no more."""
+    from itertools import combinations
+
+    scanner = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES, 4, 8, 0.6)
+    draw = random.Random(4)
+    for trial in range(60):
+        number = draw.randrange(len(licenses.PHRASES), len(scanner.texts))
+        label, template, _ = scanner.texts[number]
+        anchors, at = [], 0
+        for _ in range(draw.randint(1, 6)):
+            long = draw.randint(4, max(4, len(template) // 2)) if len(template) > 4 else 4
+            anchors.append((number, at, draw.randint(0, max(0, len(template) - long)), min(long, len(template))))
+            at += draw.randint(1, 12)
+        spans = scanner._chain(sorted(anchors))
+        rows, most = [x[1:] for x in sorted(anchors)], 0
+        for n in range(1, len(rows) + 1):
+            for pick in combinations(rows, n):
+                value, ok = pick[0][2], True
+                for (a, p, s), (b, q, t) in zip(pick, pick[1:]):
+                    ahead, along = b - a - s, q - p - s
+                    ok &= max(ahead, along) <= 8 and b > a and q > p and ahead + t > 0 and along + t > 0
+                    value += t - max(0, -ahead, -along)
+                most = max(most, value if ok else 0)
+        assert max((x["covered"] for x in spans), default=0) == pytest.approx(min(1.0, most / len(template)) if most >= 0.6 * len(template) else 0)
