@@ -1,31 +1,60 @@
 """Fixed values of the entity-resolution semantics: word lists, maps, patterns and limits."""
 
-# Legal forms, each canonical word with all its spellings.
-LEGAL_FORMS = {
-    "corporation": "corp corpn corporation",
-    "incorporated": "inc incorporated incorp",
-    "limited": "ltd limited ltda",
-    "private": "pvt private pvte",
-    "company": "co company",
+# Spelling of a legal form to its canonical word.
+LEGAL_MAP = {
+    "corp": "corporation",
+    "corpn": "corporation",
+    "corporation": "corporation",
+    "inc": "incorporated",
+    "incorporated": "incorporated",
+    "incorp": "incorporated",
+    "ltd": "limited",
+    "limited": "limited",
+    "ltda": "limited",
+    "pvt": "private",
+    "private": "private",
+    "pvte": "private",
+    "co": "company",
+    "company": "company",
     "llc": "llc",
     "llp": "llp",
-    "services": "svcs services svc",
-    "associates": "assoc associates assocs",
-    "international": "intl international internatl",
-    "group": "grp group",
-    "manufacturing": "mfg manufacturing",
-    "technology": "tech technology",
+    "svcs": "services",
+    "services": "services",
+    "svc": "services",
+    "assoc": "associates",
+    "associates": "associates",
+    "assocs": "associates",
+    "intl": "international",
+    "international": "international",
+    "internatl": "international",
+    "grp": "group",
+    "group": "group",
+    "mfg": "manufacturing",
+    "manufacturing": "manufacturing",
+    "tech": "technology",
+    "technology": "technology",
     "technologies": "technologies",
-    "engineering": "engg engineering eng",
-    "management": "mgmt management",
-    "enterprises": "ent enterprises enterprise",
-    "industries": "ind industries",
-    "establishment": "est establishment",
-    "trading": "trdg trading",
-    "exports": "expts exports",
-    "imports": "impts imports",
+    "engg": "engineering",
+    "engineering": "engineering",
+    "eng": "engineering",
+    "mgmt": "management",
+    "management": "management",
+    "ent": "enterprises",
+    "enterprises": "enterprises",
+    "enterprise": "enterprises",
+    "ind": "industries",
+    "industries": "industries",
+    "est": "establishment",
+    "establishment": "establishment",
+    "trdg": "trading",
+    "trading": "trading",
+    "expts": "exports",
+    "exports": "exports",
+    "impts": "imports",
+    "imports": "imports",
     "sarl": "sarl",
-    "sas": "sas sasu",
+    "sas": "sas",
+    "sasu": "sas",
     "sa": "sa",
     "eurl": "eurl",
     "eirl": "eirl",
@@ -34,8 +63,8 @@ LEGAL_FORMS = {
     "snc": "snc",
     "scp": "scp",
     "societe": "societe",
-    "etablissements": "ets",
-    "compagnie": "cie",
+    "ets": "etablissements",
+    "cie": "compagnie",
 }
 LEGAL_TAIL_WORDS = 3
 
@@ -50,64 +79,129 @@ LEGAL_PHRASES = [
     ("groupement d interet economique", "gie"),
 ]
 
-# Address words, each canonical word with all its spellings.
-ADDRESS_WORDS = {
-    "road": "rd road",
-    "street": "st street str",
-    "avenue": "ave avenue av",
-    "boulevard": "blvd boulevard bvd bd",
-    "drive": "dr drive",
-    "lane": "ln lane",
-    "court": "ct court",
-    "circle": "cir circle",
-    "place": "pl place",
-    "parkway": "pkwy parkway",
-    "highway": "hwy highway",
-    "square": "sq square",
-    "trail": "trl trail",
-    "terrace": "ter terrace",
-    "alley": "aly alley",
-    "apartment": "apt apartment",
-    "suite": "ste suite",
-    "floor": "fl floor",
-    "building": "bldg building",
-    "department": "dept department",
-    "rue": "rue r",
+# Spelling of an address word to its canonical word.
+ADDRESS_MAP = {
+    "rd": "road",
+    "road": "road",
+    "st": "street",
+    "street": "street",
+    "str": "street",
+    "ave": "avenue",
+    "avenue": "avenue",
+    "av": "avenue",
+    "blvd": "boulevard",
+    "boulevard": "boulevard",
+    "bvd": "boulevard",
+    "bd": "boulevard",
+    "dr": "drive",
+    "drive": "drive",
+    "ln": "lane",
+    "lane": "lane",
+    "ct": "court",
+    "court": "court",
+    "cir": "circle",
+    "circle": "circle",
+    "pl": "place",
+    "place": "place",
+    "pkwy": "parkway",
+    "parkway": "parkway",
+    "hwy": "highway",
+    "highway": "highway",
+    "sq": "square",
+    "square": "square",
+    "trl": "trail",
+    "trail": "trail",
+    "ter": "terrace",
+    "terrace": "terrace",
+    "aly": "alley",
+    "alley": "alley",
+    "apt": "apartment",
+    "apartment": "apartment",
+    "ste": "suite",
+    "suite": "suite",
+    "fl": "floor",
+    "floor": "floor",
+    "bldg": "building",
+    "building": "building",
+    "dept": "department",
+    "department": "department",
+    "rue": "rue",
+    "r": "rue",
     "allee": "allee",
-    "chemin": "chemin chem",
-    "impasse": "impasse imp",
+    "chemin": "chemin",
+    "chem": "chemin",
+    "impasse": "impasse",
+    "imp": "impasse",
     "passage": "passage",
     "batiment": "batiment",
     "residence": "residence",
-    "nagar": "nagar ngr",
+    "nagar": "nagar",
+    "ngr": "nagar",
     "marg": "marg",
     "gali": "gali",
     "mohalla": "mohalla",
-    "colony": "colony col",
-    "sector": "sector sec",
+    "colony": "colony",
+    "col": "colony",
+    "sector": "sector",
+    "sec": "sector",
     "phase": "phase",
-    "block": "block blk",
+    "block": "block",
+    "blk": "block",
     "plot": "plot",
     "ward": "ward",
-    "district": "dist district",
-    "taluk": "taluk taluka",
+    "dist": "district",
+    "district": "district",
+    "taluk": "taluk",
+    "taluka": "taluk",
     "tehsil": "tehsil",
     "mandal": "mandal",
-    "village": "village vill",
-    "opposite": "opp opposite",
+    "village": "village",
+    "vill": "village",
+    "opp": "opposite",
+    "opposite": "opposite",
 }
 DIRECTIONS = {"n": "north", "s": "south", "e": "east", "w": "west", "ne": "northeast", "nw": "northwest", "se": "southeast", "sw": "southwest"}
 
-# Countries, each canonical label with all its spellings.
-COUNTRIES = {
-    "us": ["us", "usa", "united states", "united states of america", "u s", "u s a", "america"],
-    "india": ["india", "in", "ind", "bharat", "hindustan"],
-    "france": ["france", "fr", "fra", "francia", "french republic", "republique francaise"],
-    "uk": ["uk", "gb", "gbr", "united kingdom", "great britain"],
-    "germany": ["germany", "de", "deu", "deutschland"],
-    "canada": ["canada", "ca", "can"],
-    "spain": ["spain", "es", "esp", "espana"],
-    "italy": ["italy", "it", "ita", "italia"],
+# Spelling of a country to its canonical label.
+COUNTRY_MAP = {
+    "us": "us",
+    "usa": "us",
+    "united states": "us",
+    "united states of america": "us",
+    "u s": "us",
+    "u s a": "us",
+    "america": "us",
+    "india": "india",
+    "in": "india",
+    "ind": "india",
+    "bharat": "india",
+    "hindustan": "india",
+    "france": "france",
+    "fr": "france",
+    "fra": "france",
+    "francia": "france",
+    "french republic": "france",
+    "republique francaise": "france",
+    "uk": "uk",
+    "gb": "uk",
+    "gbr": "uk",
+    "united kingdom": "uk",
+    "great britain": "uk",
+    "germany": "germany",
+    "de": "germany",
+    "deu": "germany",
+    "deutschland": "germany",
+    "canada": "canada",
+    "ca": "canada",
+    "can": "canada",
+    "spain": "spain",
+    "es": "spain",
+    "esp": "spain",
+    "espana": "spain",
+    "italy": "italy",
+    "it": "italy",
+    "ita": "italy",
+    "italia": "italy",
 }
 KNOWN_COUNTRIES = ["us", "india"]
 
@@ -139,19 +233,25 @@ PIN = r"\b([1-9][0-9]{5})\b"
 ZIP = r"\b(\d{5})(?:-\d{4})?\b"
 
 # Words without weight in addresses and at the start of names.
-ADDRESS_STOPWORDS = (
-    "road street st rd ave avenue lane ln dr drive blvd boulevard floor fl unit suite ste apt apartment no near opp opposite behind court ct way "
-    "parkway pkwy city state county block house building bldg first second third main cross north south east west c/o co india usa us rue bd route "
-    "chemin allee place impasse quai cours passage square france paris nagar marg colony sector plot bengal delhi mumbai cedex bp boite cs"
-).split()
-NAME_STOPWORDS = (
-    "the a an and le la les l d de du des et en au aux sarl sas sasu sa eurl eirl sci snc scp ste societe ets etablissements cie compagnie gie ms m/s shree sri shri smt om"
-).split()
-KNOWN_ACRONYMS = (
-    "ge ibm hp ups fedex dhl bmw sap att cvs pnc hsbc kpmg ey pwc bbva td bmo cibc citi ubs cs amc cbs nbc abc cnn fox espn hbo mri dna gmc vw fca byd tata lg nec jvc sony jpm "
-    "bofa bnp ing aig axa geico mci ncr trw itt bap cat jcb cnh agco"
-).split()
-ACRONYM_SKIP = "in at of on to by or an as is it de la le du et en st rd and the for".split()
+ADDRESS_STOPWORDS = [
+    "road", "street", "st", "rd", "ave", "avenue", "lane", "ln", "dr", "drive", "blvd", "boulevard", "floor", "fl", "unit", "suite", "ste", "apt",
+    "apartment", "no", "near", "opp", "opposite", "behind", "court", "ct", "way", "parkway", "pkwy", "city", "state", "county", "block", "house",
+    "building", "bldg", "first", "second", "third", "main", "cross", "north", "south", "east", "west", "c/o", "co", "india", "usa", "us", "rue", "bd",
+    "route", "chemin", "allee", "place", "impasse", "quai", "cours", "passage", "square", "france", "paris", "nagar", "marg", "colony", "sector",
+    "plot", "bengal", "delhi", "mumbai", "cedex", "bp", "boite", "cs",
+]
+NAME_STOPWORDS = [
+    "the", "a", "an", "and", "le", "la", "les", "l", "d", "de", "du", "des", "et", "en", "au", "aux", "sarl", "sas", "sasu", "sa", "eurl", "eirl",
+    "sci", "snc", "scp", "ste", "societe", "ets", "etablissements", "cie", "compagnie", "gie", "ms", "m/s", "shree", "sri", "shri", "smt", "om",
+]
+KNOWN_ACRONYMS = [
+    "ge", "ibm", "hp", "ups", "fedex", "dhl", "bmw", "sap", "att", "cvs", "pnc", "hsbc", "kpmg", "ey", "pwc", "bbva", "td", "bmo", "cibc", "citi",
+    "ubs", "cs", "amc", "cbs", "nbc", "abc", "cnn", "fox", "espn", "hbo", "mri", "dna", "gmc", "vw", "fca", "byd", "tata", "lg", "nec", "jvc", "sony",
+    "jpm", "bofa", "bnp", "ing", "aig", "axa", "geico", "mci", "ncr", "trw", "itt", "bap", "cat", "jcb", "cnh", "agco",
+]
+ACRONYM_SKIP = [
+    "in", "at", "of", "on", "to", "by", "or", "an", "as", "is", "it", "de", "la", "le", "du", "et", "en", "st", "rd", "and", "the", "for",
+]
 
 # Blocking channels in the order of their bits, with base score; the first eight are exact.
 CHANNELS = [
@@ -170,11 +270,3 @@ CHANNELS = [
     ("acronym_match", 0.75),
 ]
 EXACT_CHANNELS = 8
-
-
-def spellings(words: dict[str, str | list[str]]) -> dict[str, str]:
-    """Spelling to canonical word."""
-    return {s: word for word, all_ in words.items() for s in (all_.split() if isinstance(all_, str) else all_)}
-
-
-LEGAL_MAP, ADDRESS_MAP, COUNTRY_MAP = spellings(LEGAL_FORMS), spellings(ADDRESS_WORDS), spellings(COUNTRIES)

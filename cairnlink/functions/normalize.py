@@ -35,8 +35,9 @@ def let(value: Column, body) -> Column:
 
 
 def lookup(word: Column, words: dict[str, str]) -> Column:
+    """The word that ``words`` has for it, else itself. A map literal is searched one by one, so only known words get there."""
     table = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
-    return F.coalesce(F.element_at(table, word), word)
+    return F.when(word.isin(*words), F.element_at(table, word)).otherwise(word)
 
 
 def split_words(text: Column) -> Column:
@@ -57,9 +58,12 @@ def strip_urls(text: Column) -> Column:
 
 
 def collapse_acronyms(text: Column) -> Column:
-    """L.L.C. and l. l. c. as LLC and llc: dots and blanks between single letters go, and the dot after the last."""
-    ended = F.regexp_replace(text, r"(\b(?:[a-zA-Z]\s*\.\s*)+[a-zA-Z]\b)\.", "$1")
-    return F.regexp_replace(ended, r"(?<=\b[a-zA-Z])\s*\.\s*(?=[a-zA-Z]\b)", "")
+    """L.L.C., L.L.C and l. l. c. as LLC and llc: dots and blanks between single letters go, and the dot after the last."""
+    letter = rf"(?<![{WORD}])[a-zA-Z]"
+    inner = rf"(?<={letter})\s*\.\s*(?=[a-zA-Z](?![{WORD}]))"
+    last = rf"(?<={letter}\s{{0,9}}\.\s{{0,9}}[a-zA-Z])\."
+    dotted = text.rlike(rf"{letter}\s*\.\s*[a-zA-Z](?![{WORD}])")
+    return F.when(dotted, F.regexp_replace(text, f"{inner}|{last}", "")).otherwise(text)
 
 
 def clean_case(text: Column) -> Column:
@@ -87,9 +91,13 @@ def strip_landmarks(text: Column) -> Column:
 
 def canonical_legal_form(name: Column) -> Column:
     """Legal forms in the last three words take their canonical spelling."""
+    spelled = name
     for phrase, form in V.LEGAL_PHRASES:
-        name = F.regexp_replace(name, rf"(^|(?<= )){phrase}$", form)
-    return let(split_words(name), _spelled)
+        spelled = F.regexp_replace(spelled, rf"(^|(?<= )){phrase}$", form)
+    ends = None
+    for last in sorted({phrase.split()[-1] for phrase, _ in V.LEGAL_PHRASES}):
+        ends = name.endswith(last) if ends is None else ends | name.endswith(last)
+    return let(split_words(F.when(ends, spelled).otherwise(name)), _spelled)
 
 
 def _spelled(words: Column) -> Column:

@@ -23,26 +23,18 @@ def query(make):
     return make
 
 
-def whole_feed(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.feed_of_documents(spark, sf)
-
-
 def feed(spark: SparkSession, sf: str) -> DataFrame:
-    """The feed as the SQL twins define it, which cut name and address to 80 and 120 characters."""
-    rows = whole_feed(spark, sf)
-    return rows.withColumn("business_name", F.substring("business_name", 1, 80)).withColumn("business_address", F.substring("business_address", 1, 120))
+    return tables.feed_of_documents(spark, sf)
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
-    return N.normalize_records(feed(spark, sf))
-
+    """The normalised feed as a table: normalised once, however often a query reads it."""
+    return tables.stored(N.normalize_records(feed(spark, sf)), "records")
 
-def whole_records(spark: SparkSession, sf: str) -> DataFrame:
-    return N.normalize_records(whole_feed(spark, sf))
 
-
-def prepared(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = blocking.prepare(records(spark, sf))
+def prepared(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S1 records and candidates of a table of records, ready for the channels."""
+    rows = blocking.prepare(rows)
     ones, candidates = rows.where("source = 'S1'"), rows.where("source <> 'S1'")
     return blocking.dispatch(ones, candidates), candidates
 
@@ -121,13 +113,13 @@ def norm_address_expand(spark, sf):
 
 @query
 def normalized_records(spark, sf):
-    rows = records(spark, sf)
+    rows = N.normalize_records(feed(spark, sf))
     return rows.select("entity_id", "source", "country_canonical", "norm_name", "norm_address", "encoder_text", "is_address_missing", "name_token_count", "address_token_count")
 
 
 @query
 def nfkc_names(spark, sf):
-    return whole_feed(spark, sf).select("entity_id", N.nfkc(F.concat(F.col("business_name"), F.lit("ﬁ２"))).alias("name"))
+    return feed(spark, sf).select("entity_id", N.nfkc(F.concat(F.col("business_name"), F.lit("ﬁ２"))).alias("name"))
 
 
 @query
@@ -171,7 +163,7 @@ def token_sets(spark, sf):
 
 @query
 def multi_acronyms(spark, sf):
-    return whole_records(spark, sf).select("entity_id", F.array_join(T.acronyms(F.col("raw_name"), F.col("norm_name")), ",").alias("acronyms"))
+    return N.normalize_records(feed(spark, sf)).select("entity_id", F.array_join(T.acronyms(F.col("raw_name"), F.col("norm_name")), ",").alias("acronyms"))
 
 
 # Blocking
@@ -179,7 +171,7 @@ def multi_acronyms(spark, sf):
 
 @query
 def key_channel_hits(spark, sf):
-    ones, candidates = prepared(spark, sf)
+    ones, candidates = prepared(records(spark, sf))
     return blocking.key_hits(blocking.keys_of(ones), blocking.keys_of(candidates)).select("s1", "cand", "bit", "score", "rank")
 
 
@@ -191,17 +183,17 @@ def posting_cap(spark, sf):
 
 @query
 def doc_freq(spark, sf):
-    return blocking.document_frequency(prepared(spark, sf)[1], "name_terms")
+    return blocking.document_frequency(prepared(records(spark, sf))[1], "name_terms")
 
 
 @query
 def idf_table(spark, sf):
-    found = blocking.idf_table(prepared(spark, sf)[1], "name_terms", blocking.Blocking().token)
+    found = blocking.idf_table(prepared(records(spark, sf))[1], "name_terms", blocking.Blocking().token)
     return found.select("country", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _terms(spark, sf, terms, length, channel):
-    ones, candidates = prepared(spark, sf)
+    ones, candidates = prepared(records(spark, sf))
     found = blocking.term_hits(ones, candidates, terms, length, channel, 50)
     return found.select("s1", "cand", F.round(F.col("score") + 1e-9, 4).alias("score"))
 
@@ -221,10 +213,14 @@ def tfidf_ngram_topk(spark, sf):
     return _terms(spark, sf, "name_grams", "gram_len", blocking.Blocking().gram)
 
 
+def _united(rows: DataFrame) -> DataFrame:
+    ones, candidates = prepared(rows)
+    return blocking.unite(blocking.key_hits(blocking.keys_of(ones), blocking.keys_of(candidates)))
+
+
 @query
 def hit_union(spark, sf):
-    ones, candidates = prepared(spark, sf)
-    return blocking.unite(blocking.key_hits(blocking.keys_of(ones), blocking.keys_of(candidates)))
+    return _united(records(spark, sf))
 
 
 @query
@@ -240,12 +236,12 @@ def candidate_priority(spark, sf):
 
 @query
 def candidate_hits(spark, sf):
-    return blocking.generate(whole_records(spark, sf))
+    return blocking.generate(records(spark, sf))
 
 
 @query
 def candidate_hits_multi(spark, sf):
-    return blocking.generate(whole_records(spark, sf), blocking.Blocking.multi())
+    return blocking.generate(records(spark, sf), blocking.Blocking.multi())
 
 
 @query
@@ -254,9 +250,13 @@ def candidate_pairs(spark, sf):
     return tables.id_list(hits, manifest(spark, sf), S1, CAND, [F.col("place")], "candidate_entity_ids")
 
 
+def _candidates_of(rows: DataFrame) -> DataFrame:
+    ones, _ = prepared(rows)
+    return blocking.as_hits(blocking.prioritise(_united(rows), 10), ones)
+
+
 def _key_candidates(spark, sf):
-    ones, _ = prepared(spark, sf)
-    return blocking.as_hits(blocking.prioritise(hit_union(spark, sf), 10), ones)
+    return _candidates_of(records(spark, sf))
 
 
 @query
@@ -327,26 +327,29 @@ def country_label_pivot(spark, sf):
 
 @query
 def seeded_sample(spark, sf):
-    return training.sample_by_country(records(spark, sf), 5).select("entity_id", "country_canonical")
+    return training.sample_by_country(N.normalize_records(feed(spark, sf)), 5).select("entity_id", "country_canonical")
 
 
 # Pair features
 
 
-def _some_pairs(spark, sf):
-    """Pairs of parts of one brand and size, as records."""
-    part = tables.table(spark, sf, "part")
-    sides = [part.select(F.col("p_partkey").alias(f"{s}k"), F.col("p_name").alias(f"{s}n"), F.concat_ws(" ", "p_type", "p_size").alias(f"{s}a"), "p_brand", "p_size") for s in "lr"]
+def _some_pairs(spark, sf, prepare=None):
+    """Pairs of parts of one brand and size, as records; ``prepare`` makes what measures need, once for each record."""
+    part = tables.spread(tables.table(spark, sf, "part").select("p_partkey", "p_name", F.concat_ws(" ", "p_type", "p_size").alias("p_text"), "p_brand", "p_size"))
+    part = part.select("p_partkey", "p_brand", "p_size", *(prepare or [F.col("p_name").alias("n"), F.col("p_text").alias("a")]))
+    names = [c for c in part.columns if c not in ("p_brand", "p_size", "p_partkey")]
+    sides = [part.select(F.col("p_partkey").alias(f"{s}k"), *[F.col(c).alias(f"{s}{c}") for c in names], "p_brand", "p_size") for s in "lr"]
     return sides[0].join(sides[1], ["p_brand", "p_size"]).where("lk < rk")
 
 
 @query
 def pair_jaccard(spark, sf):
-    p = _some_pairs(spark, sf)
-    ln, rn, la, ra = (F.col(c) for c in ("ln", "rn", "la", "ra"))
+    name, text = F.col("p_name"), F.col("p_text")
+    p = _some_pairs(spark, sf, [S.as_set(T.words(name)).alias("words"), S.as_set(T.padded_trigrams(name)).alias("grams"), S.as_set(T.numeric_tokens(text)).alias("numbers")])
+    left = {c: (F.col(f"l{c}"), F.col(f"r{c}")) for c in ("words", "grams", "numbers")}
     return p.select(
-        "lk", "rk", F.round(S.jaccard(T.words(ln), T.words(rn)), 6).alias("name_jaccard"), F.round(S.overlap(T.words(ln), T.words(rn)), 6).alias("name_overlap"),
-        F.round(S.jaccard(T.padded_trigrams(ln), T.padded_trigrams(rn)), 6).alias("name_trigram"), F.round(S.overlap(T.numeric_tokens(la), T.numeric_tokens(ra)), 6).alias("address_numbers"),
+        "lk", "rk", F.round(S.set_jaccard(*left["words"]), 6).alias("name_jaccard"), F.round(S.set_overlap(*left["words"]), 6).alias("name_overlap"),
+        F.round(S.set_jaccard(*left["grams"]), 6).alias("name_trigram"), F.round(S.set_overlap(*left["numbers"]), 6).alias("address_numbers"),
     )
 
 
@@ -363,18 +366,21 @@ def token_sort_ratio(spark, sf):
 
 @query
 def pair_features(spark, sf):
-    return pairs.pair_features(_key_candidates(spark, sf), records(spark, sf))
+    rows = records(spark, sf)
+    return pairs.pair_features(_candidates_of(rows), rows)
 
 
 @query
 def pair_flags(spark, sf):
-    f = pairs.pair_features(_key_candidates(spark, sf), records(spark, sf), indel=False)
+    rows = records(spark, sf)
+    f = pairs.pair_features(_candidates_of(rows), rows, indel=False)
     return f.select(S1, CAND, "source_is_s3", "country_equal", "name_exact", "address_exact", "name_length_abs_diff", "address_length_abs_diff", "same_name_different_address", "same_address_different_name", "candidate_rank", "rank_margin_from_best", "blocker_count", "candidate_count_for_s1")
 
 
 @query
 def pair_margin(spark, sf):
-    f = pairs.pair_features(_key_candidates(spark, sf), records(spark, sf), indel=False)
+    rows = records(spark, sf)
+    f = pairs.pair_features(_candidates_of(rows), rows, indel=False)
     return f.select(S1, CAND, F.round("best_blocker_score", 4).alias("score"), F.round("best_blocker_score_diff", 4).alias("diff"))
 
 
@@ -422,11 +428,12 @@ def noninjective_match(spark, sf):
 
 @query
 def match_results(spark, sf):
-    ones, candidates = prepared(spark, sf)
-    hits = blocking.prioritise(blocking.unite(blocking.key_hits(blocking.keys_of(ones), blocking.keys_of(candidates))), 10)
-    both = hits.join(records(spark, sf).select(F.col("entity_id").alias("s1"), F.col("norm_name").alias("ln"), F.col("norm_address").alias("la")), "s1")
-    both = both.join(records(spark, sf).select(F.col("entity_id").alias("cand"), F.col("norm_name").alias("rn"), F.col("norm_address").alias("ra")), "cand")
-    score = F.round(0.6 * S.jaccard(T.words(F.col("ln")), T.words(F.col("rn"))) + 0.4 * S.jaccard(T.words(F.col("la")), T.words(F.col("ra"))), 6)
+    rows = records(spark, sf)
+    hits = blocking.prioritise(_united(rows), 10)
+    word_sets = rows.select("entity_id", *[F.array_distinct(T.words(F.col(c))).alias(c) for c in ("norm_name", "norm_address")])
+    both = hits.join(word_sets.select(F.col("entity_id").alias("s1"), F.col("norm_name").alias("ln"), F.col("norm_address").alias("la")), "s1")
+    both = both.join(word_sets.select(F.col("entity_id").alias("cand"), F.col("norm_name").alias("rn"), F.col("norm_address").alias("ra")), "cand")
+    score = F.round(0.6 * S.jaccard(F.col("ln"), F.col("rn")) + 0.4 * S.jaccard(F.col("la"), F.col("ra")), 6)
     scored = both.select(F.col("s1").alias(S1), F.col("cand").alias(CAND), score.alias("calibrated_score"))
     return decide.match_lists(scored, manifest(spark, sf), 0.5)
 
@@ -503,14 +510,16 @@ def margin_analysis(spark, sf):
 
 @query
 def hard_negatives(spark, sf):
-    texts = records(spark, sf).select(F.col("entity_id").alias("id"), F.col("norm_name").alias("text"))
-    return training.hard_negatives(_key_candidates(spark, sf), truth(spark, sf), texts, 5).select(S1, CAND, "n")
+    rows = records(spark, sf)
+    texts = rows.select(F.col("entity_id").alias("id"), F.col("norm_name").alias("text"))
+    return training.hard_negatives(_candidates_of(rows), truth(spark, sf), texts, 5).select(S1, CAND, "n")
 
 
 @query
 def training_pairs(spark, sf):
-    texts = records(spark, sf).select(F.col("entity_id").alias("id"), F.col("encoder_text").alias("text"))
-    return training.training_pairs(_key_candidates(spark, sf), truth(spark, sf), texts)
+    rows = records(spark, sf)
+    texts = rows.select(F.col("entity_id").alias("id"), F.col("encoder_text").alias("text"))
+    return training.training_pairs(_candidates_of(rows), truth(spark, sf), texts)
 
 
 def _text_features(spark, sf):
@@ -531,4 +540,4 @@ def calibrated_scores(spark, sf):
 
 @query
 def linkage_pipeline(spark, sf):
-    return pipeline.run(whole_feed(spark, sf))
+    return pipeline.run(feed(spark, sf))

@@ -28,8 +28,8 @@ def _found(x: str, least: int = 1) -> str:
 
 
 def _case(x: str) -> str:
-    x = rf"regexp_replace({x}, '(\b(?:[a-zA-Z]\s*\.\s*)+[a-zA-Z]\b)\.', '\1', 'g')"
-    x = rf"regexp_replace({x}, '(^|[^\p{{L}}\p{{N}}_])([a-zA-Z])\s*\.\s*([a-zA-Z])($|[^\p{{L}}\p{{N}}_])', '\1\2\3\4', 'g')"
+    run = r"\b(?:[a-zA-Z]\s*\.\s*)+[a-zA-Z]\b\.?"
+    x = rf"list_reduce(list_prepend({x}, regexp_extract_all({x}, '{run}')), lambda a, r: replace(a, r, regexp_replace(r, '[.\s]+', '', 'g')))"
     x = f"translate(translate(trim(lower({x})), '‘’`´‚', ''''''''''''), '–—−', '---')"
     return rf"regexp_replace(replace({x}, '&', ' and '), '(?i)\b(?:d/?b/?a|doing\s+business\s+as)\b', ' doing business as ', 'g')"
 
@@ -79,13 +79,14 @@ def _country(x: str) -> str:
     return _mapped(rf"regexp_replace(lower(trim({x})), '\s+', ' ', 'g')", V.COUNTRY_MAP)
 
 
-FEED = """feed as (select 'S' || (doc_id % 3 + 1) || '-' || doc_id as entity_id, substring(string_split(text, chr(10))[1], 1, 80) as business_name,
-    coalesce(substring(string_split(text, chr(10))[2], 1, 120), '') as business_address, lang as country, doc_id from documents)"""
+FEED = """feed as (select 'S' || (doc_id % 3 + 1) || '-' || doc_id as entity_id, string_split(text, chr(10))[1] as business_name,
+    coalesce(string_split(text, chr(10))[2], '') as business_address, lang as country, doc_id from documents)"""
 CLEAN = f"""{FEED}, clean as materialized (select *, {_words(_name('business_name'))} as nw, {_address('business_address')} as aw, {_missing('business_address')} as gone from feed),
 rec as materialized (select entity_id, entity_id[1:2] as source, doc_id as number, {_country('country')} as country, trim(business_name) as raw_name, trim(business_address) as raw_address,
     {_legal('nw')} as norm_name, case when gone then '' else {_directed('aw')} end as norm_address, gone from clean)"""
-TRUTH = """truth as (select 'S1-' || a.doc_id as source1_entity_id, 'S' || (b.doc_id % 3 + 1) || '-' || b.doc_id as candidate_entity_id, a.lang as country
-    from documents a join documents b on a.text = b.text and a.lang = b.lang where a.doc_id % 3 = 0 and b.doc_id % 3 <> 0)"""
+TRUTH = """ones as (select text, lang, min(doc_id) as low, max(doc_id) as high from documents where doc_id % 3 = 0 group by text, lang),
+truth as (select distinct 'S1-' || unnest([low, high]) as source1_entity_id, 'S' || (b.doc_id % 3 + 1) || '-' || b.doc_id as candidate_entity_id, b.lang as country
+    from documents b join ones using (text, lang) where b.doc_id % 3 <> 0)"""
 MANIFEST = "manifest as (select 'S1-' || doc_id as source1_entity_id from documents where doc_id % 3 = 0)"
 SHAPE = "case when norm_address <> '' then norm_address else raw_address end"
 POSTAL = r"""case when gone then '' when country = 'france' then coalesce(list_last(regexp_extract_all(raw_address, '\b(\d{5})(?:-\d{4})?\b', 1)), '')

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,11 +41,11 @@ def as_feed(df: DataFrame) -> DataFrame:
     return df.select(*picked).where(F.col("entity_id").isNotNull() & (F.col("entity_id") != ""))
 
 
-def only_needed(records: DataFrame, needed: DataFrame, column: str = "entity_id") -> DataFrame:
-    """Rows whose id is needed, one for each id: the last read wins."""
-    kept = records.join(needed.select(F.col(needed.columns[0]).alias(column)).distinct(), column, "left_semi").withColumn("_at", F.monotonically_increasing_id())
-    last = Window.partitionBy(column).orderBy(F.desc("_at"))
-    return kept.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_at")
+def only_needed(records: DataFrame, needed: DataFrame, column: str = "entity_id", order: list[Column] | None = None) -> DataFrame:
+    """Rows whose id is needed, one for each id: the last by ``order``, or, as files have no order here, by a hash of the row."""
+    kept = records.join(needed.select(F.col(needed.columns[0]).alias(column)).distinct(), column, "left_semi")
+    last = Window.partitionBy(column).orderBy(*(order or [F.xxhash64(*records.columns)]))
+    return kept.withColumn("_n", F.row_number().over(last)).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(column))).where("_n = _all").drop("_n", "_all")
 
 
 def explode_ids(df: DataFrame, key: str, ids: str, name: str = "candidate_entity_id", most: int | None = None, dedup: bool = True) -> DataFrame:
@@ -90,10 +93,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where the scan has fewer partitions than there are cores; large scans stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def feed_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as an entity feed: id by doc_id mod 3, name and address are the whole first two lines."""
     lines = F.split("text", "\n")
-    return table(spark, sf_dir, "documents").select(
+    rows = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("S"), F.col("doc_id") % 3 + 1, F.lit("-"), "doc_id").alias("entity_id"),
         F.get(lines, F.lit(0)).alias("business_name"),
         F.coalesce(F.get(lines, F.lit(1)), F.lit("")).alias("business_address"),
@@ -101,10 +110,38 @@ def feed_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.xxhash64("text").alias("text_key"),
     )
+    return spread(rows)
 
 
 def truth_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of S1 and S2 or S3 documents with equal text and language."""
-    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("S"), F.col("doc_id") % 3 + 1, F.lit("-"), "doc_id").alias("id"), "text", "lang", (F.col("doc_id") % 3 == 0).alias("one"))
-    left = rows.where("one").select(F.col("id").alias("source1_entity_id"), "text", "lang")
-    return left.join(rows.where("not one").select(F.col("id").alias("candidate_entity_id"), "text", "lang"), ["text", "lang"]).select("source1_entity_id", "candidate_entity_id", F.col("lang").alias("country"))
+    """True pairs: an S2 or S3 document with the S1 documents of the least and the greatest id among those of equal text and language.
+
+    So a text that very many documents share makes two pairs for each of its candidates at most. Texts are known by two hashes.
+    """
+    number = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    rows = rows.select("doc_id", F.xxhash64("text").alias("_h"), F.crc32(F.encode("text", "utf-8")).alias("_c"), "lang")
+    ones = rows.where(number % 3 == 0).groupBy("_h", "_c", "lang").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"))
+    paired = rows.where(number % 3 != 0).join(ones, ["_h", "_c", "lang"]).withColumn("_one", F.explode(F.array_distinct(F.array("_low", "_high"))))
+    return paired.select(F.concat(F.lit("S1-"), "_one").alias("source1_entity_id"), F.concat(F.lit("S"), number % 3 + 1, F.lit("-"), "doc_id").alias("candidate_entity_id"), F.col("lang").alias("country"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it names none, a new local one, on a local master only."""
+    setting, context = "spark.checkpoint.dir", spark.sparkContext
+    named = context.getConf().get(setting) or spark.conf.get(setting, None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"{setting} must name a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="cairnlink-")
+        spark.conf.set(setting, named)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written once to the shared folder and read from there, for plans that need them several times."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
