@@ -16,8 +16,10 @@ def words(text: Column, least: int = 1, ascii_only: bool = False, word: str = WO
 
 
 def grams(text: Column, n: int) -> Column:
-    """All n-character substrings, in order."""
-    return F.when(F.length(text) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+    """All n-character substrings, in order. One pass of a pattern; texts with characters beyond 16 bits go by place."""
+    by_place = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+    found = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    return F.when(F.length(text) < n, F.array().cast("array<string>")).when(text.rlike(r"[\x{10000}-\x{10FFFF}]"), by_place).otherwise(found)
 
 
 def padded_trigrams(text: Column) -> Column:

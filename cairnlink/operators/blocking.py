@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlink.functions import fixed_values as V
 from cairnlink.functions import tokens as T
 from cairnlink.functions.normalize import split_words
-from cairnlink.functions.similarity import dot
 
 BITS = {name: i for i, (name, _) in enumerate(V.CHANNELS)}
-EXACT_MASK = (1 << V.EXACT_CHANNELS) - 1
+#: A bit beyond the channels: an address hit that counts as exact.
+CLOSE_ADDRESS = 1 << len(V.CHANNELS)
+EXACT_MASK = (1 << V.EXACT_CHANNELS) - 1 | CLOSE_ADDRESS
+CHANNEL_MASK = CLOSE_ADDRESS - 1
 _SEP = "\u0001"
 
 
@@ -44,6 +47,7 @@ class Blocking:
     gram_gate: int | None = 8
     country_mode: str = "fast"
     ascii_address: bool = True
+    close_address: float | None = None
     address: TermChannel = TermChannel("address_tokens", 5000, 10, 0.20, 50)
     token: TermChannel = TermChannel("token_inverted", 2500, 10, 0.30, 150)
     gram: TermChannel = TermChannel("char_ngram", 5000, 15, 0.30, 150)
@@ -55,7 +59,7 @@ class Blocking:
     @staticmethod
     def multi(cap: int = 50) -> Blocking:
         return Blocking(
-            cap=cap, acronym_score=0.70, posting_cap=1000, address_cap=False, gate_hits=10, gram_gate=None, country_mode="multi", ascii_address=False,
+            cap=cap, acronym_score=0.70, posting_cap=1000, address_cap=False, gate_hits=10, gram_gate=None, country_mode="multi", ascii_address=False, close_address=0.75,
             token=TermChannel("token_inverted", 2500, 10, 0.0, 150, 0.02, 10), gram=TermChannel("char_ngram", 5000, 15, 0.30, 150, 0.10, 50),
         )
 
@@ -125,26 +129,59 @@ def key_hits(one_keys: DataFrame, candidate_keys: DataFrame, config: Blocking =
     return joined.select("s1", "cand", "bit", scores[F.col("bit")].alias("score"), "rank", "key")
 
 
-def key_hits_by_fallback(one_keys: DataFrame, candidate_keys: DataFrame, config: Blocking) -> DataFrame:
-    """Key hits under the other dispatch: an S1's country and '' together; a key without hit there looks elsewhere.
+def reachable(wanted: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+    """``wanted`` (s1, one_country, keys) with each ``country`` whose postings (country, keys) it may use, and ``order``.
 
-    Elsewhere leaves out countries that are known to differ; an S1 without country looks everywhere.
+    An S1 uses the postings of its own country (order 0) and of '' (1). A key that has neither is looked up in all other
+    countries (2), but for those known to differ; an S1 without country looks everywhere. Postings are not touched here,
+    only the countries that hold a key.
     """
-    own = one_keys.withColumnRenamed("country", "one_country")
-    order = Window.partitionBy("s1", "bit", "key").orderBy("source", "number", "cand")
-    right = candidate_keys.select(F.col("id").alias("cand"), "country", "source", "number", "bit", "key")
-    if config.posting_cap:
-        posting = Window.partitionBy("country", "bit", "key").orderBy("source", "number", "cand")
-        right = right.withColumn("_p", F.row_number().over(posting)).where(F.col("_p") <= config.posting_cap).drop("_p")
-    joined = own.select(F.col("id").alias("s1"), "one_country", "bit", "key").join(right, ["bit", "key"])
-    near = (F.col("country") == F.col("one_country")) | (F.col("country") == "") | (F.col("one_country") == "")
+    places = held.select("country", *keys).distinct()
+    own = F.col("country") == F.col("one_country")
+    near = own | (F.col("country") == "") | (F.col("one_country") == "")
     apart = F.col("one_country").isin(*V.KNOWN_COUNTRIES) & F.col("country").isin(*V.KNOWN_COUNTRIES)
-    marked = joined.withColumn("_near", near).where(F.col("_near") | ~apart)
-    any_near = F.max("_near").over(Window.partitionBy("s1", "bit", "key"))
-    picked = marked.withColumn("_any", any_near).where(F.col("_near") | ~F.col("_any")).withColumn("rank", F.row_number().over(order))
+    marked = wanted.join(places, keys).withColumn("order", F.when(own, 0).when(near, 1).otherwise(2)).where((F.col("order") < 2) | ~apart)
+    return marked.withColumn("_least", F.min("order").over(Window.partitionBy("s1", *keys))).where((F.col("order") < 2) | (F.col("_least") == 2)).drop("_least")
+
+
+def key_hits_by_fallback(one_keys: DataFrame, candidate_keys: DataFrame, config: Blocking) -> DataFrame:
+    """Key hits under the other dispatch (``reachable``). Of each country's postings of a key no more than the cap can count."""
+    keys = ["bit", "key"]
     cap = F.when(F.col("bit") == BITS["acronym_match"], config.acronym_cap).when(F.col("bit") == BITS["address_structural"], 2**31 - 1).otherwise(config.cap)
+    posting = Window.partitionBy("country", *keys).orderBy("source", "number", "id")
+    right = candidate_keys.withColumn("_p", F.row_number().over(posting)).where((F.col("_p") <= cap) & (F.col("_p") <= (config.posting_cap or 2**31 - 1)))
+    right = right.select(F.col("id").alias("cand"), "country", "source", "number", *keys)
+    wanted = one_keys.select(F.col("id").alias("s1"), F.col("country").alias("one_country"), *keys)
+    joined = reachable(wanted, right, keys).join(right, ["country", *keys])
+    order = Window.partitionBy("s1", *keys).orderBy("order", "source", "number", "cand")
     scores = F.create_map(*[F.lit(x) for name, score in V.CHANNELS if score for x in (BITS[name], config.acronym_score if name == "acronym_match" else score)])
-    return picked.where(F.col("rank") <= cap).select("s1", "cand", "bit", scores[F.col("bit")].alias("score"), "rank", "key")
+    return joined.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap).select("s1", "cand", "bit", scores[F.col("bit")].alias("score"), "rank", "key")
+
+
+def term_hits_by_fallback(ones: DataFrame, candidates: DataFrame, terms: str, length: str, channel: TermChannel, top: int, close: float | None = None) -> DataFrame:
+    """(s1, cand, score, rank, mask) of a term channel under the other dispatch; document frequencies count all countries.
+
+    With ``close`` the hits are ranked by the shared weight and those of that similarity or more are marked as exact; without
+    it they are ranked by similarity.
+    """
+    everywhere = idf_table(candidates.withColumn("country", F.lit("")), terms, channel).drop("country")
+    counts = ones.select(F.col("id").alias("s1"), F.col("country").alias("one_country"), F.explode(terms).alias("term")).groupBy("s1", "one_country", "term").agg(F.count(F.lit(1)).alias("tf"))
+    weighed = counts.join(everywhere, "term").withColumn("w", F.round((1 + F.log("tf")) * F.col("idf"), 9))
+    heaviest = Window.partitionBy("s1").orderBy(F.desc("w"), "term")
+    kept = weighed.withColumn("_n", F.row_number().over(heaviest)).where(F.col("_n") <= channel.terms)
+    kept = kept.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("s1")))).select("s1", "one_country", "term", "w", "norm")
+    postings = candidates.select(F.col("id").alias("cand"), "country", F.explode(F.array_distinct(terms)).alias("term"), F.col(length).alias("len")).join(everywhere.select("term"), "term", "left_semi")
+    shared = reachable(kept, postings, ["term"]).join(postings, ["country", "term"]).groupBy("s1", "cand").agg(F.round(F.sum("w"), 6).alias("raw"), F.first("norm").alias("norm"), F.first("len").alias("len"))
+    by_raw = Window.partitionBy("s1").orderBy(F.desc("raw"), "cand")
+    first = shared.withColumn("_n", F.row_number().over(by_raw)).where(F.col("_n") <= channel.raw)
+    first = first.withColumn("score", F.round(F.least(F.lit(1.0), F.col("raw") / (F.col("norm") * F.sqrt("len"))), 6))
+    bit = 1 << BITS[channel.name]
+    if close is not None:
+        mask = F.when(F.col("score") >= close, bit | CLOSE_ADDRESS).otherwise(bit)
+        return first.where(F.col("score") >= channel.floor).select("s1", "cand", "score", F.col("_n").alias("rank"), mask.alias("mask"))
+    by_score = Window.partitionBy("s1").orderBy(F.desc("score"), "cand")
+    ranked = first.where(F.col("score") >= channel.floor).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= top)
+    return ranked.select("s1", "cand", "score", "rank", F.lit(bit).alias("mask"))
 
 
 def document_frequency(candidates: DataFrame, terms: str) -> DataFrame:
@@ -205,53 +242,60 @@ def settled_ids(united: DataFrame, config: Blocking) -> DataFrame:
 
 def prioritise(united: DataFrame, cap: int) -> DataFrame:
     """The best ``cap`` pairs of every S1: exact ones first, then by channels, score, rank and id."""
-    order = Window.partitionBy("s1").orderBy(F.desc(F.expr(f"(mask & {EXACT_MASK}) <> 0")), F.desc(F.expr("bit_count(mask)")), F.desc("score"), "rank", "cand")
+    order = Window.partitionBy("s1").orderBy(F.desc(F.expr(f"(mask & {EXACT_MASK}) <> 0")), F.desc(F.expr(f"bit_count(mask & {CHANNEL_MASK})")), F.desc("score"), "rank", "cand")
     return united.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap)
 
 
-def provenance(mask: Column) -> Column:
-    return F.array_join(F.array_compact(F.array(*[F.when(mask.bitwiseAND(1 << i) != 0, F.lit(name)) for i, (name, _) in enumerate(V.CHANNELS)])), ",")
+def provenance(mask: Column, alphabetical: bool = False) -> Column:
+    """The channels of a mask, in the order of their bits or of their names."""
+    named = [(1 << i, name) for i, (name, _) in enumerate(V.CHANNELS)]
+    return F.array_join(F.array_compact(F.array(*[F.when(mask.bitwiseAND(bit) != 0, F.lit(name)) for bit, name in (sorted(named, key=lambda x: x[1]) if alphabetical else named)])), ",")
 
 
-def as_hits(kept: DataFrame, ones: DataFrame) -> DataFrame:
+def as_hits(kept: DataFrame, ones: DataFrame, alphabetical: bool = False) -> DataFrame:
     """The documented columns of a candidate hit."""
     return kept.join(ones.select(F.col("id").alias("s1"), F.col("country").alias("country_partition")), "s1").select(
         F.col("s1").alias("source1_entity_id"), F.col("cand").alias("candidate_entity_id"), F.regexp_extract("cand", r"^([^-]*)", 1).alias("candidate_source"),
-        provenance(F.col("mask")).alias("blocker_provenance"), F.expr("cast(bit_count(mask) as int)").alias("blocker_count"), F.col("rank").alias("best_blocker_rank"),
+        provenance(F.col("mask"), alphabetical).alias("blocker_provenance"), F.expr(f"cast(bit_count(mask & {CHANNEL_MASK}) as int)").alias("blocker_count"), F.col("rank").alias("best_blocker_rank"),
         F.round("score", 4).alias("best_blocker_score"), "country_partition", "place",
     )
 
 
-def generate(records: DataFrame, config: Blocking = Blocking(), dense: DataFrame | None = None, checkpoint: bool = False) -> DataFrame:
+def generate(records: DataFrame, config: Blocking = Blocking(), dense: DataFrame | None = None, checkpoint: bool = False, candidates: DataFrame | None = None) -> DataFrame:
     """Candidates of every S1 record among the S2 and S3 records, in three waves with a gate before each costly one.
 
-    ``dense`` adds hits (s1, cand, score, rank) of a dense index under the bit of the n-gram channel. With ``checkpoint``
-    the hits of a wave are cut from their lineage before the next reads them more than once; the records should then be
-    a stored table. Without it the whole generation is one plan, whose equal exchanges Spark reuses.
+    ``dense`` adds hits (s1, cand, score, rank) of a dense index under the bit of the n-gram channel. ``candidates``, if
+    given, are S2 and S3 records that ``prepare`` has made ready before, and ``records`` are then S1 records. With
+    ``checkpoint`` the hits of a wave are cut from their lineage before the next reads them more than once; the records
+    should then be a stored table. Without it the whole generation is one plan, whose equal exchanges Spark reuses.
     """
     prepared = prepare(records, config)
     fix = (lambda df: df.checkpoint()) if checkpoint else (lambda df: df)
-    ones, candidates = prepared.where("source = 'S1'"), prepared.where("source <> 'S1'")
-    if config.country_mode == "fast":
+    ones, candidates = prepared.where("source = 'S1'"), prepared.where("source <> 'S1'") if candidates is None else candidates
+    multi = config.country_mode == "multi"
+    if multi:
+        ones_at, keyed = ones, key_hits_by_fallback(keys_of(ones), keys_of(candidates), config)
+    else:
         ones_at = dispatch(ones, candidates)
         keyed = key_hits(keys_of(ones_at), keys_of(candidates), config)
-    else:
-        ones_at = ones
-        keyed = key_hits_by_fallback(keys_of(ones), keys_of(candidates), config)
-    hits = keyed.drop("key").unionByName(term_hits(ones_at, candidates, "address_terms", "address_len", config.address, config.top))
+
+    def terms(left: DataFrame, names: str, length: str, channel: TermChannel, close: float | None = None) -> DataFrame:
+        if multi:
+            return term_hits_by_fallback(left, candidates, names, length, channel, config.top, close)
+        return _masked(term_hits(left, candidates, names, length, channel, config.top))
+
+    hits = _masked(keyed).unionByName(terms(ones_at, "address_terms", "address_len", config.address, config.close_address))
     if dense is not None:
-        hits = hits.unionByName(dense.select("s1", "cand", F.lit(BITS["char_ngram"]).alias("bit"), "score", "rank"))
-    united = fix(unite(hits))
+        hits = hits.unionByName(_masked(dense.select("s1", "cand", F.lit(BITS["char_ngram"]).alias("bit"), "score", "rank")))
+    united = fix(unite_masks(hits))
     settled = settled_ids(united, config)
     left = ones_at.join(settled, ones_at["id"] == settled["s1"], "left_anti")
-    token = term_hits(left, candidates, "name_terms", "name_len", config.token, config.top)
-    united = fix(unite_masks(united.unionByName(_masked(token))))
+    united = fix(unite_masks(united.unionByName(terms(left, "name_terms", "name_len", config.token))))
     if config.gram_gate is not None:
         full = united.groupBy("s1").count().where(F.col("count") >= config.gram_gate).select("s1")
         left = left.join(full, left["id"] == full["s1"], "left_anti")
-    gram = term_hits(left, candidates, "name_grams", "gram_len", config.gram, config.top)
-    united = unite_masks(united.unionByName(_masked(gram)))
-    return as_hits(prioritise(united, config.cap), ones_at)
+    united = unite_masks(united.unionByName(terms(left, "name_grams", "gram_len", config.gram)))
+    return as_hits(prioritise(united, config.cap), ones_at, multi)
 
 
 def _masked(hits: DataFrame) -> DataFrame:
@@ -260,12 +304,21 @@ def _masked(hits: DataFrame) -> DataFrame:
 
 def dense_hits(ones: DataFrame, candidates: DataFrame, k: int = 50, floor: float = 0.30, discount: float = 0.95) -> DataFrame:
     """Exact top-k by inner product of (id, country, vector) rows within a country or ''; elsewhere, discounted, if none is there."""
-    left, right = ones.select(F.col("id").alias("s1"), F.col("country").alias("one_country"), F.col("vector").alias("_a")), candidates.select(F.col("id").alias("cand"), "country", F.col("vector").alias("_b"))
-    own = left.join(right, (F.col("country") == F.col("one_country")) | (F.col("country") == ""))
-    scored = own.withColumn("score", dot(F.col("_a"), F.col("_b"))).where(F.col("score") >= floor)
-    alone = left.join(scored.select("s1").distinct(), "s1", "left_anti")
-    apart = F.col("one_country").isin(*V.KNOWN_COUNTRIES) & F.col("country").isin(*V.KNOWN_COUNTRIES)
-    else_ = alone.join(right, (F.col("country") != F.col("one_country")) & ~apart).withColumn("score", dot(F.col("_a"), F.col("_b")) * discount).where(F.col("score") >= floor)
-    both = scored.select("s1", "cand", "score").unionByName(else_.select("s1", "cand", "score")).groupBy("s1", "cand").agg(F.max("score").alias("score"))
+    from cairnlink.operators.dense import search
+
+    left, right = (df.select("id", "vector", F.coalesce("country", F.lit("")).alias("group")) for df in (ones, candidates))
+    known = list(V.KNOWN_COUNTRIES)
+
+    def near(one, two):
+        return (one[:, None] == two[None, :]) | (two == "")[None, :]
+
+    def far(one, two):
+        apart = np.isin(one, known)[:, None] & np.isin(two, known)[None, :]
+        return (one[:, None] != two[None, :]) & ~apart
+
+    own = search(left, right, k, 9, floor, near)
+    alone = left.join(own.select(F.col("q").alias("id")).distinct(), "id", "left_anti")
+    else_ = search(alone, right, k, 9, floor / discount, far).withColumn("sim", F.col("sim") * discount)
+    found = own.unionByName(else_).select(F.col("q").alias("s1"), F.col("c").alias("cand"), F.col("sim").alias("score"))
     order = Window.partitionBy("s1").orderBy(F.desc(F.round("score", 6)), "cand")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order))

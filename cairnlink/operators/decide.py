@@ -102,6 +102,19 @@ def threshold_sweep(scored: DataFrame, truth: DataFrame, manifest: DataFrame, gr
     return all_.select("threshold", F.round((F.col("base") + F.sum(F.coalesce("gain", F.lit(0.0))).over(down)) / F.col("n"), 6).alias("macro_f05"))
 
 
+def threshold_grid(scored: DataFrame, score: str = "calibrated_score", few: int = 1000) -> list[float]:
+    """0, 0.05 to 0.95 by 0.01, 1; and the scores themselves if there are ``few`` rows at most, else 100 quantiles.
+
+    Quantiles come from a sketch of bounded size.
+    """
+    steps = [0.0, *[round(0.05 + 0.01 * i, 2) for i in range(91)], 1.0]
+    kept = allowed_pairs(scored).select(F.col(score).cast("double").alias("s")).where(F.col("s").isNotNull() & ~F.isnan("s"))
+    own = [r.s for r in kept.limit(few + 1).collect()]
+    if len(own) > few:
+        own = kept.agg(F.percentile_approx("s", [i / 99 for i in range(100)], 10_000)).first()[0]
+    return sorted({*steps, *[float(x) for x in own]})
+
+
 def best_threshold(sweep: DataFrame) -> DataFrame:
     """The row of the highest mean; of equal ones the lowest threshold."""
     return sweep.orderBy(F.desc("macro_f05"), "threshold").limit(1)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlink.functions import similarity as S
 from cairnlink.functions.normalize import canonical_country, country_match
-from cairnlink.functions.tokens import numeric_tokens, padded_trigrams, words
+from cairnlink.functions.tokens import numeric_tokens, padded_trigrams, word_bound_grams, words
 
 
 def _exact(left: Column, right: Column) -> Column:
@@ -91,3 +93,51 @@ def dense_feature(pairs: DataFrame, vectors: DataFrame, name: str, decimals: int
     value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), S.dot(S.l2_normalised(F.col("_a")), S.l2_normalised(F.col("_b")))))
     value = F.coalesce(F.round(value, decimals) if decimals else value, F.lit(0.0))
     return both.select("source1_entity_id", "candidate_entity_id", value.alias(name), (F.col("_a").isNull() | F.col("_b").isNull()).cast("int").alias(f"{name}_missing"))
+
+
+def tfidf_vectors(texts: DataFrame, fit: DataFrame | None = None) -> DataFrame:
+    """(id, grams, weights): sublinear TF-IDF of character n-grams within words, of length 1, of each text (id, text).
+
+    Document frequencies are those of the texts whose id is in ``fit``, the training fold; grams unknown there weigh nothing.
+    Grams are 64-bit hashes in ascending order. An empty text has no grams.
+    """
+    counts = texts.select("id", F.explode(word_bound_grams(F.coalesce("text", F.lit("")))).alias("g")).groupBy("id", F.xxhash64("g").alias("g")).agg(F.count(F.lit(1)).alias("tf"))
+    known = counts if fit is None else counts.join(fit.select(F.col(fit.columns[0]).alias("id")).distinct(), "id", "left_semi")
+    ids = texts if fit is None else texts.join(fit.select(F.col(fit.columns[0]).alias("id")).distinct(), "id", "left_semi")
+    idf = known.groupBy("g").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(ids.agg(F.count(F.lit(1)).alias("n"))))  # one row
+    idf = idf.select("g", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    weighed = counts.join(idf, "g").select("id", "g", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    lists = weighed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("g", "w"))).alias("x"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return lists.select("id", F.transform("x", lambda x: x["g"]).alias("grams"), F.transform("x", lambda x: x["w"] / F.col("norm")).alias("weights"))
+
+
+@F.pandas_udf("double")
+def _sparse_dot(one: pd.Series, a: pd.Series, two: pd.Series, b: pd.Series) -> pd.Series:
+    def dot_of(g, w, h, v) -> float:
+        if g is None or h is None:
+            return 0.0
+        _, i, j = np.intersect1d(g, h, assume_unique=True, return_indices=True)
+        return float(np.asarray(w)[i] @ np.asarray(v)[j])
+
+    return pd.Series([dot_of(*x) for x in zip(one, a, two, b)], dtype="float64")
+
+
+def tfidf_cosine(pairs: DataFrame, texts: DataFrame, fit: DataFrame | None = None) -> DataFrame:
+    """(s1, cand, tfidf_cosine) of the pairs; 0 where a text has no known gram."""
+    vectors = tfidf_vectors(texts, fit)
+    both = pairs.select("source1_entity_id", "candidate_entity_id").join(vectors.toDF("source1_entity_id", "_g", "_w"), "source1_entity_id", "left")
+    both = both.join(vectors.toDF("candidate_entity_id", "_h", "_v"), "candidate_entity_id", "left")
+    return both.select("source1_entity_id", "candidate_entity_id", _sparse_dot("_g", "_w", "_h", "_v").alias("tfidf_cosine"))
+
+
+def encode(texts: DataFrame, encoder, batch: int = 256, name: str = "vector") -> DataFrame:
+    """Add a vector for each text by ``encoder`` (list of texts to list of vectors), ``batch`` texts at a time, on the executors."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
+
+    def run(frames):
+        for frame in frames:
+            values = frame["text"].fillna("").tolist()
+            found = [v for low in range(0, len(values), batch) for v in encoder(values[low : low + batch])]
+            yield frame.assign(**{name: [[float(y) for y in x] for x in found]})
+
+    return texts.mapInPandas(run, f"{schema}, `{name}` array<double>")

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+import json
+from dataclasses import dataclass
+
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairnlink.operators import decide
+from cairnlink.operators.evaluate import average_precision
+from cairnlink.sources.tables import stored
+
 S1, CAND = "source1_entity_id", "candidate_entity_id"
 NOT_FEATURES = [S1, CAND, "label", "blocker_provenance", "left_country", "right_country", "left_country_canonical", "right_country_canonical"]
 #: Parameters of the boosted trees.
+ROUNDS = 300
 TREES = {"maxDepth": 4, "stepSize": 0.03, "subsamplingRate": 0.85, "maxBins": 256, "minInstancesPerNode": 5, "seed": 42}
 
 
@@ -55,6 +63,20 @@ def fold_of(entity: Column, folds: int = 5, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(entity, F.lit(seed)), F.lit(folds)).cast("int")
 
 
+def with_folds(labelled: DataFrame, folds: int = 5, seed: int = 42, strata: str | None = None, buckets: int = 256) -> DataFrame:
+    """Add ``fold``: S1 records of each stratum (its country and whether it has a match) are dealt out evenly.
+
+    Within a stratum S1 records are numbered by hash in ``buckets`` parts, each a sort of its own, so no task gets a stratum;
+    counts of two folds in a stratum differ by one for each part at most. All pairs of one S1 share its fold.
+    """
+    keys = [F.min(strata).alias("_s")] if strata else [F.lit("").alias("_s")]
+    entities = labelled.groupBy(S1).agg(F.max("label").alias("_y"), *keys)
+    entities = entities.withColumn("_b", F.pmod(F.xxhash64(S1, F.lit(seed)), F.lit(buckets)))
+    order = Window.partitionBy("_s", "_y", "_b").orderBy(F.xxhash64(S1, F.lit(seed + 1)), S1)
+    numbered = entities.withColumn("fold", F.pmod(F.row_number().over(order) + F.xxhash64("_b", "_s", "_y"), F.lit(folds)).cast("int"))
+    return labelled.join(numbered.select(S1, "fold"), S1)
+
+
 def monotone(names: list[str]) -> dict[str, int]:
     """Expected direction of each feature: 1 rises, -1 falls, 0 free."""
     falls = ("_missing", "abs_diff", "rank", "same_name_different", "same_address_different", "score_diff")
@@ -73,20 +95,23 @@ def weighted(labelled: DataFrame) -> DataFrame:
     return joined.withColumn("weight", F.when(F.col("label") == 1, F.col("_neg") / F.greatest(F.col("_pos"), F.lit(1.0))).otherwise(1.0)).drop("_neg", "_pos")
 
 
-def fit_trees(labelled: DataFrame, names: list[str] | None = None, rounds: int = 100, **parameters):
-    """Gradient-boosted trees; xgboost's Spark estimator takes their place if it is installed and asked for."""
+def fit_trees(labelled: DataFrame, names: list[str] | None = None, rounds: int = ROUNDS, early: bool = True, seed: int = 42, **parameters):
+    """Gradient-boosted trees. With ``early`` a tenth of the S1 records is held out and trees are added while they help on it."""
     names = names or feature_names(labelled)
-    model = GBTClassifier(featuresCol="_x", labelCol="label", weightCol="weight", maxIter=rounds, **(TREES | parameters))
-    return model.fit(_assembled(weighted(labelled), names)), names
+    ready = _assembled(weighted(labelled), names).withColumn("_held", fold_of(F.col(S1), 10, seed + 7) == 0)
+    kept = ready.groupBy("_held").agg(F.countDistinct("label").alias("n")).where("n = 2").count() == 2 if early else False
+    more = {"validationIndicatorCol": "_held"} if kept else {}
+    model = GBTClassifier(featuresCol="_x", labelCol="label", weightCol="weight", maxIter=rounds, **(TREES | more | parameters))
+    return model.fit(ready), names
 
 
 def predict(model, names: list[str], features: DataFrame) -> DataFrame:
     return model.transform(_assembled(features, names)).withColumn("raw_score", vector_to_array("probability")[1]).select(S1, CAND, *[c for c in ("label",) if c in features.columns], "raw_score")
 
 
-def out_of_fold(labelled: DataFrame, folds: int = 5, rounds: int = 100, seed: int = 42) -> DataFrame:
-    """Scores of every pair by a model that has seen no pair of its S1."""
-    marked = labelled.withColumn("fold", fold_of(F.col(S1), folds, seed)).cache()
+def out_of_fold(labelled: DataFrame, folds: int = 5, rounds: int = ROUNDS, seed: int = 42, strata: str | None = None, grown: list[int] | None = None) -> DataFrame:
+    """Scores of every pair by a model that has seen no pair of its S1; ``grown`` gets the number of trees of each model."""
+    marked = with_folds(labelled, folds, seed, strata).cache()
     found, names = None, feature_names(labelled)
     for fold in range(folds):
         train, test = marked.where(F.col("fold") != fold).drop("fold"), marked.where(F.col("fold") == fold)
@@ -94,17 +119,88 @@ def out_of_fold(labelled: DataFrame, folds: int = 5, rounds: int = 100, seed: in
             scored = test.select(S1, CAND, "label", F.lit(0.0).alias("raw_score"))
         else:
             model, _ = fit_trees(mask_country(train, seed=seed) if "country_equal" in names else train, names, rounds)
+            if grown is not None:
+                grown.append(model.getNumTrees)
             scored = predict(model, names, test)
         scored = scored.withColumn("fold", F.lit(fold))
         found = scored if found is None else found.unionByName(scored)
+    found = stored(found, "out-of-fold")
+    marked.unpersist()
     return found
 
 
-def held_out_country(labelled: DataFrame, country: str, rounds: int = 100) -> DataFrame:
-    """Scores of one country's pairs by a model trained on the others."""
+def final_rounds(grown: list[int], least: int = 50, most: int = 1000) -> int:
+    """A tenth more trees than the folds needed on average, 50 at least and 1,000 at most."""
+    return min(most, max(least, int(1.1 * sum(grown) / len(grown)))) if grown else least
+
+
+@dataclass
+class Scorer:
+    """A fitted model with all that scoring new pairs needs."""
+
+    model: object
+    names: list[str]
+    calibrator: dict
+    threshold: float
+
+    def score(self, features: DataFrame) -> DataFrame:
+        """(s1, cand, calibrated_score) of any pairs; a missing feature column raises."""
+        missing = set(self.names) - set(features.columns)
+        if missing:
+            raise ValueError(f"no column {', '.join(sorted(missing))}")
+        return predict(self.model, self.names, features.select(S1, CAND, *self.names)).select(S1, CAND, calibrated(F.col("raw_score"), self.calibrator).alias("calibrated_score"))
+
+    def save(self, path: str) -> None:
+        spark = SparkSession.active()
+        self.model.write().overwrite().save(f"{path}/model")
+        meta = json.dumps({"names": self.names, "calibrator": self.calibrator, "threshold": self.threshold})
+        spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+
+    @staticmethod
+    def load(path: str) -> Scorer:
+        meta = json.loads(SparkSession.active().read.text(f"{path}/metadata").first()[0])
+        if missing := {"names", "calibrator", "threshold"} - set(meta):
+            raise ValueError(f"no {', '.join(sorted(missing))} in the metadata")
+        return Scorer(GBTClassificationModel.load(f"{path}/model"), meta["names"], meta["calibrator"], meta["threshold"])
+
+
+def train(labelled: DataFrame, manifest: DataFrame, folds: int = 5, rounds: int = ROUNDS, seed: int = 42, strata: str | None = None) -> tuple[Scorer, DataFrame]:
+    """A scorer fitted on all pairs, and their cross-fitted out-of-fold scores, by which its threshold was chosen.
+
+    The final model has as many trees as ``final_rounds`` says; its calibrator is fitted on the out-of-fold scores.
+    """
+    grown: list[int] = []
+    out = out_of_fold(labelled, folds, rounds, seed, strata, grown)
+    scored = stored(cross_fitted(out, folds), "calibrated")
+    truth = labelled.where("label = 1").select(S1, CAND)
+    sweep = decide.threshold_sweep(scored, truth, manifest, decide.threshold_grid(scored))
+    best = decide.best_threshold(sweep).first()
+    names = feature_names(labelled)
+    model, _ = fit_trees(mask_country(labelled, seed=seed) if "country_equal" in names else labelled, names, final_rounds(grown), early=False)
+    return Scorer(model, names, fit_calibrator(out), best.threshold if best else 0.5), scored
+
+
+def held_out_country(labelled: DataFrame, country: str, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """Scores of one country's pairs by a model trained on the others, and their average precision."""
     is_it = F.col("left_country_canonical") == country
     model, names = fit_trees(labelled.where(~is_it), rounds=rounds)
-    return predict(model, names, labelled.where(is_it))
+    scored = stored(predict(model, names, labelled.where(is_it)), "held-out")
+    return scored, average_precision(scored, "raw_score")
+
+
+def monotone_audit(model, names: list[str], features: DataFrame) -> DataFrame:
+    """(feature, expected, change): how the mean score changes when a feature goes from its tenth to its ninetieth percentile.
+
+    The trees have no constraints; a feature whose change goes against ``monotone`` shows here, one pass for each feature.
+    """
+    expected = {n: d for n, d in monotone(names).items() if d}
+    ready = filled(features)
+    ends = ready.agg(*[F.percentile_approx(n, [0.1, 0.9], 1000).alias(n) for n in expected]).first()
+    rows = []
+    for n, direction in expected.items():
+        low, high = (predict(model, names, ready.withColumn(n, F.lit(float(x)))).agg(F.avg("raw_score")).first()[0] for x in (ends[n] or [0.0, 0.0]))
+        rows.append((n, direction, float((high or 0.0) - (low or 0.0))))
+    return features.sparkSession.createDataFrame(rows, "feature string, expected int, change double")
 
 
 def importance(model, names: list[str], spark) -> DataFrame:

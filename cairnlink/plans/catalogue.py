@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairnlink.functions import normalize as N
 from cairnlink.functions import similarity as S
 from cairnlink.functions import tokens as T
-from cairnlink.operators import blocking, decide, evaluate, pairs, scoring, training, validate
+from cairnlink.operators import blocking, decide, dense, evaluate, pairs, scoring, training, validate
 from cairnlink.plans import pipeline
 from cairnlink.plans.oracles import ORACLES
 from cairnlink.sources import tables
@@ -72,9 +72,10 @@ def labelled_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = tables.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    """Queries, corpus and relevant pairs: those of one label whose ids fall into one twenty."""
+    rows = tables.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label", F.expr("vec_id div 20").alias("part"))
     asked = rows.where("id % 5 = 0")
-    relevant = asked.select(F.col("id").alias("q"), "label").join(rows.select(F.col("id").alias("c"), "label"), "label").where("q <> c").select("q", "c")
+    relevant = asked.select(F.col("id").alias("q"), "label", "part").join(rows.select(F.col("id").alias("c"), "label", "part"), ["label", "part"]).where("q <> c").select("q", "c")
     return asked.select("id", "vector"), rows.select("id", "vector"), relevant
 
 
@@ -236,12 +237,12 @@ def candidate_priority(spark, sf):
 
 @query
 def candidate_hits(spark, sf):
-    return blocking.generate(records(spark, sf))
+    return blocking.generate(records(spark, sf), checkpoint=True)
 
 
 @query
 def candidate_hits_multi(spark, sf):
-    return blocking.generate(records(spark, sf), blocking.Blocking.multi())
+    return blocking.generate(records(spark, sf), blocking.Blocking.multi(), checkpoint=True)
 
 
 @query
@@ -320,6 +321,18 @@ def dataset_statistics(spark, sf):
     return evaluate.dataset_statistics(manifest(spark, sf), rows.where("entity_id not like 'S1-%'"), truth(spark, sf))
 
 
+@query
+def match_split(spark, sf):
+    return evaluate.match_split(truth(spark, sf))
+
+
+@query
+def pair_profile(spark, sf):
+    rows = records(spark, sf)
+    true, hits = tables.stored(truth(spark, sf), "truth"), tables.stored(_candidates_of(rows), "hits")
+    return evaluate.pair_profile(true, hits.join(true.select(S1, CAND), [S1, CAND], "left_anti"), rows)
+
+
 @query
 def country_label_pivot(spark, sf):
     return evaluate.country_label_pivot(labelled_texts(spark, sf), "lang")
@@ -366,8 +379,16 @@ def token_sort_ratio(spark, sf):
 
 @query
 def pair_features(spark, sf):
+    """All features but the three ratios of ``token_sort_ratio``."""
     rows = records(spark, sf)
-    return pairs.pair_features(_candidates_of(rows), rows)
+    f = pairs.pair_features(_candidates_of(rows), rows, indel=False).drop("name_token_sort_ratio", "name_fuzz_ratio", "address_token_set_ratio")
+    return f.select([F.round(c.name, 6).alias(c.name) if c.dataType.simpleString() == "double" else F.col(c.name) for c in f.schema])
+
+
+@query
+def pair_ratios(spark, sf):
+    rows = records(spark, sf)
+    return pairs.pair_features(_candidates_of(rows), rows).select(S1, CAND, "name_token_sort_ratio", "name_fuzz_ratio", "address_token_set_ratio")
 
 
 @query
@@ -443,7 +464,7 @@ def macro_f05(spark, sf):
     return decide.macro_f_half(orders_scored(spark, sf), orders_truth(spark, sf), orders_manifest(spark, sf), 0.5)
 
 
-GRID = [0.0, *[round(0.05 * i, 2) for i in range(1, 20)], 1.0]
+GRID = [0.0, *[round(0.05 + 0.01 * i, 2) for i in range(91)], 1.0]
 
 
 @query
@@ -451,6 +472,21 @@ def threshold_sweep(spark, sf):
     return decide.threshold_sweep(orders_scored(spark, sf), orders_truth(spark, sf), orders_manifest(spark, sf), GRID)
 
 
+@query
+def best_threshold(spark, sf):
+    """The whole grid, quantiles of the scores included."""
+    scored = orders_scored(spark, sf)
+    return decide.best_threshold(decide.threshold_sweep(scored, orders_truth(spark, sf), orders_manifest(spark, sf), decide.threshold_grid(scored)))
+
+
+@query
+def tfidf_cosine(spark, sf):
+    rows = records(spark, sf)
+    texts = rows.select(F.col("entity_id").alias("id"), F.col("norm_name").alias("text"))
+    fold = rows.where(scoring.fold_of(F.col("entity_id")) != 0).select("entity_id")
+    return pairs.tfidf_cosine(_candidates_of(rows), texts, fold)
+
+
 @query
 def ece_bins(spark, sf):
     return scoring.calibration_bins(labelled_texts(spark, sf), "score")
@@ -474,8 +510,8 @@ def classifier_metrics(spark, sf):
 @query
 def validator_report(spark, sf):
     results = match_results(spark, sf)
-    broken = results.withColumn("matched_entity_ids", F.when(F.col(S1).endswith("7"), F.concat(F.lit("S1-1,X-2"), F.lit(",S2-4,S2-4"))).otherwise(F.col("matched_entity_ids")))
-    return validate.result_findings(broken, manifest(spark, sf))
+    broken = results.withColumn("matched_entity_ids", F.when(F.col(S1).endswith("7"), F.lit("S1-1,X-2,S2-4,S2-4")).otherwise(F.col("matched_entity_ids")))
+    return validate.result_findings(tables.stored(broken, "results"), manifest(spark, sf))
 
 
 # Dense retrieval, training data, models
@@ -484,9 +520,7 @@ def validator_report(spark, sf):
 @query
 def dense_topk(spark, sf):
     asked, corpus, _ = vectors(spark, sf)
-    sims = evaluate.similarities(asked, corpus)
-    order = Window.partitionBy("q").orderBy(F.desc(F.round("sim", 4)), "c")
-    return sims.withColumn("rank", F.row_number().over(order)).where("rank <= 10").select("q", "c", "rank")
+    return dense.search(asked, corpus, 10).select("q", "c", "rank")
 
 
 @query
@@ -499,13 +533,13 @@ def dense_by_country(spark, sf):
 @query
 def retrieval_metrics(spark, sf):
     asked, corpus, relevant = vectors(spark, sf)
-    return evaluate.retrieval_metrics(evaluate.similarities(asked, corpus), relevant)
+    return evaluate.retrieval_metrics(asked, corpus, relevant)
 
 
 @query
 def margin_analysis(spark, sf):
     asked, corpus, relevant = vectors(spark, sf)
-    return evaluate.margin_analysis(evaluate.margins(evaluate.similarities(asked, corpus), relevant))
+    return evaluate.margin_analysis(evaluate.margins(asked, corpus, relevant))
 
 
 @query
@@ -529,13 +563,13 @@ def _text_features(spark, sf):
 
 @query
 def gbt_oof(spark, sf):
-    return scoring.out_of_fold(_text_features(spark, sf), folds=3, rounds=3)
+    return scoring.out_of_fold(_text_features(spark, sf))
 
 
 @query
 def calibrated_scores(spark, sf):
     scored = _text_features(spark, sf).select(S1, CAND, "label", F.col("letter_share").alias("raw_score"))
-    return scoring.cross_fitted(scored, 3).select(S1, CAND, "calibrated_score")
+    return scoring.cross_fitted(scored).select(S1, CAND, "calibrated_score")
 
 
 @query

@@ -10,19 +10,20 @@ from pyspark.sql import functions as F
 from cairnlink.functions.normalize import normalize_records
 from cairnlink.operators import decide, pairs, scoring
 from cairnlink.operators.blocking import Blocking, generate
-from cairnlink.sources.tables import as_feed
+from cairnlink.sources.tables import as_feed, stored
 
 
 @dataclass(frozen=True)
 class Linkage:
     """Settings of a run. With a ``folder`` every stage is stored there and ``skip`` names those to read instead; without one
-    the run is one plan, which suits small feeds.
+    records and hits are stored in the shared folder and the rest is one plan, which makes only the features that are used.
     """
 
     blocking: Blocking = field(default_factory=Blocking)
     threshold: float = 0.5
     injective: bool = True
-    rounds: int = 50
+    rounds: int = scoring.ROUNDS
+    model: str | None = None
     folder: str | None = None
     skip: tuple[str, ...] = ()
 
@@ -34,29 +35,36 @@ def plain_score(features: DataFrame) -> DataFrame:
 
 
 def run(feed: DataFrame, truth: DataFrame | None = None, settings: Linkage = Linkage()) -> DataFrame:
-    """Match lists of all S1 records of a feed. With a truth, trees are trained out of fold and calibrated."""
+    """Match lists of all S1 records of a feed.
+
+    With a truth, trees are trained: its pairs get out-of-fold scores, and the folder, if there is one, the fitted scorer.
+    With a saved ``model`` pairs are scored by it. Else a fixed weighted score decides.
+    """
     spark = feed.sparkSession
 
     def stage(name: str, make) -> DataFrame:
         if settings.folder is None:
-            return make()
+            return stored(make(), name) if name in ("records", "hits") else make()
         path = f"{settings.folder}/{name}"
         if name not in settings.skip:
             make().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
     records = stage("records", lambda: normalize_records(as_feed(feed)))
-    hits = stage("hits", lambda: generate(records, settings.blocking))
+    hits = stage("hits", lambda: generate(records, settings.blocking, checkpoint=True))
     features = stage("features", lambda: pairs.pair_features(hits, records))
 
+    manifest = records.where("source = 'S1'").select(F.col("entity_id").alias("source1_entity_id"))
+
     def score() -> DataFrame:
+        if settings.model is not None:
+            return scoring.Scorer.load(settings.model).score(features)
         if truth is None:
             return plain_score(features)
-        labelled = scoring.attach_labels(features, truth)
-        out = scoring.out_of_fold(labelled, rounds=settings.rounds)
-        calibrator = scoring.fit_calibrator(out)
-        return out.select("source1_entity_id", "candidate_entity_id", scoring.calibrated(F.col("raw_score"), calibrator).alias("calibrated_score"))
+        scorer, scored = scoring.train(scoring.attach_labels(features, truth), manifest, rounds=settings.rounds, strata="left_country_canonical")
+        if settings.folder is not None:
+            scorer.save(f"{settings.folder}/scorer")
+        return scored.select("source1_entity_id", "candidate_entity_id", "calibrated_score")
 
     scored = stage("scored", score)
-    manifest = records.where("source = 'S1'").select(F.col("entity_id").alias("source1_entity_id"))
     return decide.match_lists(scored, manifest, settings.threshold, settings.injective)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from cairnlink.functions.normalize import normalize_records
-from cairnlink.operators.blocking import Blocking, generate
+from cairnlink.operators.blocking import Blocking, generate, prepare
+from cairnlink.sources.tables import stored
 
 FEED = "entity_id string, business_name string, business_address string, country string"
 
@@ -17,10 +18,14 @@ def normalized_stream(spark: SparkSession, path: str, fmt: str = "parquet") -> D
 
 
 def link_stream(stream: DataFrame, candidates: DataFrame, out: str, checkpoint: str, config: Blocking = Blocking()) -> StreamingQuery:
-    """Write the candidates of the S1 records of each micro-batch; a batch that is run again overwrites its own folder."""
+    """Write the candidates of the S1 records of each micro-batch; a batch that is run again overwrites its own folder.
+
+    The static candidates are made ready once and stored before the stream starts; batches read that table.
+    """
+    ready = stored(prepare(candidates.where("source <> 'S1'"), config), "candidates")
 
     def one_batch(batch: DataFrame, number: int) -> None:
-        hits = generate(batch.where("source = 'S1'").unionByName(candidates), config)
+        hits = generate(batch.where("source = 'S1'"), config, candidates=ready)
         hits.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
