@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,10 +86,67 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_candidates(hits: DataFrame, manifest: DataFrame, folder: str) -> None:
+    """The candidate lists (one row for each S1, '' for none) and, pair by pair, where the candidates come from, as TSV."""
+    key, value = "source1_entity_id", "candidate_entity_id"
+    lists = id_list(hits, manifest, key, value, [F.col("place"), F.col(value)], "candidate_entity_ids")
+    lists.write.mode("overwrite").options(**WRITE_TSV).csv(f"{folder}/candidate_pairs")
+    columns = [key, value, "candidate_source", "blocker_provenance", "blocker_count", "best_blocker_rank", "best_blocker_score", "country_partition", "place"]
+    hits.select(columns).write.mode("overwrite").options(**WRITE_TSV).csv(f"{folder}/candidate_provenance")
+
+
+def read_candidates(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """(s1, cand, position) of candidate lists; the first ``most`` of each list only, none twice."""
+    lists = read_tsv(spark, path)
+    return explode_ids(lists, "source1_entity_id", "candidate_entity_ids", most=most)
+
+
+def read_provenance(spark: SparkSession, path: str) -> DataFrame:
+    """Hits as ``write_candidates`` writes them, with their types."""
+    kinds = {"blocker_count": "int", "best_blocker_rank": "int", "best_blocker_score": "double", "place": "int"}
+    rows = read_tsv(spark, path)
+    return rows.withColumns({c: F.expr(f"try_cast({c} as {kind})") for c, kind in kinds.items() if c in rows.columns})
+
+
+def with_provenance(candidates: DataFrame, provenance: DataFrame) -> DataFrame:
+    """Candidate pairs with what is known of them; null where nothing is. No order of either side is assumed."""
+    keys = ["source1_entity_id", "candidate_entity_id"]
+    return candidates.join(provenance.dropDuplicates(keys), keys, "left")
+
+
+def write_features(features: DataFrame, folder: str, families: dict[str, list[str]] | None = None, tsv: bool = False) -> None:
+    """Pair features below ``folder``, one table for each family of columns; a table of all of them without families."""
+    keys = ["source1_entity_id", "candidate_entity_id"]
+    for name, columns in (families or {"features": [c for c in features.columns if c not in keys]}).items():
+        out = features.select(*keys, *columns).write.mode("overwrite")
+        out.options(**WRITE_TSV).csv(f"{folder}/{name}") if tsv else out.parquet(f"{folder}/{name}")
+
+
+def read_features(spark: SparkSession, path: str, tsv: bool = False) -> DataFrame:
+    return spark.read.options(sep="\t", header="true", inferSchema="true").csv(path) if tsv else spark.read.parquet(path)
+
+
 def read_embeddings(spark: SparkSession, path: str, id_column: str = "entity_id", vector: str = "embedding") -> DataFrame:
+    """Vectors of length 1 (a zero vector stays) from Parquet, or from .npz files with arrays of ids and vectors.
+
+    An .npz file is one task's work and must fit its memory; Parquet has no such limit.
+    """
     from cairnlink.functions.similarity import l2_normalised
 
-    return spark.read.parquet(path).select(F.col(id_column), l2_normalised(F.col(vector)).alias(vector))
+    if not path.endswith(".npz"):
+        return spark.read.parquet(path).select(F.col(id_column), l2_normalised(F.col(vector)).alias(vector))
+
+    def unpack(batches):
+        for batch in batches:
+            for content in batch.column("content").to_pylist():
+                with np.load(io.BytesIO(content), allow_pickle=False) as arrays:
+                    for side in ("candidate", "s1"):
+                        if f"{side}_ids" in arrays:
+                            ids, rows = arrays[f"{side}_ids"].astype(str).tolist(), arrays[f"{side}_embeddings"].astype(float)
+                            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rows.tolist(), pa.list_(pa.float64()))], names=["id", "v"])
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "id string, v array<double>")
+    return rows.select(F.col("id").alias(id_column), l2_normalised(F.col("v")).alias(vector))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,6 +3,22 @@ from pyspark.sql import functions as F
 
 from cairnlink.functions import normalize as N
 
+#: Words that a dotted run may end with, or go on after, with and without a final dot or blanks between.
+DOTTED = [
+    ("Acme L.L.C", "acme llc"),
+    ("Acme L.L.C.", "acme llc"),
+    ("L. L. C", "llc"),
+    ("L . L . C . of Kent", "llc of kent"),
+    ("U.S.A Motors", "usa motors"),
+    ("U.S.A. Motors", "usa motors"),
+    ("Dupont S.A.R.L", "dupont sarl"),
+    ("Dupont S.A.R.L.", "dupont sarl"),
+    ("A.B.Company", "abcompany"),
+    ("J.R. Tolk é.a.b", "jr tolk é ab"),
+    ("St. Ives Co.", "st ives company"),
+    ("x1.b.c", "x1 bc"),
+]
+#: Names, addresses and postal codes with the normal form that is required of them.
 NAMES = [
     ("Custom Wealth Services LLC", "custom wealth services llc"),
     ("Summit Inc", "summit incorporated"),
@@ -42,7 +58,7 @@ POSTAL = [
 ]
 
 
-@pytest.mark.parametrize(("make", "cases"), [(N.normalize_name, NAMES), (N.normalize_address, ADDRESSES)])
+@pytest.mark.parametrize(("make", "cases"), [(N.normalize_name, DOTTED), (N.normalize_name, NAMES), (N.normalize_address, ADDRESSES)])
 def test_vectors(spark, make, cases):
     rows = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "i int, x string")
     found = {r.i: r.y for r in rows.select("i", make(F.col("x")).alias("y")).collect()}
@@ -70,3 +86,16 @@ def test_country(spark):
 def test_structural_fields_of_a_raw_address(spark):
     row = spark.createDataFrame([("1795 Westchester Drive, High Point, NC",)], "a string")
     assert tuple(row.select(N.street_number(F.col("a")), N.trailing_segment(F.col("a"))).first()) == ("1795", "NC")
+
+
+def test_dots_as_the_rule_says(spark):
+    """Every short string of letters, dots and blanks against the rule as one pattern."""
+    import itertools
+    import re
+
+    rule = re.compile(r"\b(?:[a-zA-Z]\s*\.\s*)+[a-zA-Z]\b\.?")
+    texts = ["".join(x) for n in range(1, 8) for x in itertools.product("a. b", repeat=n)][::7] + ["a.b.c.de f.g.", "q.r.s t", "a.b .c", "é.a.b", "a_.b.c"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    found = {r.i: r.y for r in rows.select("i", N.collapse_acronyms(F.col("x")).alias("y")).collect()}
+    wrong = [(x, found[i]) for i, x in enumerate(texts) if found[i] != rule.sub(lambda m: re.sub(r"[.\s]+", "", m[0]), x)]
+    assert wrong == []
