@@ -234,6 +234,19 @@ def fit(texts: list[str], toxic: np.ndarray, odds: float, rounds: int = 40) -> T
     return tagger
 
 
+def _least(rows: DataFrame, most: int, ids: int) -> list:
+    """The ``most`` rows of the least hash ``_at``, in order. Only those below a mark that some more than ``most`` rows
+    fall short of are sent to the driver, so what it gets does not grow with the tasks; the mark rises if they are too few.
+    """
+    share = 2 * (most + 50) / max(1, ids)
+    while True:
+        below = rows if share >= 1 else rows.where(F.col("_at") < int(share * 2**64) - 2**63)
+        found = below.collect()
+        if share >= 1 or len(found) >= most:
+            return sorted(found, key=lambda r: (r["_at"], r["_id"]))[:most]
+        share *= 4
+
+
 def learn(
     docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", sample: dict[int, int] = SAMPLE, characters: int = SAMPLE_CHARS
 ) -> Tagger | float:
@@ -254,7 +267,7 @@ def learn(
     rows = {}
     for kind, most in sample.items():
         total = 0
-        for r in of_text.where(F.col("_toxic") == kind).orderBy("_at", "_id").limit(most).collect():
+        for r in _least(of_text.where(F.col("_toxic") == kind), most, sizes.get(kind, 0)):
             if total < characters:
                 rows[r["_key"]], total = r, total + r["_n"]
     of_text.unpersist()

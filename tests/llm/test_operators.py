@@ -394,6 +394,25 @@ def test_toxicity_sample(spark, monkeypatch):
     assert isinstance(tagger, toxicity.Tagger)
 
 
+def test_least_hashes(spark):
+    """The rows of least hash, though a few texts hold most ids; and whole long texts, up to the characters that are allowed."""
+    rows = spark.range(3000).select(F.xxhash64("id").alias("_at"), F.col("id").cast("string").alias("_id"))
+    wanted = [r._id for r in rows.orderBy("_at", "_id").limit(40).collect()]
+    for ids in (3000, 100_000, 1):
+        assert [r._id for r in toxicity._least(rows, 40, ids)] == wanted
+    texts = [(i, f"word{i} " * (20_000 if i % 10 == 0 else 5) + ("villain" if i % 2 else ""), None, None, None) for i in range(100)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    taken = []
+    real = toxicity.F.broadcast
+    try:
+        toxicity.F.broadcast = lambda df: taken.append(df.count()) or real(df)
+        for characters in (10**9, 200_000):
+            toxicity.learn(spark.createDataFrame(texts, DOCS), marks, F.lit(True), characters=characters)
+    finally:
+        toxicity.F.broadcast = real
+    assert taken[0] == 100 and 50 < taken[1] < 100
+
+
 def test_marginals_are_exact():
     from itertools import product
 
