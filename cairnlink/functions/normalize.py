@@ -36,7 +36,7 @@ def let(value: Column, body) -> Column:
 
 def lookup(word: Column, words: dict[str, str]) -> Column:
     """The word that ``words`` has for it, else itself. A map literal is searched one by one, so only known words get there."""
-    table = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+    table = F.expr("map(" + ", ".join(f"'{x}'" for pair in words.items() for x in pair) + ")")
     return F.when(word.isin(*words), F.element_at(table, word)).otherwise(word)
 
 

@@ -91,8 +91,9 @@ def dense_feature(pairs: DataFrame, vectors: DataFrame, name: str, decimals: int
     """Cosine of both records' vectors (id, vector), clipped; missing if either is."""
     one, two = vectors.select(F.col("id").alias("_i"), F.col("vector").alias("_a")), vectors.select(F.col("id").alias("_j"), F.col("vector").alias("_b"))
     both = pairs.join(one, F.col("source1_entity_id") == F.col("_i"), "left").join(two, F.col("candidate_entity_id") == F.col("_j"), "left")
-    value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), S.dot(S.l2_normalised(F.col("_a")), S.l2_normalised(F.col("_b")))))
-    value = F.coalesce(F.round(value, decimals) if decimals else value, F.lit(0.0))
+    cosine = S.dot(S.l2_normalised(F.col("_a")), S.l2_normalised(F.col("_b")))
+    value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))
+    value = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.lit(0.0)).otherwise(F.round(value, decimals) if decimals else value)  # least and greatest skip nulls
     return both.select("source1_entity_id", "candidate_entity_id", value.alias(name), (F.col("_a").isNull() | F.col("_b").isNull()).cast("int").alias(f"{name}_missing"))
 
 

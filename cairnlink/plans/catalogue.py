@@ -164,7 +164,7 @@ def token_sets(spark, sf):
 
 @query
 def multi_acronyms(spark, sf):
-    return N.normalize_records(feed(spark, sf)).select("entity_id", F.array_join(T.acronyms(F.col("raw_name"), F.col("norm_name")), ",").alias("acronyms"))
+    return N.normalize_records(feed(spark, sf)).select("entity_id", F.array_join(F.array_sort(T.acronyms(F.col("raw_name"), F.col("norm_name"))), ",").alias("acronyms"))
 
 
 # Blocking
@@ -294,6 +294,15 @@ def needed_ids(spark, sf):
     return tables.only_needed(feed(spark, sf).select("entity_id", "country"), needed)
 
 
+@query
+def candidate_list_scan(spark, sf):
+    """Candidate lists read back: the first three of each, none twice."""
+    hits = _key_candidates(spark, sf).select(S1, CAND, "place")
+    lists = tables.id_list(hits, manifest(spark, sf), S1, CAND, [F.col("place")], "candidate_entity_ids")
+    doubled = lists.withColumn("candidate_entity_ids", F.concat("candidate_entity_ids", F.lit(", "), "candidate_entity_ids"))
+    return tables.explode_ids(doubled, S1, "candidate_entity_ids", most=3)
+
+
 @query
 def gt_explode(spark, sf):
     lists = tables.id_list(truth(spark, sf), manifest(spark, sf), S1, CAND, [F.col(CAND)], "matched_entity_ids")
@@ -405,6 +414,14 @@ def pair_margin(spark, sf):
     return f.select(S1, CAND, F.round("best_blocker_score", 4).alias("score"), F.round("best_blocker_score_diff", 4).alias("diff"))
 
 
+@query
+def dense_feature(spark, sf):
+    """Cosine of neighbours by id; every tenth vector is taken for missing."""
+    rows = tables.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.when(F.col("vec_id") % 10 != 9, F.col("embedding")).alias("vector"), "vec_id")
+    asked = rows.select(F.col("id").alias(S1), (F.col("vec_id") + 1).cast("string").alias(CAND))
+    return pairs.dense_feature(asked, rows.where("vector is not null").select("id", "vector"), "bge_cosine")
+
+
 @query
 def feature_merge(spark, sf):
     base = orders_scored(spark, sf)
@@ -556,6 +573,13 @@ def training_pairs(spark, sf):
     return training.training_pairs(_candidates_of(rows), truth(spark, sf), texts)
 
 
+@query
+def flat_training_pairs(spark, sf):
+    rows = records(spark, sf)
+    texts = rows.select(F.col("entity_id").alias("id"), F.col("encoder_text").alias("text"))
+    return training.flat_pairs(training.training_pairs(_candidates_of(rows), truth(spark, sf), texts), 2)
+
+
 def _text_features(spark, sf):
     rows = labelled_texts(spark, sf)
     return rows.select(F.concat(F.lit("S1-"), "doc_id").alias(S1), F.concat(F.lit("S2-"), "doc_id").alias(CAND), "label", F.col("score").alias("letter_share"), F.length("lang").alias("lang_length"))

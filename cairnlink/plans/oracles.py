@@ -210,6 +210,12 @@ NAMES = " || ".join(f"case when mask & {1 << i} <> 0 then ',{name}' else '' end"
 AUDIT = "cast(sum(n) as bigint) as pairs, round(sum(hit) / sum(n), 6) as pair_recall, count(*) as entities, round(avg((n = hit)::int), 6) as full_recall, round(avg((hit > 0)::int), 6) as any_hit"
 PER = "per as (select t.source1_entity_id, t.country, count(*) as n, count(p.s1) as hit from truth t left join placed p on p.s1 = t.source1_entity_id and p.cand = t.candidate_entity_id group by all)"
 
+TRAINING = f"""with {PLACED}, {TRUTH}, e as (select entity_id, case when norm_name <> '' and norm_address <> '' then norm_name || ' | ' || norm_address when norm_name <> '' and gone then norm_name || ' | [NO_ADDRESS]' when norm_name <> '' then norm_name when norm_address <> '' then norm_address else '[NO_ADDRESS]' end as text from rec),
+        n as (select s1, cand, place, r.text from placed join e l on l.entity_id = s1 join e r on r.entity_id = cand where r.text <> '' and r.text <> l.text
+            and not exists (select 1 from truth t where t.source1_entity_id = s1 and t.candidate_entity_id = cand) and not exists (select 1 from truth t join e g on g.entity_id = t.candidate_entity_id where t.source1_entity_id = s1 and g.text = r.text)),
+        k as (select * from n qualify row_number() over (partition by s1 order by place, cand) <= 5), neg as (select s1, list(text order by place, cand) as negatives from k group by s1),
+training as (select t.source1_entity_id as s1_id, t.candidate_entity_id as matched_id, a.text as anchor, b.text as positive, coalesce(negatives, []) as negatives from truth t join e a on a.entity_id = t.source1_entity_id join e b on b.entity_id = t.candidate_entity_id left join neg on s1 = t.source1_entity_id)"""
+
 ORACLES = {
     "norm_country": f"with x as (select lower(n_name) as country from nation union all select distinct lang from documents) select country, {_country('country')} as canonical from x",
     "country_flags": f"with {FEED} select entity_id, cast({_country('country')} = 'france' as integer) as with_france, cast(null as integer) as with_none, regexp_extract(entity_id, '^(S[123])-', 1) as source from feed",
@@ -233,6 +239,13 @@ ORACLES = {
         select gram, count(*) as n, count(distinct p_partkey) as parts from x group by gram""",
     "token_sets": f"""with y as (select p_partkey, p_brand || ' ' || p_type as x from part) select p_partkey, len({_found('x')})::int as n_words, len(list_filter(regexp_extract_all(x, '[a-z0-9]+'), lambda w: length(w) >= 3))::int as n_ascii,
         len({_grams('x')})::int as n_trigrams, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(x, '\\d+'))), '|'), '') as numbers from y""",
+    "multi_acronyms": f"""with {KEYS}, w as (select entity_id, c, regexp_extract_all(raw_name, '[\\p{{L}}\\p{{N}}_]+') as r from lead),
+        a as (select entity_id, list_concat(case when len(c) >= 2 then [c[1][1:1] || c[2][1:1]] else [] end, case when len(c) between 2 and 6 then [array_to_string(list_transform(c, lambda x: x[1:1]), '')] else [] end,
+            list_transform(list_filter(r, lambda x: (regexp_full_match(x, '\\p{{Lu}}{{2,5}}') or lower(x) in ({_list(V.KNOWN_ACRONYMS)})) and lower(x) not in ({_list(sorted({*V.ACRONYM_SKIP, *V.LEGAL_MAP, *V.LEGAL_MAP.values()}))})), lambda x: lower(x))) as l from w)
+        select entity_id, coalesce(array_to_string(list_sort(list_distinct(l)), ','), '') as acronyms from a""",
+    "dense_feature": """with v as (select vec_id, case when vec_id % 10 <> 9 then list_transform(embedding, lambda x: cast(x as double)) end as v from embeddings)
+        select a.vec_id::varchar as source1_entity_id, (a.vec_id + 1)::varchar as candidate_entity_id, coalesce(round(list_cosine_similarity(a.v, b.v), 4), 0.0) as bge_cosine, (a.v is null or b.v is null)::int as bge_cosine_missing from v a left join v b on b.vec_id = a.vec_id + 1""",
+    "candidate_list_scan": f"with {PLACED} select s1 as source1_entity_id, (place - 1)::int as position, cand as candidate_entity_id from placed where place <= 3",
     "key_channel_hits": f"with {KEYS} select * from hits",
     "posting_cap": "select p_name, p_partkey, cast(row_number() over (partition by p_name order by p_partkey) as integer) as rank from part qualify rank <= 10",
     "doc_freq": f"with {KEYS} select country, term, count(*) as df from (select country, unnest(list_distinct({NAME_TERMS})) as term from lead where source <> 'S1') group by all",
@@ -290,11 +303,8 @@ ORACLES = {
     "hard_negatives": f"""with {PLACED}, {TRUTH}, neg as (select s1, cand, place, r.norm_name as text from placed join rec l on l.entity_id = s1 join rec r on r.entity_id = cand where r.norm_name <> '' and r.norm_name <> l.norm_name
             and not exists (select 1 from truth t where t.source1_entity_id = s1 and t.candidate_entity_id = cand) and not exists (select 1 from truth t join rec g on g.entity_id = t.candidate_entity_id where t.source1_entity_id = s1 and g.norm_name = r.norm_name))
         select s1 as source1_entity_id, cand as candidate_entity_id, cast(row_number() over (partition by s1 order by place, cand) as integer) as n from neg qualify n <= 5""",
-    "training_pairs": f"""with {PLACED}, {TRUTH}, e as (select entity_id, case when norm_name <> '' and norm_address <> '' then norm_name || ' | ' || norm_address when norm_name <> '' and gone then norm_name || ' | [NO_ADDRESS]' when norm_name <> '' then norm_name when norm_address <> '' then norm_address else '[NO_ADDRESS]' end as text from rec),
-        n as (select s1, cand, place, r.text from placed join e l on l.entity_id = s1 join e r on r.entity_id = cand where r.text <> '' and r.text <> l.text
-            and not exists (select 1 from truth t where t.source1_entity_id = s1 and t.candidate_entity_id = cand) and not exists (select 1 from truth t join e g on g.entity_id = t.candidate_entity_id where t.source1_entity_id = s1 and g.text = r.text)),
-        k as (select * from n qualify row_number() over (partition by s1 order by place, cand) <= 5), neg as (select s1, list(text order by place, cand) as negatives from k group by s1)
-        select t.source1_entity_id as s1_id, t.candidate_entity_id as matched_id, a.text as anchor, b.text as positive, coalesce(negatives, []) as negatives from truth t join e a on a.entity_id = t.source1_entity_id join e b on b.entity_id = t.candidate_entity_id left join neg on s1 = t.source1_entity_id""",
+    "training_pairs": f"""{TRAINING} select * from training""",
+    "flat_training_pairs": f"{TRAINING} select anchor, positive, negatives[1] as negative_1, negatives[2] as negative_2 from training where len(negatives) >= 2",
     "dense_by_country": """with v as (select vec_id as id, embedding as v, ['', 'us', 'india', 'france'][vec_id % 4 + 1] as country from embeddings),
         s as materialized (select q.id as q, c.id as c, q.country as qc, c.country as cc, round(list_sum(list_transform(list_zip(q.v, c.v), lambda p: cast(p[1] as double) * p[2])), 9) as sim from v q join v c on q.id <> c.id where q.id % 5 = 0),
         own as (select q, c, sim from s where (qc = cc or cc = '') and sim >= 0.3), other as (select q, c, sim * 0.95 as sim from s where qc <> cc and not (qc in ('us', 'india') and cc in ('us', 'india')) and sim * 0.95 >= 0.3 and q not in (select q from own))

@@ -288,6 +288,40 @@ def test_indel_family():
     assert S.token_set_ratio_of("", "a") == 0.0
 
 
+def test_indel_ratio_by_table(spark):
+    """The bit-parallel ratio against the plain table of common subsequences, and the token forms against their definition."""
+    draw = random.Random(5)
+
+    def ratio(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row, old = [0], row
+            for j, y in enumerate(b):
+                row.append(old[j] + 1 if x == y else max(old[j + 1], row[-1]))
+        return 2 * row[-1] / (len(a) + len(b)) if a or b else 1.0
+
+    for _ in range(300):
+        a, b = (" ".join("".join(draw.choices("abcé", k=draw.randint(1, 30))) for _ in range(draw.randint(0, 4))) for _ in range(2))
+        assert S.indel_ratio(a, b) == pytest.approx(ratio(a, b))
+        assert S.token_sort_ratio_of(a, b) == pytest.approx(ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))))
+    pairs = [("b a", "a b"), ("x y z", "x y"), ("", "a"), ("p q", "r s"), ("same", "same"), (None, "a")]
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(pairs)], "i int, a string, b string")
+    found = {r.i: (r.s, r.t) for r in rows.select("i", S.token_sort_ratio(F.col("a"), F.col("b")).alias("s"), S.token_set_ratio(F.col("a"), F.col("b")).alias("t")).collect()}
+    assert found[0] == (1.0, 1.0) and found[1][1] == 1.0 and found[2] == (0.0, 0.0) and found[4] == (1.0, 1.0)
+
+
+def test_masking_weights_and_gates(spark):
+    from cairnlink.operators import evaluate
+
+    rows = spark.range(4000).select(F.concat(F.lit("S1-"), F.col("id") % 900).alias("source1_entity_id"), F.concat(F.lit("S2-"), "id").alias("candidate_entity_id"), F.lit(1).alias("country_equal"), F.lit(0).alias("country_equal_missing"), (F.col("id") % 5 == 0).cast("int").alias("label"))
+    masked = scoring.mask_country(rows).agg(F.avg((F.col("country_equal") == -1).cast("int")).alias("share"), F.avg("country_equal_missing").alias("flag")).first()
+    assert masked.share == masked.flag and abs(masked.share - 0.15) < 0.03
+    assert {r.label: r.weight for r in scoring.weighted(rows).select("label", "weight").distinct().collect()} == {0: 1.0, 1: 4.0}
+    assert evaluate.matcher_gate(0.75, 0.80) and not evaluate.matcher_gate(0.74, 0.9)
+    assert evaluate.go_no_go(0.85, 0.88, 0.46, 0.40, 0.61)["go"] and not evaluate.go_no_go(0.85, 0.95, 0.46, 0.40, 0.61)["go"]
+    assert decide.allowed_pairs(spark.createDataFrame([("S1-1", "S1-1"), ("S1-1", "S2-1"), ("S2-1", "S2-1")], PAIR)).count() == 1
+
+
 def test_folds_keep_entities_together(spark):
     rows = spark.range(500).select(F.concat(F.lit("S1-"), F.col("id") % 50).alias("s"))
     assert rows.withColumn("f", scoring.fold_of(F.col("s"))).groupBy("s").agg(F.countDistinct("f").alias("n")).where("n > 1").isEmpty()
