@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnlink.llm.shared import cut, spread_join, stored
+from cairnlink.llm.shared import cut, let_go, spread_join, stored
 from cairnlink.llm.tokens import ALNUM, Words, find_words, mix, sliced, window_hashes
 
 TREES, MAX_DEPTH = 24, 8
@@ -220,6 +220,7 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = cut(small.where("v <> u").distinct())
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         size = now[0]
+        let_go(edges.sparkSession)
         if now == state:
             break
         state = now

@@ -5,6 +5,7 @@ Everything here is plain DataFrame code; the native operators use it on their ma
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -76,6 +77,12 @@ def spread_join(left: DataFrame, facts: DataFrame, key: str, weight: str, total:
     return joined.where(F.col("_of").isNotNull()).select(*left.columns, "_of.*")
 
 
+def let_go(spark: SparkSession) -> None:
+    """Free what the driver still holds of finished steps: plans that Python refers to in cycles, and the shuffles behind them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def number_rows(df: DataFrame, keys: list[Column], name: str = "row_no") -> DataFrame:
     """Add the 0-based position of each row in the order of ``keys``, without a single-task sort.
 

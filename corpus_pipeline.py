@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnlink.llm import decontam, jaccard, mixing, token_shards, toxicity
 from cairnlink.llm.queries import TOKENIZERS, word_count
-from cairnlink.llm.shared import new_folder, table
+from cairnlink.llm.shared import let_go, new_folder, table
 
 
 def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
@@ -81,6 +81,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        let_go(spark)
     return docs
 
 
