@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cairnlink.llm.tokens import ALNUM, Words, find_words, hash_ranges, sliced
 
 BITS = 18
+STRETCH = 1 << 20  # bytes of text that are tagged at a time, one text at least
 GRAMS, PREFIXES = (4, 5), (6, 7, 8)
 #: Bounds of the sample that the model is fitted on: distinct texts of each class, and characters of each class in all.
 SAMPLE = {1: 1000, 0: 2000}
@@ -227,7 +228,8 @@ def fit(texts: list[str], toxic: np.ndarray, odds: float, rounds: int = 40) -> T
             grown[n] += grad**2
             tables[n] -= 0.3 * grad / np.sqrt(grown[n])
     tagger = Tagger({n: x.astype(np.float32) for n, x in tables.items()}, bias, trans, np.zeros(5), np.zeros(4), np.ones(4))
-    features = tagger.tag(found)[1]
+    del slots, tokens, grown, found, doc, used, keep
+    features = np.concatenate([tagger.tag(find_words(part.column("text"), ALNUM, lower=True))[1] for part in sliced(iter([pa.record_batch({"text": pa.array(texts, pa.large_string())})]), most=STRETCH)])
     tagger.shift, tagger.scale = features.mean(0), features.std(0) + 1e-6
     weight = np.where(toxic > 0, 1.0, odds * toxic.sum() / max(1.0, (1 - toxic).sum()))
     tagger.head = _logistic((features - tagger.shift) / tagger.scale, toxic, weight)
@@ -294,7 +296,7 @@ SPAN_TYPE = "array<struct<start:long,end:long,score:double>>"
 def score_texts(docs: DataFrame, tagger: Tagger | float, text_column: str = "text") -> DataFrame:
     """Add ``toxicity`` (0 to 1) and ``toxic_spans`` (UTF-8 byte offsets of runs of words that are likelier toxic than not).
 
-    Every word of every text is tagged; memory is the model and 4 MB of text, or one text if it is longer. A null or
+    Every word of every text is tagged; memory is the model and 1 MB of text, or one text if it is longer. A null or
     empty text has no words and gets the score of a text without any sign of toxicity, and no spans. Equal texts get
     equal scores, repeated rows stay, an empty table gives an empty result. Columns toxicity and toxic_spans of the
     caller are replaced; all others stay.
@@ -304,7 +306,7 @@ def score_texts(docs: DataFrame, tagger: Tagger | float, text_column: str = "tex
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, text_column):
+        for batch in sliced(batches, text_column, STRETCH):
             if isinstance(held.value, float):
                 scores, spans = np.full(batch.num_rows, held.value), [[] for _ in range(batch.num_rows)]
             else:
