@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +16,8 @@ from cairnlink.llm.tokens import ALNUM, Words, find_words, hash_ranges, sliced
 BITS = 18
 STRETCH = 1 << 20  # bytes of text that are tagged at a time, one text at least
 GRAMS, PREFIXES = (4, 5), (6, 7, 8)
+SHARES = 4  # a power of two
+PIECE = 1 << 19  # features whose weights or gradients are summed at a time
 #: Bounds of the sample that the model is fitted on: distinct texts of each class, and characters of each class in all.
 SAMPLE = {1: 1000, 0: 2000}
 SAMPLE_CHARS = 16_000_000
@@ -146,22 +148,28 @@ def indicative_words(found: Words, toxic: np.ndarray, purity: float = 0.6) -> np
     doc = found.doc
     marked = np.zeros(len(doc), bool)
     for kind in _MULTIPLY:
-        values, bads = [], []
-        for stretch in _stretches(len(doc)):
-            token, value = _features(found, kind, stretch)
-            owner = doc[stretch][token]
-            order = np.lexsort((owner, value))
-            value, owner = value[order], owner[order]
-            fresh = np.append(True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])) if len(order) else np.zeros(0, bool)
-            values.append(value[fresh])
-            bads.append(toxic[owner[fresh]].astype(np.float32))
-        distinct, number = np.unique(np.concatenate(values), return_inverse=True)
-        bad, all_ = np.bincount(number, np.concatenate(bads), len(distinct)), np.bincount(number, minlength=len(distinct))
-        del number, values, bads
-        pure = bad / all_
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = bad * np.log(pure / rate) + np.where(all_ > bad, (all_ - bad) * np.log((1 - pure) / (1 - rate)), 0.0)
-        signal = distinct[(pure >= purity) & (ratio >= np.log(len(distinct) + 1.0))]
+        signal, ratios, total = [], [], 0
+        for share in range(SHARES):  # a share of the features at a time, so that working memory stays small
+            values, bads = [], []
+            for stretch in _stretches(len(doc)):
+                token, value = _features(found, kind, stretch)
+                mine = np.flatnonzero((value * _MULTIPLY[kind]) >> np.uint64(32) & np.uint64(SHARES - 1) == np.uint64(share))
+                owner, value = doc[stretch][token[mine]], value[mine]
+                order = np.lexsort((owner, value))
+                value, owner = value[order], owner[order]
+                fresh = np.append(True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])) if len(order) else np.zeros(0, bool)
+                values.append(value[fresh])
+                bads.append(toxic[owner[fresh]].astype(np.float32))
+            distinct, number = np.unique(np.concatenate(values), return_inverse=True)
+            bad, all_ = np.bincount(number, np.concatenate(bads), len(distinct)), np.bincount(number, minlength=len(distinct))
+            del number, values, bads
+            pure = bad / all_
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ratio = bad * np.log(pure / rate) + np.where(all_ > bad, (all_ - bad) * np.log((1 - pure) / (1 - rate)), 0.0)
+            signal.append(distinct[pure >= purity])
+            ratios.append(ratio[pure >= purity])
+            total += len(distinct)
+        signal = np.concatenate(signal)[np.concatenate(ratios) >= np.log(total + 1.0)]
         for stretch in _stretches(len(doc)):
             token, value = _features(found, kind, stretch)
             marked[stretch[token[np.isin(value, signal)]]] = True
@@ -182,6 +190,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
+def _add_sums(out: np.ndarray, at: np.ndarray, weights: Callable[[slice], np.ndarray]) -> None:
+    """Add to ``out[at]`` what ``weights`` gives for each piece of ``at``."""
+    for a in range(0, len(at), PIECE):
+        piece = at[a : a + PIECE]
+        begin = int(piece.min())
+        sums = np.bincount(piece - begin, weights(slice(a, a + PIECE)))
+        out[begin : begin + len(sums)] += sums
+
+
 def fit(texts: list[str], toxic: np.ndarray, odds: float, rounds: int = 40) -> Tagger:
     """Fit the field on words labelled by ``indicative_words``, then the document score on all texts.
 
@@ -206,29 +223,35 @@ def fit(texts: list[str], toxic: np.ndarray, odds: float, rounds: int = 40) -> T
     grown = {n: np.full(1 << BITS, 1e-8) for n in slots}
     bias, trans = -4.0, np.array([-1.0, 0.0, 0.0])
     grown_small = np.full(4, 1e-8)
-    inner = np.setdiff1d(np.arange(len(keep)), first[1:] - 1)
+    inner = np.setdiff1d(np.arange(len(keep)), first[1:] - 1).astype(np.int32)
+    del found, doc, marked, used
     for _ in range(rounds if len(keep) else 0):
         unary = np.full(len(keep), bias)
         for n, slot in slots.items():
-            unary += np.bincount(tokens[n], tables[n][slot], len(keep))
-        ahead, back, logit = marginals(np.clip(unary, -40, 40), first, trans)
-        off = _sigmoid(logit) - tag
-        after = np.clip(unary, -40, 40)[inner + 1] + back[inner + 1]
-        scores = np.stack([np.zeros(len(inner)), trans[0] + after, ahead[inner] + trans[1], ahead[inner] + trans[2] + after])
-        scores = np.exp(scores - scores.max(0))
-        scores /= scores.sum(0)
-        a, b = tag[inner], tag[inner + 1]
-        small = np.array([off.sum(), (scores[1] - (1 - a) * b).sum(), (scores[2] - a * (1 - b)).sum(), (scores[3] - a * b).sum()])
-        small[1:] += 0.1 * trans
+            _add_sums(unary, tokens[n], lambda part: tables[n][slot[part]])
+        np.clip(unary, -40, 40, out=unary)
+        ahead, back, off = marginals(unary, first, trans)
+        off = _sigmoid(off) - tag
+        small = np.append(off.sum(), 0.1 * trans)
+        for low in range(0, len(inner), PIECE):
+            at = inner[low : low + PIECE]
+            after = unary[at + 1] + back[at + 1]
+            scores = np.stack([np.zeros(len(at)), trans[0] + after, ahead[at] + trans[1], ahead[at] + trans[2] + after])
+            scores = np.exp(scores - scores.max(0))
+            scores /= scores.sum(0)
+            a, b = tag[at], tag[at + 1]
+            small[1:] += np.array([(scores[1] - (1 - a) * b).sum(), (scores[2] - a * (1 - b)).sum(), (scores[3] - a * b).sum()])
+        del unary, ahead, back
         grown_small += small**2
         step = 0.5 * small / np.sqrt(grown_small)
         bias, trans = bias - step[0], trans - step[1:]
         for n, slot in slots.items():
-            grad = np.bincount(slot, off[tokens[n]], 1 << BITS) + 0.01 * tables[n]
+            grad = 0.01 * tables[n]
+            _add_sums(grad, slot, lambda part: off[tokens[n][part]])
             grown[n] += grad**2
             tables[n] -= 0.3 * grad / np.sqrt(grown[n])
     tagger = Tagger({n: x.astype(np.float32) for n, x in tables.items()}, bias, trans, np.zeros(5), np.zeros(4), np.ones(4))
-    del slots, tokens, grown, found, doc, used, keep
+    del slots, tokens, grown, keep
     features = np.concatenate([tagger.tag(find_words(part.column("text"), ALNUM, lower=True))[1] for part in sliced(iter([pa.record_batch({"text": pa.array(texts, pa.large_string())})]), most=STRETCH)])
     tagger.shift, tagger.scale = features.mean(0), features.std(0) + 1e-6
     weight = np.where(toxic > 0, 1.0, odds * toxic.sum() / max(1.0, (1 - toxic).sum()))
