@@ -10,6 +10,7 @@ import math
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,9 +79,24 @@ def spread_join(left: DataFrame, facts: DataFrame, key: str, weight: str, total:
 
 
 def let_go(spark: SparkSession) -> None:
-    """Free what the driver still holds of finished steps: plans that Python refers to in cycles, and the shuffles behind them."""
+    """Free what the driver still holds of finished steps: plans that Python refers to in cycles, and the shuffles behind them.
+
+    What the driver's JVM has freed outside its heap (compiler work, above all) goes back to the system, where the JVM has a
+    command for that.
+    """
     gc.collect()
-    spark._jvm.System.gc()
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    jvm.System.gc()
+    kind, server = jvm.java.lang.Class.forName, jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    parts = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+    kinds, values = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+    for i, part in enumerate(parts):
+        kinds[i] = kind(part)
+    values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        kind("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, values)
+    except Py4JJavaError:
+        pass  # a JVM without that command
 
 
 def number_rows(df: DataFrame, keys: list[Column], name: str = "row_no") -> DataFrame:
