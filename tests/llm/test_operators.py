@@ -9,6 +9,7 @@ from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -469,3 +470,24 @@ def test_license_chains():
                     value += t - max(0, -ahead, -along)
                 most = max(most, value if ok else 0)
         assert max((x["covered"] for x in spans), default=0) == pytest.approx(min(1.0, most / len(template)) if most >= 0.6 * len(template) else 0)
+
+
+def test_toxicity_fit_by_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    at, weight = rng.integers(3, 50, 1000).astype(np.int32), rng.random(1000)
+    whole = np.bincount(at, weight, 60)
+    words = [f"word{i}x" for i in range(300)]
+    toxic = np.arange(400) % 4 == 0
+    texts = [" ".join([*rng.choice(words, 12), *["grubling"] * int(bad)]) for bad in toxic]
+    found = toxicity.find_words(pa.array(texts, pa.large_string()), toxicity.ALNUM, lower=True)
+    marks, models = [], []
+    for shares, piece in ((1, 1 << 19), (4, 7)):
+        monkeypatch.setattr(toxicity, "SHARES", shares)
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        out = np.zeros(60)
+        toxicity._add_sums(out, at, lambda part: weight[part])
+        assert np.allclose(out, whole)
+        marks.append(toxicity.indicative_words(found, toxic.astype(float)))
+        models.append(toxicity.fit(texts[:80], toxic[:80].astype(float), 3.0, rounds=3))
+    assert marks[0].sum() == toxic.sum() and (marks[0] == marks[1]).all()
+    assert np.allclose(models[0].head, models[1].head, atol=1e-5) and np.allclose(models[0].trans, models[1].trans)
