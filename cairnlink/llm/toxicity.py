@@ -147,7 +147,7 @@ def indicative_words(found: Words, toxic: np.ndarray, purity: float = 0.6) -> np
     rate = float(np.clip(toxic.mean(), 1e-6, 1 - 1e-6))
     doc = found.doc
     marked = np.zeros(len(doc), bool)
-    for kind in _MULTIPLY:
+    for kind in _MULTIPLY if len(doc) else ():
         signal, ratios, total = [], [], 0
         for share in range(SHARES):  # a share of the features at a time, so that working memory stays small
             values, bads = [], []

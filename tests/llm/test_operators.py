@@ -491,3 +491,8 @@ def test_toxicity_fit_by_pieces(monkeypatch):
         models.append(toxicity.fit(texts[:80], toxic[:80].astype(float), 3.0, rounds=3))
     assert marks[0].sum() == toxic.sum() and (marks[0] == marks[1]).all()
     assert np.allclose(models[0].head, models[1].head, atol=1e-5) and np.allclose(models[0].trans, models[1].trans)
+
+
+def test_toxicity_fit_without_words():
+    tagger = toxicity.fit(["", " ", ""], np.array([0.0, 1.0, 0.0]), 2.0)
+    assert np.isfinite(tagger.head).all() and 0 < tagger.score(np.zeros((1, 4)))[0] < 1
