@@ -17,7 +17,8 @@ BITS = 18
 STRETCH = 1 << 20  # bytes of text that are tagged at a time, one text at least
 GRAMS, PREFIXES = (4, 5), (6, 7, 8)
 SHARES = 4  # a power of two
-PIECE = 1 << 19  # features whose weights or gradients are summed at a time
+PIECE = 1 << 19  # features whose weights or gradients are summed at a time; words whose marginals are computed at a time
+RUN = 64
 #: Bounds of the sample that the model is fitted on: distinct texts of each class, and characters of each class in all.
 SAMPLE = {1: 1000, 0: 2000}
 SAMPLE_CHARS = 16_000_000
@@ -52,36 +53,54 @@ def _slot(values: np.ndarray, n: int) -> np.ndarray:
     return ((values * _MULTIPLY[n]) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _chains(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the texts, longest first, and for each step how many texts go on that long."""
-    size = np.diff(first)
-    order = np.argsort(-size, kind="stable")
-    size = size[order]
-    return first[:-1][order], np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left")
+def _ratios(p: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """x with x[t] = (p[t] x[t-1] + q[t]) / (r[t] x[t-1] + 1), where p and r are 0 at the first place and nothing is negative.
+
+    The places are cut into runs of ``RUN``. All runs advance together: first the 2 x 2 matrix that each one amounts to, scaled
+    now and then, so that nothing over- or underflows; from these what each run begins with; then the values.
+    """
+    n = len(q)
+    runs = -(-n // RUN)
+    p, q, r = (np.ascontiguousarray(np.append(x, np.zeros(runs * RUN - n)).reshape(runs, RUN).T) for x in (p, q, r))
+    a, b, c, d = np.ones(runs), np.zeros(runs), np.zeros(runs), np.ones(runs)
+    for i in range(RUN):
+        a, b, c, d = p[i] * a + q[i] * c, p[i] * b + q[i] * d, r[i] * a + c, r[i] * b + d
+        if i % 4 == 3:
+            most = np.maximum(np.maximum(a, b), np.maximum(c, d))
+            a, b, c, d = a / most, b / most, c / most, d / most
+    begin, x = np.empty(runs), 1.0
+    for i, (one, two, three, four) in enumerate(zip(a.tolist(), b.tolist(), c.tolist(), d.tolist())):
+        begin[i] = x
+        x = (one * x + two) / (three * x + four)
+    out, x = np.empty((RUN, runs)), begin
+    for i in range(RUN):
+        x = (p[i] * x + q[i]) / (r[i] * x + 1)
+        out[i] = x
+    return out.T.ravel()[:n]
 
 
 def marginals(unary: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log-odds messages forward and backward and the log-odds of the tag at every word; ``trans`` is (OT, TO, TT), OO is 0.
 
-    All texts advance together, word by word; the recursions are in log-odds, so nothing over- or underflows.
+    ``unary`` is 40 at most in size, and ``trans`` is taken as 30 at most. Texts are taken some ``PIECE`` words at a time,
+    one text at least.
     """
-    ot, to, tt = trans
-    ahead, back = unary.copy(), np.zeros_like(unary)
-    starts, alive = _chains(first)
-    now = None
-    for step, n in enumerate(alive):
-        at = starts[:n] + step
-        if step == 0:
-            now = unary[at]
-        else:
-            now = now[:n]
-            now = unary[at] + np.logaddexp(ot, now + tt) - np.logaddexp(0.0, now + to)
-        ahead[at] = now
-    for step in range(len(alive) - 2, -1, -1):
-        n = alive[step + 1]
-        at = starts[:n] + step
-        after = unary[at + 1] + back[at + 1]
-        back[at] = np.logaddexp(to, tt + after) - np.logaddexp(0.0, ot + after)
+    ot, to, tt = np.exp(np.clip(trans, -30, 30))
+    ahead, back = np.empty_like(unary), np.empty_like(unary)
+    edges = np.unique(first)
+    low = 0
+    while low + 1 < len(edges):
+        high = max(low + 1, int(np.searchsorted(edges, edges[low] + PIECE, "right")) - 1)
+        part, starts = slice(edges[low], edges[high]), edges[low : high + 1] - edges[low]
+        w = np.exp(unary[part])
+        p, q, r = w * tt, w * ot, np.full(len(w), to)
+        p[starts[:-1]], q[starts[:-1]], r[starts[:-1]] = 0, w[starts[:-1]], 0
+        ahead[part] = np.log(_ratios(p, q, r))
+        after, last = np.append(w[1:], 0.0), starts[1:] - 1
+        p, q, r = after * tt, np.full(len(w), to), after * ot
+        p[last], q[last], r[last] = 0, 1, 0
+        back[part] = np.log(_ratios(p[::-1], q[::-1], r[::-1])[::-1])
+        low = high
     return ahead, back, ahead + back
 
 

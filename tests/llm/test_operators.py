@@ -418,7 +418,7 @@ def test_marginals_are_exact():
     from itertools import product
 
     draw = np.random.default_rng(4)
-    trans, first = draw.normal(size=3), np.array([0, 0, 1, 5, 9])
+    trans, first = draw.normal(size=3), np.array([0, 0, 1, 5, 9, 9])
     unary = draw.normal(size=9)
     logit = toxicity.marginals(unary, first, trans)[2]
     for a, b in zip(first[:-1], first[1:]):
@@ -430,6 +430,26 @@ def test_marginals_are_exact():
         assert np.allclose(logit[a:b], np.log(odds[:, 1] / odds[:, 0])) if b > a else True
 
 
+@pytest.mark.parametrize("piece", [1, 300, 1 << 19])
+def test_marginals_of_long_texts(piece, monkeypatch):
+    """Against the recursion word by word, in log-odds, also where every word pulls as hard as it may."""
+    monkeypatch.setattr(toxicity, "PIECE", piece)
+    draw = np.random.default_rng(6)
+    first = np.append(0, np.cumsum([0, 1, 63, 64, 65, 700, 0, 2, 1000]))
+    for unary, trans in ((draw.normal(-2, 3, first[-1]), draw.normal(size=3)), (draw.choice([-40.0, 40.0], first[-1]), np.array([-9.0, 8.0, 9.0])), (np.full(first[-1], -40.0), np.array([-30.0, 30.0, -30.0]))):
+        ot, to, tt = trans
+        ahead, back = unary.copy(), np.zeros(first[-1])
+        for a, b in zip(first[:-1], first[1:]):
+            for t in range(a + 1, b):
+                ahead[t] = unary[t] + np.logaddexp(ot, ahead[t - 1] + tt) - np.logaddexp(0, ahead[t - 1] + to)
+            for t in range(b - 2, a - 1, -1):
+                after = unary[t + 1] + back[t + 1]
+                back[t] = np.logaddexp(to, tt + after) - np.logaddexp(0, ot + after)
+        found = toxicity.marginals(unary, first, trans)
+        assert np.allclose(found[0], ahead) and np.allclose(found[1], back) and np.allclose(found[2], ahead + back)
+    assert [len(x) for x in toxicity.marginals(np.zeros(0), np.zeros(3, np.int64), trans)] == [0, 0, 0]
+
+
 def test_licenses(spark, nothing):
     base = [("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
     texts = ["Released under the MIT License. under the mit, license", "x CC BY-NC 4.0 cc by nc by nc", "This work is licensed under the GNU General Public License version 3.", "clean the license of", None, "", "Licensed under the Apache License, Version 2.0", "under under the mit license version 2 apache license version 20"]
