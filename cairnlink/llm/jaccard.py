@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlink.llm.shared import cut, let_go, spread_join, stored
-from cairnlink.llm.tokens import ALNUM, Words, find_words, mix, sliced, window_hashes
+from cairnlink.llm.tokens import ALNUM, Words, find_words, frugal, mix, sliced, window_hashes
 
 TREES, MAX_DEPTH = 24, 8
 #: A sketch is a byte each of so many values of a signature; texts agreeing in NEAR of them lead or follow one another.
@@ -355,7 +355,7 @@ def link_texts(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: floa
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x[once].astype(np.int64).ravel()), TREES).cast(pa.list_(pa.int64())) for x in (head, tail)]
             yield pa.RecordBatch.from_arrays([pa.array(keys[once]), pa.array(depths[once].astype(np.int32)), *lists, pa.array([x.tobytes() for x in sketch[once]], pa.binary())], names=["key", "depth", "heads", "tails", "sketch"])
 
-    signed = stored(ready.select("key", "text").mapInArrow(sign, "key long, depth int, heads array<long>, tails array<long>, sketch binary"), "signatures")
+    signed = stored(ready.select("key", "text").mapInArrow(frugal(sign), "key long, depth int, heads array<long>, tails array<long>, sketch binary"), "signatures")
     edges = meetings(signed, top)
     groups = cut(components(cut(edges)))
     counted = ready.select("id", "key").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))
@@ -377,7 +377,7 @@ def link_texts(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: floa
             texts = [press.compress((x or "").encode()) for x in batch.column("text").take(pa.array(pick)).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(keys[pick]), pa.array(texts, pa.binary())], names=["key", "packed"])
 
-    texts = ready.select("key", "text").mapInArrow(pack, "key long, packed binary")
+    texts = ready.select("key", "text").mapInArrow(frugal(pack), "key long, packed binary")
     with_text = members.join(texts.groupBy("key").agg(F.first("packed").alias("packed")), "key")
     dealt = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", "root", "block", "copies", "packed", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "blocks", "n")

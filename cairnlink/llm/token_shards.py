@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlink.llm.shared import drop_folder, new_folder, with_permuted
-from cairnlink.llm.tokens import column_bytes, hash_ranges, sliced
+from cairnlink.llm.tokens import column_bytes, frugal, hash_ranges, sliced
 
 #: Fixed value: how the public byte-level tokenizers cut a text into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -215,7 +215,7 @@ def write_shards(docs: DataFrame, folder: str, ranks_file: str, key: int = 271_8
         raise ValueError("the vocabulary has ids beyond 16 bits")
     ranks = spark.sparkContext.broadcast(known)
     path = new_folder(spark, "sequences")
-    cut = slim.mapInArrow(_cut(ranks, length), "task int, first long, n long, real long, docs array<array<long>>, packed binary")
+    cut = slim.mapInArrow(frugal(_cut(ranks, length)), "task int, first long, n long, real long, docs array<array<long>>, packed binary")
     cut.write.option("compression", "none").parquet(path)
     ranks.unpersist()
     stored_rows = spark.read.parquet(path)
@@ -229,11 +229,11 @@ def write_shards(docs: DataFrame, folder: str, ranks_file: str, key: int = 271_8
     files.create_dir(root, recursive=True)
     some = stored_rows.select("packed").limit(1).collect()
     sample = spark.sparkContext.broadcast(zstandard.ZstdDecompressor().decompress(some[0].packed)[:SAMPLE_BYTES] if some else b"")
-    rows = stored_rows.mapInArrow(_single(length, spark.sparkContext.broadcast(starts), sample), "row_no long, n_tokens long, doc_ids array<long>, packed binary")
+    rows = stored_rows.mapInArrow(frugal(_single(length, spark.sparkContext.broadcast(starts), sample)), "row_no long, n_tokens long, doc_ids array<long>, packed binary")
     placed = with_permuted(rows, "row_no", total, key, "slot").withColumn("shard", F.expr(f"cast(slot div {per_shard} as int)"))
     placed = placed.withColumn("byte_offset", (F.col("slot") - F.col("shard") * F.lit(per_shard)) * (2 * length))
     dealt = placed.select("slot", "shard", "byte_offset", "n_tokens", "doc_ids", "packed").repartitionById(shards, "shard").sortWithinPartitions("slot")
-    manifest = dealt.mapInArrow(_write(folder, sample), "slot long, shard int, byte_offset long, n_tokens long, doc_ids array<long>, crc32 long")
+    manifest = dealt.mapInArrow(frugal(_write(folder, sample)), "slot long, shard int, byte_offset long, n_tokens long, doc_ids array<long>, crc32 long")
     named = manifest.withColumn("file", F.concat(F.lit(f"{folder}/"), F.format_string("shard-%08d.bin", "shard")))
     named.write.mode("overwrite").parquet(f"{folder}/manifest")
     with files.open_output_stream(f"{root}/layout.json") as out:

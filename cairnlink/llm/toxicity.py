@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlink.llm.tokens import ALNUM, Words, find_words, hash_ranges, sliced
+from cairnlink.llm.tokens import ALNUM, Words, find_words, frugal, give_back, hash_ranges, sliced
 
 BITS = 18
 STRETCH = 1 << 20  # bytes of text that are tagged at a time, one text at least
@@ -225,6 +225,7 @@ def fit(texts: list[str], toxic: np.ndarray, odds: float, rounds: int = 40) -> T
     """
     found = find_words(pa.array(texts, pa.large_string()), ALNUM, lower=True)
     doc, marked = found.doc, indicative_words(found, toxic)
+    give_back()
     explained = np.bincount(doc[marked], minlength=len(texts)) > 0
     used = np.flatnonzero((explained | (toxic == 0))[doc])
     slots, tokens = {}, {}
@@ -244,6 +245,7 @@ def fit(texts: list[str], toxic: np.ndarray, odds: float, rounds: int = 40) -> T
     grown_small = np.full(4, 1e-8)
     inner = np.setdiff1d(np.arange(len(keep)), first[1:] - 1).astype(np.int32)
     del found, doc, marked, used
+    give_back()
     for _ in range(rounds if len(keep) else 0):
         unary = np.full(len(keep), bias)
         for n, slot in slots.items():
@@ -329,7 +331,7 @@ def learn(
     picks = docs.sparkSession.createDataFrame([(r["_key"], r["_toxic"], -i) for i, r in enumerate(rows.values())], "_key long, _toxic int, _place int")
     texts = docs.select(F.col(text_column).alias("_text"), F.xxhash64(text_column).alias("_key")).join(F.broadcast(picks), "_key")
     texts = texts.groupBy("_key").agg(F.first("_place").alias("_place"), F.first("_text").alias("_t"), F.first("_toxic").alias("_y"))
-    return pickle.loads(texts.repartition(1).mapInArrow(train, "model binary").first()["model"])
+    return pickle.loads(texts.repartition(1).mapInArrow(frugal(train), "model binary").first()["model"])
 
 
 SPAN_TYPE = "array<struct<start:long,end:long,score:double>>"
@@ -364,7 +366,7 @@ def score_texts(docs: DataFrame, tagger: Tagger | float, text_column: str = "tex
             yield batch.append_column("toxicity", pa.array(scores)).append_column("toxic_spans", pa.array(spans, span))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, toxicity double, toxic_spans {SPAN_TYPE}")
+    return docs.mapInArrow(frugal(run), f"{schema}, toxicity double, toxic_spans {SPAN_TYPE}")
 
 
 def held_out(id_column: str = "doc_id") -> Column:

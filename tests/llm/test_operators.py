@@ -492,6 +492,14 @@ def test_license_chains():
         assert max((x["covered"] for x in spans), default=0) == pytest.approx(min(1.0, most / len(template)) if most >= 0.6 * len(template) else 0)
 
 
+def test_frugal_passes_every_batch():
+    from cairnlink.llm.tokens import frugal
+
+    batches = [pa.record_batch({"x": pa.array([i])}) for i in range(3)]
+    assert list(frugal(lambda given: (x for x in given))(iter(batches))) == batches
+    assert list(frugal(lambda given: (x for x in given))(iter([]))) == []
+
+
 def test_toxicity_fit_by_pieces(monkeypatch):
     rng = np.random.default_rng(5)
     at, weight = rng.integers(3, 50, 1000).astype(np.int32), rng.random(1000)
