@@ -26,6 +26,7 @@ class Linkage:
     model: str | None = None
     folder: str | None = None
     skip: tuple[str, ...] = ()
+    ascii_bounds: bool = False
 
 
 def plain_score(features: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def run(feed: DataFrame, truth: DataFrame | None = None, settings: Linkage = Lin
             make().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
-    records = stage("records", lambda: normalize_records(as_feed(feed)))
+    records = stage("records", lambda: normalize_records(as_feed(feed), ascii_bounds=settings.ascii_bounds))
     hits = stage("hits", lambda: generate(records, settings.blocking, checkpoint=True))
     features = stage("features", lambda: pairs.pair_features(hits, records))
 
