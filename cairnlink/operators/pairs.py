@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from hashlib import blake2b
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +15,10 @@ from pyspark.sql import types as T
 from cairnlink.functions import similarity as S
 from cairnlink.functions.normalize import canonical_country, country_match
 from cairnlink.functions.tokens import numeric_tokens, padded_trigrams, word_bound_grams, words
+from cairnlink.sources.tables import stored
+
+#: The white space of ``split_words``.
+BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
 def _exact(left: Column, right: Column) -> Column:
@@ -124,8 +132,87 @@ def _sparse_dot(one: pd.Series, a: pd.Series, two: pd.Series, b: pd.Series) -> p
     return pd.Series([dot_of(*x) for x in zip(one, a, two, b)], dtype="float64")
 
 
-def tfidf_cosine(pairs: DataFrame, texts: DataFrame, fit: DataFrame | None = None) -> DataFrame:
-    """(s1, cand, tfidf_cosine) of the pairs; 0 where a text has no known gram."""
+class _Grams:
+    """Character n-grams within words as 64-bit hashes, each word's made once; at most ``words`` words are kept."""
+
+    def __init__(self, known: np.ndarray | None = None, words: int = 100_000) -> None:
+        self.known, self.most, self.kept = known, words, {}
+
+    def of_word(self, word: str) -> np.ndarray:
+        found = self.kept.get(word)
+        if found is None:
+            padded = f" {word} "
+            grams = [padded[i : i + n] for n in (3, 4, 5) for i in range(len(padded) - n + 1)]
+            found = np.array([int.from_bytes(blake2b(g.encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True) for g in grams], dtype=np.int64)
+            if self.known is not None:  # places in the table instead; grams that it does not hold weigh nothing
+                at = np.searchsorted(self.known, found)
+                found = at[self.known[np.minimum(at, len(self.known) - 1)] == found] if len(self.known) else at[:0]
+            if len(self.kept) >= self.most:
+                self.kept.clear()
+            self.kept[word] = found
+        return found
+
+    def of_text(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct grams in ascending order, and how often each is there."""
+        parts = [self.of_word(w) for w in BLANKS.split(text) if w]
+        return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _gram_frequency(rows: DataFrame) -> DataFrame:
+    """(g, df) of the grams of texts (id, text), counted batch by batch before the one shuffle."""
+
+    def run(batches):
+        grams = _Grams()
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1000):
+                found = [grams.of_text(x)[0] for x in batch.column("text").slice(low, 1000).to_pylist()]
+                g, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], names=["g", "df"])
+
+    return rows.select("text").mapInArrow(run, "g long, df long").groupBy("g").agg(F.sum("df").alias("df"))
+
+
+def tfidf_cosine(pairs: DataFrame, texts: DataFrame, fit: DataFrame | None = None, most: int = 8_000_000) -> DataFrame:
+    """(s1, cand, tfidf_cosine) of the pairs; 0 where a text has no known gram.
+
+    Texts travel to their pairs, and vectors are made there, from a table of document frequencies that goes to all workers. If
+    that has more than ``most`` grams the vectors of ``tfidf_vectors`` travel instead.
+    """
+    keys = ["source1_entity_id", "candidate_entity_id"]
+    bags = texts.groupBy("id").agg(F.concat_ws(" ", F.collect_list(F.lower("text"))).alias("text"))
+    ids = None if fit is None else fit.select(F.col(fit.columns[0]).alias("id")).distinct()
+    frequency = stored(_gram_frequency(bags if ids is None else bags.join(ids, "id", "left_semi")), "grams")
+    if frequency.count() > most:
+        return _cosine_of_vectors(pairs, texts, fit)
+    table = frequency.orderBy("g").toArrow()
+    n = (texts if ids is None else texts.join(ids, "id", "left_semi")).count()
+    shared = texts.sparkSession.sparkContext.broadcast((table["g"].to_numpy(), np.log((1 + n) / (1 + table["df"].to_numpy())) + 1))
+
+    def run(batches):
+        known, idf = shared.value
+        grams, last = _Grams(known), (None, None)
+
+        def vector(text):
+            g, tf = grams.of_text(text or "")
+            w = (1 + np.log(tf)) * idf[g]
+            return g, w / np.sqrt(w @ w) if len(g) else w
+
+        for batch in batches:
+            found = []
+            for one, a, b in zip(batch.column(0).to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                if last[0] != one:  # the rows of one S1 stand together
+                    last = (one, vector(a))
+                (g, w), (h, v) = last[1], vector(b)
+                _, i, j = np.intersect1d(g, h, assume_unique=True, return_indices=True)
+                found.append(float(w[i] @ v[j]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=[*keys, "tfidf_cosine"])
+
+    both = pairs.select(*keys).join(bags.toDF("candidate_entity_id", "b"), "candidate_entity_id", "left").join(bags.toDF("source1_entity_id", "a"), "source1_entity_id", "left")
+    kinds = ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in keys)
+    return both.select(*keys, "a", "b").sortWithinPartitions("source1_entity_id").mapInArrow(run, f"{kinds}, tfidf_cosine double")
+
+
+def _cosine_of_vectors(pairs: DataFrame, texts: DataFrame, fit: DataFrame | None) -> DataFrame:
     vectors = tfidf_vectors(texts, fit)
     both = pairs.select("source1_entity_id", "candidate_entity_id").join(vectors.toDF("source1_entity_id", "_g", "_w"), "source1_entity_id", "left")
     both = both.join(vectors.toDF("candidate_entity_id", "_h", "_v"), "candidate_entity_id", "left")

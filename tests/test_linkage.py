@@ -358,3 +358,18 @@ def test_stream_normalises(spark, feed, tmp_path):
     done = stream.writeStream.format("memory").queryName("records").trigger(availableNow=True).start()
     done.awaitTermination(60)
     assert spark.table("records").count() == len(FEED)
+
+
+def test_tfidf_cosine_by_table_and_by_vectors(spark):
+    """Vectors made beside their pairs equal those that travel, and the former need no shuffle of grams."""
+    from cairnlink.operators import pairs
+
+    draw = random.Random(11)
+    words = ["ñandú", "Quay", "é", "x😀y", "bakery", "a"]
+    texts = spark.createDataFrame([(f"T{i}", None if i == 5 else " ".join(draw.choice(words) for _ in range(i % 7))) for i in range(30)], "id string, text string")
+    asked = spark.createDataFrame([(f"T{i}", f"T{j}") for i in range(31) for j in range(0, 30, 4)], PAIR)
+    for fit in (None, texts.where("id < 'T2'").select("id")):
+        one, two = ({(r[0], r[1]): r[2] for r in pairs.tfidf_cosine(asked, texts, fit, most).collect()} for most in (10**6, 0))
+        assert len(one) == 31 * 8 and one == pytest.approx(two, abs=1e-12)
+    plan = pairs.tfidf_cosine(asked, texts)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
