@@ -373,3 +373,15 @@ def test_tfidf_cosine_by_table_and_by_vectors(spark):
         assert len(one) == 31 * 8 and one == pytest.approx(two, abs=1e-12)
     plan = pairs.tfidf_cosine(asked, texts)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan
+
+
+def test_ratios_are_measured_once_for_each_pair_of_texts(spark, tmp_path):
+    from cairnlink.plans import catalogue
+
+    names = ["large ring", "ring large", None, "", "hot bolt x"]
+    rows = [(i, names[i % 5], ("BIG TIN", "TIN")[i % 2], "B1" if i % 3 else None, i % 2) for i in range(60)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found, direct = (sorted(map(tuple, catalogue._ratios(spark, str(tmp_path), most).collect()), key=str) for most in (1000, 0))
+    assert found == direct and found
+    query = QUERIES["token_sort_ratio"](spark, str(tmp_path))
+    assert "ArrowEvalPython" not in query._jdf.queryExecution().executedPlan().toString()
