@@ -1,5 +1,7 @@
+import itertools
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -385,3 +387,17 @@ def test_ratios_are_measured_once_for_each_pair_of_texts(spark, tmp_path):
     assert found == direct and found
     query = QUERIES["token_sort_ratio"](spark, str(tmp_path))
     assert "ArrowEvalPython" not in query._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shared_weights_are_summed_and_rounded_as_in_sql(spark):
+    """Sums that fall on a half do not depend on the order of rows; single weights on a half round as in the SQL's engine."""
+    groups = [[2.095513148, 7.422844795, 2.930549557], [7.17568016, 7.42446466, 2.00109068], [8.393719208, 8.349512695, 7.107903597]]
+    rows = [(f"{g}-{i}", w) for g, group in enumerate(groups) for i, order in enumerate(itertools.permutations(group)) for w in order]
+    rows += [(f"s-{w}", w) for w in (1.0000025, 1.0000075, 1.0000105, 1.0000185)]
+    found = {r["g"]: r["raw"] for r in spark.createDataFrame(rows, "g string, w double").coalesce(1).groupBy("g").agg(blocking.shared_weight(F.col("w")).alias("raw")).collect()}
+    for g in range(len(groups)):
+        assert len({raw for name, raw in found.items() if name.startswith(f"{g}-")}) == 1
+    engine = duckdb.connect()
+    for name, raw in found.items():
+        if name.startswith("s-"):
+            assert raw == engine.execute("select round(?::double, 6)", [float(name[2:])]).fetchone()[0]
