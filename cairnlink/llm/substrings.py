@@ -10,11 +10,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlink.llm.tokens import NOT_SPACE, Words, find_words, mix, sliced, window_hashes
+from cairnlink.llm.tokens import NOT_SPACE, Words, find_words, frugal, give_back, mix, sliced, window_hashes
 
 MINIMISER_WORDS = 4
 SLOTS = 1 << 16
 BUCKET_BYTES = 8 << 20
+PIECE_BYTES = 1 << 20
 _ODD, _ODD_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 TASK_BYTES = 32 << 20
 _KNOWN_BYTES = 32 << 20  # super-k-mers seen more than once that a task remembers
@@ -45,7 +46,7 @@ def frequent_slots(docs: DataFrame, minimiser: int = MINIMISER_WORDS) -> tuple[n
         used = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(sums[used], size))], names=["slot", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(frugal(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     sums, size = np.zeros(SLOTS, np.int64), 0
     for slot, n in rows:
         if slot < 0:
@@ -160,62 +161,93 @@ def _scatter(k: int, minimiser: int, frequent: np.ndarray, buckets: int):
     return run
 
 
-def _later(found: Words, first_window: np.ndarray, k: int) -> np.ndarray:
-    """Which of the windows (in the order of their places) stand at an earlier place too. Compares words, not hashes alone."""
-    keys = window_hashes(found.hashes(), k)[first_window]
+def _later(raw: memoryview, keys: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which of the windows (in the order of their places) stand at an earlier place too. Compares words, not hashes alone.
+
+    ``keys`` are hashes of their words, ``low`` and ``high`` their bytes; ``place`` grows by one from a window to the next of its string.
+    """
     order = np.argsort(keys, kind="stable")
-    fresh = np.append(True, keys[order[1:]] != keys[order[:-1]])
+    fresh = keys[order]
+    fresh = np.append(True, fresh[1:] != fresh[:-1])
     earliest = np.empty(len(keys), np.int64)
-    earliest[order] = np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), 0))
-    earliest = order[earliest]
+    earliest[order] = order[np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), 0))]
+    del order, fresh
     later = earliest != np.arange(len(keys))
     hit = np.flatnonzero(later)
     if not len(hit):
         return later
-    here, there = first_window[hit], first_window[earliest[hit]]
-    cuts = np.flatnonzero(np.append(True, (np.diff(here) != 1) | (np.diff(there) != 1)))
-    raw = memoryview(found.data)
+    first = earliest[hit]
+    del earliest
+    cuts = np.flatnonzero(np.append(True, (np.diff(place[hit]) != 1) | (np.diff(place[first]) != 1)))
     for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(hit)).tolist()):
-        x, y, words = here[a], there[a], b - a + k - 1
-        one, two = (raw[found.start[i] : found.end[i + words - 1]] for i in (x, y))
+        one, two = (raw[low[x[a]] : high[x[b - 1]]] for x in (hit, first))
         if one != two and bytes(one).split() != bytes(two).split():  # two sequences of one hash: compare each in full
             whole = {}
             for i in np.flatnonzero(np.isin(keys, keys[hit[a:b]])):
-                w = first_window[i]
-                whole.setdefault(tuple(bytes(raw[found.start[w] : found.end[w + k - 1]]).split()), []).append(i)
+                whole.setdefault(tuple(bytes(raw[low[i] : high[i]]).split()), []).append(i)
             for same in whole.values():
                 later[same[0]], later[same[1:]] = False, True
     return later
 
 
+def _pieces(packed: pa.ChunkedArray, most: int = PIECE_BYTES) -> Iterator[tuple[np.ndarray, bytes]]:
+    """Heads and strings of packed rows, several rows at once up to about ``most`` bytes of strings."""
+    open_ = zstandard.ZstdDecompressor()
+    heads, bodies, held = [], [], 0
+    for row in packed:
+        row = open_.decompress(row.as_py())
+        n = int.from_bytes(row[:8], "little")
+        heads.append(np.frombuffer(row, "<i8", 4 * n, 8).reshape(n, 4).copy())
+        bodies.append(row[8 + 32 * n :])
+        held += len(bodies[-1])
+        if held >= most:
+            yield np.concatenate(heads), b" ".join(bodies)
+            heads, bodies, held = [], [], 0
+    if heads:
+        yield np.concatenate(heads), b" ".join(bodies)
+
+
+def _spans(sizes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of ``rows`` as often as its size says, and a count from 0 within it."""
+    many = sizes[rows]
+    return np.repeat(rows, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+
+
 def _gather(k: int):
+    """Repeated windows of one bucket. Words are told apart piece by piece; of all the bucket only strings and windows are held."""
+
     def run(part: pa.Table) -> pa.Table:
         done = part.filter(pa.compute.is_null(part.column("packed"))).select(["doc", "text_hash", "ranges"])
-        heads, bodies = [], []
-        for row in part.column("packed").drop_null().to_pylist():
-            row = zstandard.ZstdDecompressor().decompress(row)
-            n = int.from_bytes(row[:8], "little")
-            heads.append(np.frombuffer(row, "<i8", 4 * n, 8).reshape(n, 4))
-            bodies.append(row[8 + 32 * n :])
+        heads, keys, lows, highs, text = [], [], [], [], bytearray()
+        for head, body in _pieces(part.column("packed").drop_null()):
+            found = find_words(pa.array([body], pa.large_binary()).cast(pa.large_string(), safe=False), NOT_SPACE)
+            size = head[:, 3]
+            owner, offset = _spans(size - k + 1, np.arange(len(head)))
+            first = (np.cumsum(size) - size)[owner] + offset
+            heads.append(head)
+            keys.append(window_hashes(found.hashes(), k)[first])
+            lows.append(found.start[first] + len(text))
+            highs.append(found.end[first + k - 1] + len(text))
+            text += body
         if not heads:
             return done
-        head = np.concatenate(heads)
-        found = find_words(pa.array([b" ".join(bodies)], pa.large_binary()).cast(pa.large_string(), safe=False), NOT_SPACE)
-        del bodies, heads
-        size = head[:, 3]
-        begin = np.cumsum(size) - size
+        head, keys, lows, highs = (np.concatenate(x) for x in (heads, keys, lows, highs))
+        del heads
         order = np.lexsort((head[:, 2], head[:, 1], head[:, 0]))
         order = order[np.append(True, (head[order[1:], :3] != head[order[:-1], :3]).any(1))]  # repeated rows are one document
-        windows = size[order] - k + 1
-        owner = np.repeat(order, windows)
-        offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-        hit = np.flatnonzero(_later(found, begin[owner] + offset, k))
+        windows = head[:, 3] - k + 1
+        owner, offset = _spans(windows, order)
+        at = (np.cumsum(windows) - windows)[owner] + offset
+        hit = np.flatnonzero(_later(memoryview(text), keys[at], at + owner, lows[at], highs[at]))
         if len(hit):
             fresh = np.flatnonzero(np.append(True, (np.diff(hit) != 1) | (np.diff(owner[hit]) != 0)))
             last = hit[np.append(fresh[1:], len(hit)) - 1]
             mine, low = owner[hit[fresh]], offset[hit[fresh]]
             row = _removed(head[mine, 0], head[mine, 1], head[mine, 2] + low, head[mine, 2] + offset[last] + k)
             done = pa.concat_tables([done, pa.Table.from_batches([row])])
+        if len(text) >= BUCKET_BYTES:
+            del head, keys, lows, highs, owner, offset, at, hit, text
+            give_back()
         return done
 
     return run
@@ -230,7 +262,7 @@ def repeated_ranges(docs: DataFrame, k: int = 20, minimiser: int = MINIMISER_WOR
     """
     frequent, size = frequent_slots(docs, minimiser)
     buckets = max(1, -(-3 * size // bucket_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sent = docs.mapInArrow(_scatter(k, minimiser, frequent, buckets), "bucket long, doc long, text_hash long, ranges binary, packed binary")
+    sent = docs.mapInArrow(frugal(_scatter(k, minimiser, frequent, buckets)), "bucket long, doc long, text_hash long, ranges binary, packed binary")
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-3 * size // TASK_BYTES))
     return sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(lambda part: _gather(k)(part), "doc long, text_hash long, ranges binary")
 
@@ -260,7 +292,7 @@ def cut_repeats(docs: DataFrame, k: int = 20, id_column: str = "doc_id", text_co
             yield batch.drop_columns(["_text"]).append_column("_packed", pa.array(small, pa.binary()))
 
     kept_schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in spare)
-    packed = ready.mapInArrow(pack, f"{kept_schema}, _doc long, _hash long, _packed binary")
+    packed = ready.mapInArrow(frugal(pack), f"{kept_schema}, _doc long, _hash long, _packed binary")
     joined = packed.join(gathered, (F.col("_doc") == F.col("_d")) & (F.col("_hash") == F.col("_h")), "left").drop("_doc", "_hash", "_d", "_h")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,4 +319,4 @@ def cut_repeats(docs: DataFrame, k: int = 20, id_column: str = "doc_id", text_co
                     out = out.append_column(name, pa.array(values, kind))
                 yield out
 
-    return joined.mapInArrow(keep, f"{kept_schema}, n_words long, n_removed long, removed array<struct<first:long,end:long>>, kept_text string")
+    return joined.mapInArrow(frugal(keep), f"{kept_schema}, n_words long, n_removed long, removed array<struct<first:long,end:long>>, kept_text string")

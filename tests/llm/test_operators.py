@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from fractions import Fraction
 from pathlib import Path
@@ -524,3 +525,24 @@ def test_toxicity_fit_by_pieces(monkeypatch):
 def test_toxicity_fit_without_words():
     tagger = toxicity.fit(["", " ", ""], np.array([0.0, 1.0, 0.0]), 2.0)
     assert np.isfinite(tagger.head).all() and 0 < tagger.score(np.zeros((1, 4)))[0] < 1
+
+
+def test_substring_bucket_is_read_piece_by_piece():
+    """A bucket's words are not all held at once: memory stays below ten times its strings; planted repeats are found."""
+    pick = np.random.default_rng(7)
+    rows = []
+    for doc in range(400):
+        words = [b"%07d" % x for x in pick.integers(0, 10**7, 2700)]
+        if doc == 399:
+            words[27:54] = repeated
+        repeated = words[:27] if doc == 0 else repeated
+        head = np.array([(doc, 7, at, 27) for at in range(0, 2700, 27)], "<i8")
+        rows.append(substrings._pack([len(head).to_bytes(8, "little"), head.tobytes(), b" ".join(words)]))
+    none = pa.nulls(len(rows), pa.int64())
+    part = pa.table({"doc": none, "text_hash": none, "ranges": pa.nulls(len(rows), pa.binary()), "packed": pa.array(rows, pa.binary())})
+    tracemalloc.start()
+    found = substrings._gather(20)(part).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r["doc"], r["text_hash"], np.frombuffer(r["ranges"], "<i4").tolist()) for r in found] == [(399, 7, [27, 54])]
+    assert peak < 10 * 400 * 2700 * 8
