@@ -25,7 +25,7 @@ def link_stream(stream: DataFrame, candidates: DataFrame, out: str, checkpoint:
     ready = stored(prepare(candidates.where("source <> 'S1'"), config), "candidates")
 
     def one_batch(batch: DataFrame, number: int) -> None:
-        hits = generate(batch.where("source = 'S1'"), config, candidates=ready)
+        hits = generate(batch.where("source = 'S1'"), config, checkpoint=True, candidates=ready)
         hits.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
