@@ -73,3 +73,15 @@ def test_none_at_all(spark):
     channel = blocking.TermChannel("char_ngram", 25, 4, 0.2, 6)
     for pair in ((none, none), (some, none), (none, some)):
         assert blocking.term_hits(*pair, "terms", "len", channel, 4).collect() == []
+
+
+def test_fallback_pairs_are_no_rows(spark):
+    """The same under the other dispatch: S1 records reach candidates without country."""
+    rows = [(f"{side}-{i:03}", country, ["a", "b", "c"], 3) for side, country in (("S1", "narnia"), ("S2", "")) for i in range(200)]
+    frame = spark.createDataFrame(rows, KIND)
+    channel = blocking.TermChannel("char_ngram", 5000, 15, 0.0, 150)
+    hits = blocking.term_hits_by_fallback(frame.where("id like 'S1%'"), frame.where("id like 'S2%'"), "terms", "len", channel, 50)
+    found = hits.collect()
+    assert len(found) == 200 * 50 and {r.cand for r in found} == {f"S2-{i:03}" for i in range(50)}
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Aggregate" not in plan
