@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from cairnlink.operators import blocking, postings
@@ -85,3 +86,36 @@ def test_fallback_pairs_are_no_rows(spark):
     assert len(found) == 200 * 50 and {r.cand for r in found} == {f"S2-{i:03}" for i in range(50)}
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "Aggregate" not in plan
+
+
+def test_codes_are_packed():
+    """Gaps of one to five bytes; a slice begins within the buffer."""
+    draw = np.random.default_rng(2)
+    for high in (60, 5000, 1 << 20, (1 << 31) - 1):
+        rows = [np.unique(draw.integers(0, high, draw.integers(1, 40))) for _ in range(200)]
+        column = postings.packed(np.concatenate(rows), np.array([len(x) for x in rows]))
+        for low, count in ((0, 200), (70, 50)):
+            codes, long = postings.unpacked(column.slice(low, count))
+            assert codes.tolist() == np.concatenate(rows[low : low + count]).tolist() and long.tolist() == [len(x) for x in rows[low : low + count]]
+    near = postings.packed(np.arange(1000, 2000), np.array([1000]))
+    assert near.nbytes < 1100  # four bytes a code before
+
+
+def test_few_ones_get_few_cells(spark):
+    """Each candidate is sent to every cell: 200 S1 records are one cell, whatever the number of cores."""
+    rows = [(f"{side}-{i:03}", country, ["a", "b", "c"], 3) for side, country in (("S1", "narnia"), ("S2", "")) for i in range(200)]
+    frame = spark.createDataFrame(rows, KIND)
+    channel = blocking.TermChannel("char_ngram", 5000, 15, 0.0, 150)
+    hits = blocking.term_hits_by_fallback(frame.where("id like 'S1%'"), frame.where("id like 'S2%'"), "terms", "len", channel, 50)
+    assert hits.rdd.getNumPartitions() == 1 and hits.count() == 200 * 50
+
+
+def test_done_ones_take_no_part(spark):
+    rows = [(f"{side}-{i}", "us", ["a", f"b{i}"], 2) for side in ("S1", "S2") for i in range(9)]
+    frame = spark.createDataFrame(rows, KIND)
+    channel = blocking.TermChannel("char_ngram", 5000, 15, 0.0, 150)
+    done = spark.createDataFrame([("S1-4",), ("S1-4",), ("S1-7",)], "s1 string")
+    for search in (blocking.term_hits, blocking.term_hits_by_fallback):
+        one, two = frame.where("id like 'S1%'"), frame.where("id like 'S2%'")
+        every, left = ({(r.s1, r.cand, r.score, r["rank"]) for r in search(one, two, "terms", "len", channel, 50, done=x).collect()} for x in (None, done))
+        assert left == {x for x in every if x[0] not in ("S1-4", "S1-7")} and len(left) == 7 * 9
