@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairnlink.functions.normalize import normalize_records
 from cairnlink.operators import decide, pairs, scoring
-from cairnlink.operators.blocking import Blocking, generate
+from cairnlink.operators.blocking import Blocking, fields, generate
 from cairnlink.sources.tables import as_feed, stored
 
 
@@ -51,7 +51,11 @@ def run(feed: DataFrame, truth: DataFrame | None = None, settings: Linkage = Lin
             make().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
-    records = stage("records", lambda: normalize_records(as_feed(feed), ascii_bounds=settings.ascii_bounds))
+    def normalized() -> DataFrame:
+        rows = normalize_records(as_feed(feed), ascii_bounds=settings.ascii_bounds)
+        return rows if settings.folder is not None else rows.select(*fields(settings.blocking), "country")
+
+    records = stage("records", normalized)
     hits = stage("hits", lambda: generate(records, settings.blocking, checkpoint=True))
     features = stage("features", lambda: pairs.pair_features(hits, records))
 

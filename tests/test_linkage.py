@@ -401,3 +401,21 @@ def test_shared_weights_are_summed_and_rounded_as_in_sql(spark):
     for name, raw in found.items():
         if name.startswith("s-"):
             assert raw == engine.execute("select round(?::double, 6)", [float(name[2:])]).fetchone()[0]
+
+
+def test_dispatch_leaves_records_in_place(spark):
+    """Whatever Spark thinks of sizes: records with their terms are not shuffled by country."""
+    rows = spark.createDataFrame([("S1-1", "us"), ("S1-2", "fr"), ("S1-3", "")], "id string, country string")
+    held = spark.createDataFrame([("S2-1", "us")], "id string, country string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = blocking.dispatch(rows, held)
+        assert "SortMergeJoin" not in sent._jdf.queryExecution().executedPlan().toString()
+        assert {(r.id, r.country) for r in sent.collect()} == {("S1-1", "us"), ("S1-2", ""), ("S1-3", "")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_long_keys_travel_as_digests(spark):
+    keys = blocking.short_keys(spark.createDataFrame([("S1-1", "x" * 400), ("S2-1", "x" * 400), ("S2-2", "short"), ("S2-3", "é" * 13)], "id string, key string")).collect()
+    assert [len(r.key) for r in keys] == [16, 16, 5, 16] and keys[0].key == keys[1].key and bytes(keys[2].key) == b"short"
