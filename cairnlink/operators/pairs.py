@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from cairnlink.functions import similarity as S
 from cairnlink.functions.normalize import canonical_country, country_match
-from cairnlink.functions.tokens import numeric_tokens, padded_trigrams, word_bound_grams, words
+from cairnlink.functions.tokens import word_bound_grams
 from cairnlink.sources.tables import stored
 
 #: The white space of ``split_words``.
@@ -36,16 +36,14 @@ def pair_features(hits: DataFrame, records: DataFrame, indel: bool = True) -> Da
             hits = hits.withColumn(c, F.lit(None).cast(kind))
     per = Window.partitionBy("source1_entity_id")
     hits = hits.withColumns({"_count": F.count(F.lit(1)).over(per).cast("int"), "_most": F.max("best_blocker_score").over(per)})
-    both = hits.join(one, F.col("source1_entity_id") == F.col("l_entity_id")).join(two, F.col("candidate_entity_id") == F.col("r_entity_id"))
+    # the S1 last: pairs of an S1 then stand together, and no much-claimed candidate brings its pairs into one task
+    both = hits.join(two, F.col("candidate_entity_id") == F.col("r_entity_id")).join(one, F.col("source1_entity_id") == F.col("l_entity_id"))
     ln, rn, la, ra = (F.col(c) for c in ("l_norm_name", "r_norm_name", "l_norm_address", "r_norm_address"))
     lp, rp = F.coalesce("l_postal_code", F.lit("")), F.coalesce("r_postal_code", F.lit(""))
     match = country_match(F.col("l_country"), F.col("r_country"))
     rank, score = F.col("best_blocker_rank"), F.col("best_blocker_score")
     full = (ln != "") & (rn != "") & (la != "") & (ra != "")
-
-    def sets(a: Column, b: Column, measure) -> Column:
-        return F.when(a == b, 1.0).otherwise(measure(words(a), words(b)))
-
+    name, address = S.text_measures(ln, rn), S.text_measures(la, ra)
     columns = {
         "l_canonical_country": canonical_country(F.col("l_country")), "r_canonical_country": canonical_country(F.col("r_country")),
         "source_is_s3": F.col("candidate_entity_id").startswith("S3-").cast("int"),
@@ -53,13 +51,11 @@ def pair_features(hits: DataFrame, records: DataFrame, indel: bool = True) -> Da
         "left_country_missing": (F.col("l_country") == "").cast("int"), "right_country_missing": (F.col("r_country") == "").cast("int"),
         "name_both_missing": ((ln == "") & (rn == "")).cast("int"), "address_both_missing": ((la == "") & (ra == "")).cast("int"),
         "name_exact": _exact(ln, rn), "address_exact": _exact(la, ra),
-        "name_jaccard": sets(ln, rn, S.jaccard), "name_overlap": sets(ln, rn, S.overlap), "name_edit_similarity": S.edit_similarity(ln, rn),
-        "name_char_trigram_jaccard": F.when(ln == rn, 1.0).otherwise(S.jaccard(padded_trigrams(ln), padded_trigrams(rn))),
+        "name_jaccard": name["jaccard"], "name_overlap": name["overlap"], "name_edit_similarity": name["edit_similarity"], "name_char_trigram_jaccard": name["trigram_jaccard"],
         "name_token_sort_ratio": S.token_sort_ratio(ln, rn) if indel else F.lit(None).cast("double"), "name_fuzz_ratio": S.fuzz_ratio(ln, rn) if indel else F.lit(None).cast("double"),
-        "address_jaccard": sets(la, ra, S.jaccard), "address_overlap": sets(la, ra, S.overlap), "address_edit_similarity": S.edit_similarity(la, ra),
-        "address_char_trigram_jaccard": F.when(la == ra, 1.0).otherwise(S.jaccard(padded_trigrams(la), padded_trigrams(ra))),
+        "address_jaccard": address["jaccard"], "address_overlap": address["overlap"], "address_edit_similarity": address["edit_similarity"], "address_char_trigram_jaccard": address["trigram_jaccard"],
         "address_token_set_ratio": S.token_set_ratio(la, ra) if indel else F.lit(None).cast("double"),
-        "name_number_overlap": S.overlap(numeric_tokens(ln), numeric_tokens(rn)), "address_number_overlap": S.overlap(numeric_tokens(la), numeric_tokens(ra)),
+        "name_number_overlap": name["number_overlap"], "address_number_overlap": address["number_overlap"],
         "postal_equal": ((lp == rp) & (lp != "")).cast("int"), "postal_missing_either": ((lp == "") | (rp == "")).cast("int"),
         "name_length_abs_diff": F.abs(F.length(ln) - F.length(rn)), "address_length_abs_diff": F.abs(F.length(la) - F.length(ra)),
         "same_name_different_address": (full & (ln == rn) & (la != ra)).cast("int"), "same_address_different_name": (full & (la == ra) & (ln != rn)).cast("int"),
